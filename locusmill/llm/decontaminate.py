@@ -90,7 +90,8 @@ def find_hits(
     base = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), words(text).alias("_words"))
     full = known.where(F.col("n") == window).select(F.split("window", " ").alias("_words"))
     full, print_name = fingerprints(full, window, gram)
-    prints = full.select(F.col(print_name)[0].alias("print")).distinct().withColumn("known", F.lit(True))
+    # Written once: a filter on the join key would else be pushed down with the whole chain inlined.
+    prints = saved(full.select(F.col(print_name)[0].alias("print")).distinct().withColumn("known", F.lit(True)), "bench-prints")
 
     # posexplode would push a filter on the array's size, with the whole chain inlined, below the chain.
     rows, name = fingerprints(base, window, gram)
@@ -108,7 +109,7 @@ def find_hits(
         short = known.where(F.col("n") == n)
         short_hash = short.select(F.split("window", " ").alias("_words"))
         short_hash, hash_name = gram_hashes(short_hash, n)
-        short_hash = short_hash.select(F.col(hash_name)[0].alias("print")).distinct()
+        short_hash = saved(short_hash.select(F.col(hash_name)[0].alias("print")).distinct(), "bench-short")
         # The row numbers of the first pass: the same scan of the same files.
         each, name = gram_hashes(base, n)
         each = each.select("_row", "_words", F.posexplode_outer(name).alias("at", "print")).join(near(short_hash), "print", "left_semi")
