@@ -87,7 +87,9 @@ def find_hits(
     small = known.count() <= most_broadcast
     near = F.broadcast if small else (lambda df: df)
 
-    base = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), words(text).alias("_words"))
+    # Rows are told apart by key and text, which every pass finds again whatever the splits of its scan.
+    row = F.concat_ws(":", F.col(key).cast("string"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).cast("string"))
+    base = docs.select(row.alias("_row"), F.col(key).alias("_key"), words(text).alias("_words"))
     full = known.where(F.col("n") == window).select(F.split("window", " ").alias("_words"))
     full, print_name = fingerprints(full, window, gram)
     # Written once: a filter on the join key would else be pushed down with the whole chain inlined.
@@ -110,7 +112,6 @@ def find_hits(
         short_hash = short.select(F.split("window", " ").alias("_words"))
         short_hash, hash_name = gram_hashes(short_hash, n)
         short_hash = saved(short_hash.select(F.col(hash_name)[0].alias("print")).distinct(), "bench-short")
-        # The row numbers of the first pass: the same scan of the same files.
         each, name = gram_hashes(base, n)
         each = each.select("_row", "_words", F.posexplode_outer(name).alias("at", "print")).join(near(short_hash), "print", "left_semi")
         hits = hits.unionByName(each.select("_row", "at", F.lit(n).alias("n"), _window_text("at", n).alias("window")))

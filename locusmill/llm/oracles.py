@@ -53,4 +53,14 @@ JOIN fill ON fill.slot = d.slot JOIN names ON names.i = fill.t % {shards}
 """
 
 
-ORACLES = {"op4_winnowing_decontamination": OP4, "op7_exact_dedup": OP7, "op10_lookup_sharding": _op10()}
+OP2 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS digest FROM p),
+f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest) ELSE page_id END AS first FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM f
+"""
+
+ORACLES = {"op2_warc_zstd": OP2, "op4_winnowing_decontamination": OP4, "op7_exact_dedup": OP7, "op10_lookup_sharding": _op10()}
