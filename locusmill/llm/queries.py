@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locusmill.llm import byte_bpe, chat_format, decontaminate, exact_dedup, quality, secret_scan, sharding, warc_zstd
+from locusmill.llm import byte_bpe, chat_format, decontaminate, exact_dedup, near_dedup, quality, secret_scan, sharding, warc_zstd
 from locusmill.llm.scratch import fresh_path
 
 
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(_table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op2_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc_zstd.records_of(_table(spark, sf_dir, "pages"))
     manifest = warc_zstd.write_archives(records, fresh_path(spark, "warc"))
@@ -55,6 +59,7 @@ def op10_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
+        op1_minmax_near_dedup,
         op2_warc_zstd,
         op4_winnowing_decontamination,
         op5_secret_ownership,
