@@ -9,7 +9,7 @@ Jaccard similarity s share a bucket with probability 1 - (1 - s^ROWS)^BANDS: at
 Documents with equal sets are one class, represented once. Within a bucket nobody is compared
 with everybody: a leader is compared with the bucket's other members, links join components, and
 only a bucket that still spans several components names further leaders, out of its smaller
-components and twice as many each round. A leader has met its whole bucket, so it leaves; when no
+components and more of them each round. A leader has met its whole bucket, so it leaves; when no
 bucket spans two components, every pair of a bucket is linked or known to lie apart, or already
 connected otherwise. Comparisons of a leader are dealt out over salted groups of ``GROUP``
 members and stream past the leader's set, so no task holds a group.
@@ -68,8 +68,9 @@ class Shingler:
         known = self._hashes
         if len(known) > WORDS_REMEMBERED:
             known.clear()
-        for word in set(words) - known.keys():
-            known[word] = xxhash.xxh3_64_intdigest(word)
+        for word in set(words):
+            if word not in known:
+                known[word] = xxhash.xxh3_64_intdigest(word)
         hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         if len(hashes) < self.words:
             return _mixed((hashes * _PLACE[32 : 32 + len(hashes)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(hashes)))
@@ -173,7 +174,7 @@ def link_sets(classes: DataFrame, docs: DataFrame, key: str, text: str, words: i
     # Each leader has met its bucket; what is left of a bucket must still span two components.
     unmet = shared.where(F.col("set") != F.col("leader")).select("bucket", "set", "n")
 
-    most = 2
+    most = 8
     while True:
         placed = unmet.join(roots.withColumnRenamed("node", "set"), "set", "left").select("bucket", "set", "n", F.coalesce("root", "set").alias("root"))
         placed = saved(placed, "near-placed")
@@ -196,7 +197,7 @@ def link_sets(classes: DataFrame, docs: DataFrame, key: str, text: str, words: i
             links = links.union(saved(_confirmed(pairs, classes, docs, key, text, words, percent), "near-links"))
             roots = components(links)
         unmet = unmet.join(met, ["bucket", "set"], "left_anti").select("bucket", "set", "n")
-        most *= 2
+        most *= 4
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
