@@ -35,9 +35,11 @@ from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bounds of what a worker remembers; beyond them it forgets everything and starts over.
-MEMO_CUTS = 300_000
-MEMO_MOVES = 1_000_000
-MEMO_PAIRS = 1_000_000
+MEMO_CUTS = 200_000
+MEMO_MOVES = 200_000
+MEMO_PAIRS = 300_000
+#: Fewer bytes than this are traced at once.
+LOOK_BACK = 256
 BATCH_ROWS = 256
 
 
@@ -77,9 +79,10 @@ class BytePairTransducer:
         self.ranks = ranks
         self.names: list[bytes] = [b""] * (max(ranks.values()) + 1)
         self._children: dict[int, int] = {}
+        self._lengths = [0] * len(self.names)
         self._token: list[int] = [-1]
         for name, token in ranks.items():
-            self.names[token] = name
+            self.names[token], self._lengths[token] = name, len(name)
             node = 0
             for byte in name:
                 move = node << 8 | byte
@@ -88,11 +91,9 @@ class BytePairTransducer:
                     node = self._children[move] = len(self._token)
                     self._token.append(-1)
             self._token[node] = token
-        self._pairs: dict[tuple[int, int], bool] = {}
-        self._states: dict[tuple, int] = {}
-        self._threads: list[tuple] = []
-        self._moves: dict[int, tuple] = {}
+        self._pairs: dict[int, bool] = {}
         self._cuts: dict[str, list[int]] = {}
+        self._forget_states()
 
     def merge(self, data: bytes) -> list[int]:
         """By the definition: join the neighbours of lowest rank, leftmost first, until none is left."""
@@ -106,61 +107,64 @@ class BytePairTransducer:
 
     def follows(self, last: int, token: int) -> bool:
         """Whether ``token`` may come right after ``last`` (-1: at the start)."""
-        known = self._pairs.get((last, token))
+        pair = last << 32 | token
+        known = self._pairs.get(pair)
         if known is None:
             before = [] if last < 0 else [last]
             if len(self._pairs) >= MEMO_PAIRS:
                 self._pairs.clear()
             known = self.merge(b"".join(self.names[t] for t in (*before, token))) == [*before, token]
-            self._pairs[last, token] = known
+            self._pairs[pair] = known
         return known
 
-    def _state(self, threads: tuple) -> int:
+    def _forget_states(self) -> None:
+        self._states: dict[tuple, dict] = {}
+        self._moves = 0
+        self._start = self._state(((-1, 0),))
+
+    def _state(self, threads: tuple) -> dict:
+        """A state maps bytes to (next state, token that ends there); under -1 it has its threads."""
         found = self._states.get(threads)
         if found is None:
-            found = self._states[threads] = len(self._threads)
-            self._threads.append(threads)
+            found = self._states[threads] = {-1: threads}
         return found
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...], int]:
-        """Next state, which threads of this one live on, and the token that ends here."""
-        kept, threads, ended = [], [], -1
-        for i, (last, node) in enumerate(self._threads[state]):
+    def _move(self, state: dict, byte: int) -> tuple[dict, int]:
+        """Makes the move of a state at a byte, and remembers it."""
+        threads, ended = [], -1
+        for last, node in state[-1]:
             child = self._children.get(node << 8 | byte)
             if child is None:
                 continue
-            kept.append(i)
             threads.append((last, child))
             token = self._token[child]
             if ended < 0 and token >= 0 and self.follows(last, token):
                 ended = token
-        return self._state((*threads, (ended, 0))), tuple(kept), ended
+        move = state[byte] = self._state((*threads, (ended, 0))), ended
+        self._moves += 1
+        return move
 
     def stream(self, data: Iterable[int]) -> Iterator[int]:
         """Tokens of the bytes, each as soon as no byte to come can change it."""
-        if len(self._moves) >= MEMO_MOVES:
-            self._states, self._threads, self._moves = {}, [], {}
-        state = self._state(((-1, 0),))
-        starts, ends, sent, at = [0], {}, 0, 0
-        for at, byte in enumerate(data, 1):
-            move = self._moves.get(state << 8 | byte)
-            if move is None:
-                move = self._moves[state << 8 | byte] = self._move(state, byte)
-            state, kept, ended = move
-            starts = [starts[i] for i in kept]
-            starts.append(at)
-            ends[at] = ended
-            if len(starts) == 1:
-                yield from self._between(sent, at, ends)
-                sent, ends = at, {}
-        yield from self._between(sent, at, ends)
-
-    def _between(self, start: int, stop: int, ends: dict[int, int]) -> list[int]:
-        tokens = []
-        while stop > start:
-            tokens.append(ends[stop])
-            stop -= len(self.names[ends[stop]])
-        return tokens[::-1]
+        if self._moves >= MEMO_MOVES:
+            self._forget_states()
+        state, ends = self._start, []
+        for byte in data:
+            state, ended = state.get(byte) or self._move(state, byte)
+            ends.append(ended)
+            if len(ends) > LOOK_BACK and len(state[-1]) == 1:
+                yield from self._between(ends)
+                ends = []
+        yield from self._between(ends)
+
+    def _between(self, ends: list[int]) -> list[int]:
+        """Tokens from the one that ends at each byte, traced from the last."""
+        tokens, at = [], len(ends)
+        while at:
+            tokens.append(token := ends[at - 1])
+            at -= self._lengths[token]
+        tokens.reverse()
+        return tokens
 
     def encode_cut(self, cut: str) -> list[int]:
         """Tokens of one cut; a cut that is itself a token is that token."""

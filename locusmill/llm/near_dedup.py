@@ -38,6 +38,7 @@ PERMUTATIONS = 48
 ROWS = 4
 BANDS = 2 * PERMUTATIONS // ROWS
 GROUP = 128
+BLOCK = 1024
 WORDS_REMEMBERED = 500_000
 
 _RANDOM = np.random.default_rng(20240607)
@@ -53,43 +54,51 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+class _WordHashes(dict):
+    """Hashes of words, made when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
 class Shingler:
     """Sets of hashed shingles; word hashes are remembered up to a bound."""
 
     def __init__(self, words: int) -> None:
         self.words = words
-        self._hashes: dict[bytes, int] = {}
+        self._hashes = _WordHashes()
 
     def set_of(self, text: str | None) -> np.ndarray:
         """Sorted distinct 64-bit hashes. Case folds in A-Z alone; words end at 0x20 and 0x09-0x0D."""
         words = text.encode().lower().split() if text else []
         if not words:
             return np.empty(0, np.uint64)
-        known = self._hashes
-        if len(known) > WORDS_REMEMBERED:
-            known.clear()
-        for word in set(words):
-            if word not in known:
-                known[word] = xxhash.xxh3_64_intdigest(word)
-        hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        if len(self._hashes) > WORDS_REMEMBERED:
+            self._hashes.clear()
+        hashes = np.fromiter(map(self._hashes.__getitem__, words), np.uint64, len(words))
         if len(hashes) < self.words:
             return _mixed((hashes * _PLACE[32 : 32 + len(hashes)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(hashes)))
         count = len(hashes) - self.words + 1
-        total = np.zeros(count, np.uint64)
-        for i in range(self.words):
-            total += _mixed(hashes[i : i + count] * _PLACE[i])
-        return np.unique(_mixed(total))
+        total = hashes[:count] * _PLACE[0]
+        for i in range(1, self.words):
+            total = (total ^ (total >> np.uint64(29))) * _MIX + hashes[i : i + count] * _PLACE[i]
+        total = _mixed(total)
+        total.sort()
+        return total[np.append(True, total[1:] != total[:-1])]
 
 
 def bands_of(shingles: np.ndarray) -> np.ndarray:
     """Bucket hashes of a set's min-max signature."""
-    least = np.empty(PERMUTATIONS, np.uint64)
-    most = np.empty(PERMUTATIONS, np.uint64)
-    for p in range(PERMUTATIONS):
-        y = (shingles ^ _FLIP[p]) * _TIMES[p]
+    least = np.full(PERMUTATIONS, 2**64 - 1, np.uint64)
+    most = np.zeros(PERMUTATIONS, np.uint64)
+    for start in range(0, len(shingles), BLOCK):
+        y = shingles[start : start + BLOCK] ^ _FLIP[:, None]
+        y *= _TIMES[:, None]
         y ^= y >> np.uint64(31)
         y *= _MIX
-        least[p], most[p] = y.min(), y.max()
+        np.minimum(least, y.min(1), out=least)
+        np.maximum(most, y.max(1), out=most)
     half = BANDS // 2
     rows = np.concatenate([least.reshape(ROWS, half).T, most.reshape(ROWS, half).T])
     total = np.arange(BANDS, dtype=np.uint64) * _MIX
