@@ -20,10 +20,12 @@ nothing; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import gc
 import re
 import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import cache
 
 import numpy as np
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bounds of what a worker remembers; beyond them it forgets everything and starts over.
 MEMO_CUTS = 200_000
-MEMO_MOVES = 200_000
+MEMO_MOVES = 300_000
 MEMO_PAIRS = 300_000
 #: Fewer bytes than this are traced at once.
 LOOK_BACK = 256
@@ -91,33 +93,70 @@ class BytePairTransducer:
                     node = self._children[move] = len(self._token)
                     self._token.append(-1)
             self._token[node] = token
+        #: Nodes from which a longer token can be spelt; a thread at any other has ended.
+        self._inner = {move >> 8 for move in self._children}
+        self._splits: list[tuple[int, int] | tuple[()] | None] = [()] * len(self.names)
         self._pairs: dict[int, bool] = {}
         self._cuts: dict[str, list[int]] = {}
         self._forget_states()
 
-    def merge(self, data: bytes) -> list[int]:
-        """By the definition: join the neighbours of lowest rank, leftmost first, until none is left."""
+    def merge(self, data: bytes, stop: int = 1) -> list[int]:
+        """By the definition: join the neighbours of lowest rank, leftmost first, until ``stop`` parts or no pair is left."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > stop:
             best = min(range(len(parts) - 1), key=lambda i: self.ranks.get(parts[i] + parts[i + 1], len(self.names)))
             if parts[best] + parts[best + 1] not in self.ranks:
                 break
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return [self.ranks[p] for p in parts]
 
+    def _split(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge made ``token``; itself twice for a byte; None if no merge makes it."""
+        found = self._splits[token]
+        if found == ():
+            name, parts = self.names[token], [token]
+            if len(name) > 1:
+                parts = self.merge(name, stop=2)
+                whole = self.ranks.get(b"".join(self.names[p] for p in parts)) if len(parts) == 2 else None
+                parts = parts if whole == token else []
+            found = self._splits[token] = (parts[0], parts[-1]) if parts else None
+        return found
+
     def follows(self, last: int, token: int) -> bool:
-        """Whether ``token`` may come right after ``last`` (-1: at the start)."""
+        """Whether ``token`` may come right after ``last`` (-1: at the start).
+
+        Time runs with the ranks. Going back from the two finished tokens, the later one is undone
+        first; at each step the tokens at the seam must not have merged before they were used up.
+        """
+        if last < 0 or self._split(token) is None:
+            return self._split(token) is not None
         pair = last << 32 | token
         known = self._pairs.get(pair)
         if known is None:
-            before = [] if last < 0 else [last]
             if len(self._pairs) >= MEMO_PAIRS:
                 self._pairs.clear()
-            known = self.merge(b"".join(self.names[t] for t in (*before, token))) == [*before, token]
-            self._pairs[pair] = known
+            known = self._pairs[pair] = self._seam_holds(last, token)
         return known
 
+    def _seam_holds(self, left: int, right: int) -> bool:
+        never = len(self.names)
+        left_used, right_used = never, never
+        while True:
+            joined = self.ranks.get(self.names[left] + self.names[right])
+            if joined is not None and joined < left_used and joined <= right_used:
+                return False
+            left_whole, right_whole = self._lengths[left] == 1, self._lengths[right] == 1
+            if left_whole and right_whole:
+                return True
+            if right_whole or not left_whole and left > right:
+                left_used, left = left, self._split(left)[1]
+            else:
+                right_used, right = right, self._split(right)[0]
+
     def _forget_states(self) -> None:
+        """Starts over. States point at each other, so only the garbage collector can free them."""
+        for state in getattr(self, "_states", {}).values():
+            state.clear()
         self._states: dict[tuple, dict] = {}
         self._moves = 0
         self._start = self._state(((-1, 0),))
@@ -132,31 +171,42 @@ class BytePairTransducer:
     def _move(self, state: dict, byte: int) -> tuple[dict, int]:
         """Makes the move of a state at a byte, and remembers it."""
         threads, ended = [], -1
+        child_of, token_at = self._children.get, self._token
         for last, node in state[-1]:
-            child = self._children.get(node << 8 | byte)
-            if child is None:
-                continue
-            threads.append((last, child))
-            token = self._token[child]
-            if ended < 0 and token >= 0 and self.follows(last, token):
-                ended = token
-        move = state[byte] = self._state((*threads, (ended, 0))), ended
+            child = child_of(node << 8 | byte)
+            if child is not None:
+                if child in self._inner:
+                    threads.append((last, child))
+                if ended < 0:
+                    token = token_at[child]
+                    if token >= 0 and self.follows(last, token):
+                        ended = token
+        threads.append((ended, 0))
+        move = state[byte] = self._state(tuple(threads)), ended
         self._moves += 1
         return move
 
     def stream(self, data: Iterable[int]) -> Iterator[int]:
         """Tokens of the bytes, each as soon as no byte to come can change it."""
-        if self._moves >= MEMO_MOVES:
-            self._forget_states()
         state, ends = self._start, []
         for byte in data:
-            state, ended = state.get(byte) or self._move(state, byte)
-            ends.append(ended)
-            if len(ends) > LOOK_BACK and len(state[-1]) == 1:
+            move = state.get(byte) or self._move(state, byte)
+            state = move[0]
+            ends.append(move[1])
+            if len(ends) >= LOOK_BACK and len(state[-1]) == 1:
                 yield from self._between(ends)
                 ends = []
         yield from self._between(ends)
 
+    def _at_once(self, data: bytes) -> list[int]:
+        """``stream`` for a short cut."""
+        state, ends = self._start, []
+        for byte in data:
+            move = state.get(byte) or self._move(state, byte)
+            state = move[0]
+            ends.append(move[1])
+        return self._between(ends)
+
     def _between(self, ends: list[int]) -> list[int]:
         """Tokens from the one that ends at each byte, traced from the last."""
         tokens, at = [], len(ends)
@@ -171,7 +221,12 @@ class BytePairTransducer:
         known = self._cuts.get(cut)
         if known is None:
             data = cut.encode()
-            known = [self.ranks[data]] if data in self.ranks else list(self.stream(data))
+            if data in self.ranks:
+                known = [self.ranks[data]]
+            else:
+                if self._moves >= MEMO_MOVES:
+                    self._forget_states()
+                known = self._at_once(data) if len(data) <= LOOK_BACK else list(self.stream(data))
             if len(self._cuts) >= MEMO_CUTS:
                 self._cuts.clear()
             if len(data) <= 64:
@@ -250,6 +305,16 @@ def _worker_bpe(vocabulary: str) -> ByteBpe:
     return ByteBpe.from_file(public_tokenizers.path(vocabulary), public_tokenizers.PATTERN)
 
 
+@contextmanager
+def _no_collection() -> Iterator[None]:
+    """Without passes of the garbage collector over the memos, which free what they drop themselves."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, BATCH_ROWS):
@@ -261,9 +326,10 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _worker_bpe(vocabulary)
-        for batch in _small(batches):
-            ids = [np.array(bpe.encode(t), "<u4").tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], [key, "ids"])
+        with _no_collection():
+            for batch in _small(batches):
+                ids = [np.array(bpe.encode(t), "<u4").tobytes() for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], [key, "ids"])
 
     rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return rows.mapInArrow(run, f"`{key}` {rows.schema[0].dataType.simpleString()}, ids binary")
