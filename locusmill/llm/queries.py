@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locusmill.llm import byte_bpe, chat_format, decontaminate, exact_dedup, near_dedup, quality, secret_scan, sharding, warc_zstd
+from locusmill.llm import byte_bpe, chat_format, decontaminate, exact_dedup, near_dedup, quality, repeat_spans, secret_scan, sharding, warc_zstd
 from locusmill.llm.scratch import fresh_path
 
 
@@ -24,6 +24,10 @@ def op2_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zstd.read_archives(manifest).drop("target_uri")
 
 
+def op3_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_spans.summary(repeat_spans.remove_repeats(_table(spark, sf_dir, "documents"), texts_too=False))
+
+
 def op4_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.find_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return decontaminate.summary(hits)
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_minmax_near_dedup,
         op2_warc_zstd,
+        op3_repeated_bytes,
         op4_winnowing_decontamination,
         op5_secret_ownership,
         op6_byte_bpe,
