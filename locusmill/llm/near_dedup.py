@@ -6,13 +6,14 @@ signature; bands of ``ROWS`` entries, each from another function, are the bucket
 Jaccard similarity s share a bucket with probability 1 - (1 - s^ROWS)^BANDS: at 0.85 all but
 2e-8 of pairs do, at 0.8 all but 4e-6. Every link is confirmed on the full sets.
 
-Documents with equal sets are one class, represented once. Within a bucket nobody is compared
-with everybody: a leader is compared with the bucket's other members, links join components, and
-only a bucket that still spans several components names further leaders, out of its smaller
-components and more of them each round. A leader has met its whole bucket, so it leaves; when no
-bucket spans two components, every pair of a bucket is linked or known to lie apart, or already
-connected otherwise. Comparisons of a leader are dealt out over salted groups of ``GROUP``
-members and stream past the leader's set, so no task holds a group.
+Documents with equal sets are one class, represented once. First, every member
+of a bucket meets its lead, the set that shares most with others (the original of a family of
+copies, where there is one), and links join components. Then only buckets that span several
+components are looked at: what lies outside the largest component meets the whole bucket. So
+every pair of a bucket is linked, known to lie apart, or connected otherwise. No pairs are
+emitted: members are dealt out once, over salted blocks of some ``BLOCK_SETS``, those outside
+are repeated for each block and stream past it, and a block counts a set's shingles against all
+of its own at once. No task holds more than a block.
 
 Defined cases: a null or wordless text has an empty set and is linked with nothing; a text of
 fewer words than a shingle has its whole sequence as one; repeated rows and equal texts share a
@@ -28,7 +29,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locusmill.llm.components import components
@@ -39,6 +39,7 @@ ROWS = 4
 BANDS = 2 * PERMUTATIONS // ROWS
 GROUP = 128
 BLOCK = 1024
+BLOCK_SETS = 512
 WORDS_REMEMBERED = 500_000
 
 _RANDOM = np.random.default_rng(20240607)
@@ -107,13 +108,6 @@ def bands_of(shingles: np.ndarray) -> np.ndarray:
     return total.view(np.int64)
 
 
-def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * common >= percent * (len(a) + len(b) - common)
-
-
 def _key_of(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
@@ -138,75 +132,105 @@ def sketches(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     return rows.mapInArrow(run, f"_key {rows.schema[0].dataType.simpleString()}, n bigint, set binary, bands array<bigint>")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """The pairs (leader, member) that are linked on their full sets."""
-    sizes = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("groups"))
-    dealt = pairs.join(sizes, "leader").select("leader", "member", F.pmod(F.xxhash64("member"), "groups").alias("salt"))
-    members = dealt.select("leader", "salt", F.lit(1).alias("turn"), F.col("member").alias("set"))
-    leaders = dealt.select("leader", "salt").distinct().select("leader", "salt", F.lit(0).alias("turn"), F.col("leader").alias("set"))
-    asked = leaders.union(members).join(classes.select("set", "label"), "set")
-    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    asked = asked.join(texts, asked["label"].eqNullSafe(texts["_key"])).select("leader", "salt", "turn", "set", "_text")
-    asked = asked.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "turn")
+class _Block:
+    """Some sets, against each of which another set is counted at once."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sizes = np.array([len(s) for s in sets])
+        self._first = np.append(0, np.cumsum(self.sizes)[:-1])
+        self._known, self._ids = np.unique(np.concatenate(sets), return_inverse=True)
+        self._marks = np.zeros(len(self._known), np.int32)
+
+    def linked(self, shingles: np.ndarray, percent: int) -> np.ndarray:
+        """Which of the sets are linked with this one."""
+        at = np.searchsorted(self._known, shingles)
+        at[at == len(self._known)] = 0
+        at = at[self._known[at] == shingles]
+        self._marks[at] = 1
+        common = np.add.reduceat(self._marks[self._ids], self._first)
+        self._marks[at] = 0
+        return 100 * common >= percent * (self.sizes + len(shingles) - common)
+
+
+def _met(rows: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (set, other, other_root) between the sides of each group, with different roots.
+
+    ``rows`` has group columns ``place`` and ``salt``, side (0: held in memory, 1: streams past),
+    set and root. A streaming set names one link for each other root it finds in a block.
+    """
+    asked = rows.join(texts, "set").select("place", "salt", "side", "set", "root", "_text")
+    asked = asked.repartition("place", "salt").sortWithinPartitions("place", "salt", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, at, leader = Shingler(words), None, np.empty(0, np.uint64)
+        shingler, at = Shingler(words), None
+        held: list[tuple[bytes, bytes, np.ndarray]] = []
+        block = None
         for batch in batches:
             found: list[tuple[bytes, bytes]] = []
-            for name, salt, turn, own, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for place, salt, side, name, root, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 shingles = shingler.set_of(text)
-                if _key_of(shingles) != own:
+                if _key_of(shingles) != name:
                     continue  # another row under the same key
-                if turn == 0:
-                    at, leader = (name, salt), shingles
-                elif at == (name, salt) and _linked(leader, shingles, percent):
-                    found.append((name, own))
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], ["leader", "member"])
-
-    return asked.mapInArrow(run, "leader binary, member binary").distinct()
-
-
-def _possible(percent: int):
-    return F.least("n", "leader_n") * 100 >= F.greatest("n", "leader_n") * percent
+                if at != (place, salt):
+                    at, held, block = (place, salt), [], None
+                if side == 0:
+                    held.append((name, root, shingles))
+                elif held:
+                    block = block or _Block([h[2] for h in held])
+                    near: dict[bytes, bytes] = {}
+                    for i in np.flatnonzero(block.linked(shingles, percent)):
+                        near.setdefault(held[i][1], held[i][0])
+                    near.pop(root, None)
+                    found += [(name, other) for other in near.values()]
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], ["node", "root"])
+
+    return asked.mapInArrow(run, "node binary, root binary").distinct()
+
+
+def _shared_buckets(classes: DataFrame) -> DataFrame:
+    """bucket, set, n, size and lead for buckets of several sets; of buckets with the same sets, one."""
+    members = saved(classes.select(F.explode("bands").alias("bucket"), "set", "n"), "near-bands")
+    mark = F.sum(F.xxhash64("set").cast("decimal(38,0)")).alias("mark")
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), mark).where("size > 1")
+    sizes = sizes.groupBy("size", "mark").agg(F.min("bucket").alias("bucket"), F.count(F.lit(1)).alias("times"))
+    shared = saved(members.join(sizes.select("bucket", "size", "times"), "bucket"), "near-buckets")
+    # The original of a family shares more buckets with its copies than they do with each other.
+    degrees = shared.groupBy("set").agg(F.sum(F.col("size") * F.col("times")).alias("degree"))
+    leads = shared.join(degrees, "set").groupBy("bucket").agg(F.max(F.struct("degree", "set", "n")).alias("lead"))
+    return saved(shared.join(leads.select("bucket", "lead"), "bucket").drop("times"), "near-led")
 
 
 def link_sets(classes: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """set and root, for each linked class but the roots. ``classes``: set, label, n, bands."""
-    members = classes.select(F.explode("bands").alias("bucket"), "set", "n")
-    first = members.groupBy("bucket").agg(F.min(F.struct("set", "n")).alias("lead"), F.count(F.lit(1)).alias("size"))
-    first = first.where("size > 1").select("bucket", F.col("lead.set").alias("leader"), F.col("lead.n").alias("leader_n"))
-    shared = saved(members.join(first, "bucket"), "near-buckets")
-    pairs = shared.where(F.col("set") != F.col("leader")).where(_possible(percent)).select("leader", F.col("set").alias("member")).distinct()
-    tested = pairs = saved(pairs, "near-pairs")
-    links = saved(_confirmed(pairs, classes, docs, key, text, words, percent), "near-links")
+    """node and root, for each linked class but the roots. ``classes``: set, label, n, bands."""
+    shared = _shared_buckets(classes)
+    label = shared.select("set").distinct().join(classes.select("set", "label"), "set")
+    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    texts = saved(label.join(texts, label["label"].eqNullSafe(texts["_key"])).select("set", "_text"), "near-texts")
+
+    # Every member meets the lead of its bucket: the lead is held, its members stream past it.
+    possible = F.least("n", "lead.n") * 100 >= F.greatest("n", "lead.n") * percent
+    led = shared.where(possible).where("set <> lead.set").select(F.col("lead.set").alias("place"), "set").distinct()
+    groups = led.groupBy("place").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("groups"))
+    members = led.join(groups, "place").select("place", F.pmod(F.xxhash64("set"), "groups").alias("salt"), F.lit(1).alias("side"), "set", F.col("set").alias("root"))
+    leads = groups.select("place", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), F.lit(0).alias("side"))
+    leads = leads.select("*", F.col("place").alias("set"), F.col("place").alias("root"))
+    links = saved(_met(members.union(leads), texts, words, percent), "near-links")
     roots = components(links)
-    # Each leader has met its bucket; what is left of a bucket must still span two components.
-    unmet = shared.where(F.col("set") != F.col("leader")).select("bucket", "set", "n")
-
-    most = 8
-    while True:
-        placed = unmet.join(roots.withColumnRenamed("node", "set"), "set", "left").select("bucket", "set", "n", F.coalesce("root", "set").alias("root"))
-        placed = saved(placed, "near-placed")
-        parts = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("part"))
-        spanning = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1").select("bucket")
-        unmet = saved(placed.join(spanning, "bucket").join(parts, ["bucket", "root"]), "near-unmet")
-        if unmet.isEmpty():
-            return roots
-        order = W.partitionBy("bucket").orderBy("part", "root", "set")
-        leaders = unmet.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
-        leaders = saved(leaders.select("bucket", F.col("set").alias("leader"), F.col("n").alias("leader_n"), F.col("root").alias("leader_root"), "rank"), "near-leaders")
-        met = leaders.select("bucket", F.col("leader").alias("set"), F.col("rank").alias("own_rank"))
-        facing = unmet.join(met, ["bucket", "set"], "left").join(leaders, "bucket")
-        facing = facing.where("root <> leader_root and (own_rank is null or own_rank > rank)").where(_possible(percent))
-        pairs = facing.select(F.least("leader", "set").alias("leader"), F.greatest("leader", "set").alias("member")).distinct()
-        known = tested.select(F.least("leader", "member").alias("leader"), F.greatest("leader", "member").alias("member"))
-        pairs = saved(pairs.join(known, ["leader", "member"], "left_anti"), "near-pairs")
-        if not pairs.isEmpty():
-            tested = tested.union(pairs)
-            links = links.union(saved(_confirmed(pairs, classes, docs, key, text, words, percent), "near-links"))
-            roots = components(links)
-        unmet = unmet.join(met, ["bucket", "set"], "left_anti").select("bucket", "set", "n")
-        most *= 4
+
+    # A bucket that spans several components: what lies outside its largest one meets all of it.
+    placed = shared.join(roots.withColumnRenamed("node", "set"), "set", "left").select("bucket", "set", "size", F.coalesce("root", "set").alias("root"))
+    placed = saved(placed, "near-placed")
+    parts = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("part"))
+    largest = parts.groupBy("bucket").agg(F.max(F.struct("part", "root")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    # The lead has met its bucket, so a bucket of two is decided.
+    open_ = placed.where("size > 2").join(largest, "bucket").select(
+        F.col("bucket").alias("place"), F.ceil(F.col("size") / BLOCK_SETS).alias("groups"), "set", "root", (F.col("root") != F.col("most.root")).alias("outside")
+    )
+    open_ = saved(open_, "near-open")
+    held = open_.select("place", F.pmod(F.xxhash64("set"), "groups").alias("salt"), F.lit(0).alias("side"), "set", "root")
+    passing = open_.where("outside").select("place", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), F.lit(1).alias("side"), "set", "root")
+    more = saved(_met(held.union(passing), texts, words, percent), "near-links")
+    return components(links.union(more))
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
