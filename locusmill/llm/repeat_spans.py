@@ -10,7 +10,8 @@ those that are still undecided are looked at again, on a sample of the suffixes:
    one anchor are a run, a row of anchor, place and a hash of the run's bytes.
 2. Runs of equal bytes are a block. A block of two or more is repeated throughout, and one run
    stands for it from here on. An anchor with a single block is decided.
-3. Where an anchor has several blocks, their windows are compared one by one, by hash.
+3. Where an anchor has several blocks, the bytes of one run of each are brought together and
+   their windows compared; anchors of more than ``MOST_BLOCKS`` blocks compare through a shuffle.
 
 Rows grow with the bytes divided by half a window, whatever repeats how often; counts are
 aggregated before the shuffle, and joins are such that Spark splits their large partitions. Texts
@@ -31,12 +32,16 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from locusmill.llm.scratch import saved
 
 LENGTH = 200
-GRAM = 64
+GRAM = 32
 SEGMENT = 1 << 22
+#: Blocks of an anchor that one task compares at once; the windows of larger ones go through a shuffle.
+MOST_BLOCKS = 4096
+BATCH_BYTES = 4 << 20
 
 _RANDOM = np.random.default_rng(20240713)
 _BYTES = _RANDOM.integers(0, 2**64, 256, dtype=np.uint64)
@@ -146,44 +151,117 @@ def _with_texts(found: DataFrame, packed: DataFrame, how: str = "inner") -> Data
     return packed.join(found, same, how).drop("_its_key", "_its_same")
 
 
-def _windows(contested: DataFrame, packed: DataFrame, length: int) -> DataFrame:
-    """_key, _same, at, alone and hash of every window of the contested runs."""
-    by_text = contested.groupBy("_key", "_same").agg(F.collect_list(F.struct("at", "count", "alone")).alias("runs"))
+def _contexts(contested: DataFrame, packed: DataFrame, length: int) -> DataFrame:
+    """anchor, wide, _key, _same, at, alone and the bytes of every contested run."""
+    by_text = contested.groupBy("_key", "_same").agg(F.collect_list(F.struct("anchor", "wide", "at", "count", "alone")).alias("runs"))
     key_type = packed.schema["_key"].dataType.simpleString()
+    names = ["anchor", "wide", "_key", "_same", "at", "alone", "bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
         for batch in batches:
             for row in range(batch.num_rows):
-                data = np.frombuffer(unpress.decompress(batch.column(2)[row].as_py()), np.uint8)
+                data = unpress.decompress(batch.column(2)[row].as_py())
                 runs = batch.column(3)[row].as_py()
-                at = np.concatenate([np.arange(r["at"], r["at"] + r["count"]) for r in runs])
-                alone = np.repeat([r["alone"] for r in runs], [r["count"] for r in runs])
-                hashes = np.empty(len(at), np.uint64)
-                for base, piece in _segments(data, length):
-                    here = (at >= base) & (at < base + SEGMENT)
-                    hashes[here] = gram_hashes(piece, {length})[length][at[here] - base]
-                owner = pa.array(np.full(len(at), row))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(owner), batch.column(1).take(owner), pa.array(at, pa.int32()), pa.array(alone), pa.array(hashes.view(np.int64))],
-                    ["_key", "_same", "at", "alone", "hash"],
-                )
+                cut = [data[r["at"] : r["at"] + r["count"] - 1 + length] for r in runs]
+                owner = pa.array(np.full(len(runs), row))
+                own = [batch.column(0).take(owner), batch.column(1).take(owner)]
+                anchor, wide, at, alone = (pa.array([r[n] for r in runs], k) for n, k in
+                                           (("anchor", pa.int64()), ("wide", pa.bool_()), ("at", pa.int32()), ("alone", pa.bool_())))
+                yield pa.RecordBatch.from_arrays([anchor, wide, *own, at, alone, pa.array(cut, pa.binary())], names)
 
     rows = _with_texts(by_text, packed).select("_key", "_same", "_packed", "runs")
-    return rows.mapInArrow(run, f"_key {key_type}, _same int, at int, alone boolean, hash bigint")
+    return rows.mapInArrow(run, f"anchor bigint, wide boolean, _key {key_type}, _same int, at int, alone boolean, bytes binary")
+
+
+def _window_hashes(contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all windows of some contexts, with the context and the place each is of."""
+    sizes = np.array([len(c) for c in contexts])
+    first = np.append(0, np.cumsum(sizes)[:-1])
+    hashes = gram_hashes(np.frombuffer(b"".join(contexts), np.uint8), {length})[length]
+    count = sizes - length + 1
+    owner = np.repeat(np.arange(len(contexts)), count)
+    place = np.arange(len(owner)) - np.repeat(np.append(0, np.cumsum(count)[:-1]), count)
+    return hashes[first[owner] + place], owner, place
+
+
+def _compared(contexts: DataFrame, length: int) -> DataFrame:
+    """_key, _same, at, count of repeated windows, from the contexts of whole anchors side by side."""
+    kind = contexts.schema["_key"].dataType
+    columns = ["anchor", "_key", "_same", "at", "alone", "bytes"]
+
+    def compare(rows: list[tuple]) -> pa.RecordBatch:
+        hashes, owner, place = _window_hashes([r[5] for r in rows], length)
+        order = np.argsort(hashes, kind="stable")
+        same = hashes[order][1:] == hashes[order][:-1]
+        twice = np.zeros(len(hashes), bool)
+        twice[order] = np.append(same, False) | np.append(False, same)
+        twice &= np.array([r[4] for r in rows])[owner]
+        # Neighbouring repeated windows of one context make one row.
+        starts = np.flatnonzero(twice & ~np.append(False, twice[:-1] & (owner[1:] == owner[:-1])))
+        stops = np.flatnonzero(twice & ~np.append(twice[1:] & (owner[1:] == owner[:-1]), False))
+        of = [rows[i] for i in owner[starts]]
+        at = np.array([r[3] for r in of], np.int32) + place[starts].astype(np.int32) if of else np.empty(0, np.int32)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[1] for r in of], to_arrow_type(kind)), pa.array([r[2] for r in of], pa.int32()), pa.array(at), pa.array((stops - starts + 1).astype(np.int16))],
+            ["_key", "_same", "at", "count"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole: list[tuple] = []
+        open_: list[tuple] = []
+        size = 0
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if open_ and open_[0][0] != row[0]:
+                    whole += open_
+                    open_ = []
+                    if size > BATCH_BYTES:
+                        yield compare(whole)
+                        whole, size = [], 0
+                open_.append(row)
+                size += len(row[5])
+        if whole or open_:
+            yield compare(whole + open_)
+
+    dealt = contexts.select(*columns).repartition("anchor").sortWithinPartitions("anchor")
+    return dealt.mapInArrow(run, f"_key {kind.simpleString()}, _same int, at int, count smallint")
+
+
+def _shuffled(contexts: DataFrame, length: int) -> DataFrame:
+    """The same for anchors of very many blocks, whose windows are compared through a shuffle, one row each."""
+    kind = contexts.schema["_key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            hashes, owner, place = _window_hashes(batch.column(4).to_pylist(), length)
+            own = pa.array(owner)
+            at = batch.column(2).take(own).to_numpy() + place.astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(own), batch.column(1).take(own), pa.array(at, pa.int32()), batch.column(3).take(own), pa.array(hashes.view(np.int64))],
+                ["_key", "_same", "at", "alone", "hash"],
+            )
+
+    windows = contexts.select("_key", "_same", "at", "alone", "bytes").mapInArrow(run, f"_key {kind}, _same int, at int, alone boolean, hash bigint")
+    windows = saved(windows, "repeat-windows")
+    twice = windows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    return windows.where("alone").join(twice, "hash", "left_semi").select("_key", "_same", "at", F.lit(1).cast("smallint").alias("count"))
 
 
-def _repeated(texts: DataFrame, packed: DataFrame, length: int, gram: int) -> DataFrame:
+def _repeated(texts: DataFrame, packed: DataFrame, length: int, gram: int, most_blocks: int) -> DataFrame:
     """_key, _same, at, count: starts of repeated windows, ``count`` of them from ``at``."""
     runs = saved(_runs(texts, length, gram), "repeat-runs")
+    twice = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    runs = saved(runs.join(twice, "anchor", "left_semi"), "repeat-shared")
     rep = F.min(F.struct("_key", "_same", "at", "count")).alias("rep")
     blocks = saved(runs.groupBy("anchor", "block").agg(F.count(F.lit(1)).alias("n"), rep), "repeat-blocks")
     whole = runs.join(blocks.where("n > 1").select("anchor", "block"), ["anchor", "block"], "left_semi").select("_key", "_same", "at", "count")
-    several = blocks.groupBy("anchor").agg(F.count(F.lit(1)).alias("blocks")).where("blocks > 1").select("anchor")
-    contested = blocks.join(several, "anchor").select("rep.*", (F.col("n") == 1).alias("alone"))
-    windows = saved(_windows(contested, packed, length), "repeat-windows")
-    twice = windows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    single = windows.where("alone").join(twice, "hash", "left_semi").select("_key", "_same", "at", F.lit(1).cast("smallint").alias("count"))
+    several = blocks.groupBy("anchor").agg(F.count(F.lit(1)).alias("blocks")).where("blocks > 1")
+    contested = blocks.join(several, "anchor").select("anchor", (F.col("blocks") > most_blocks).alias("wide"), "rep.*", (F.col("n") == 1).alias("alone"))
+    contexts = saved(_contexts(contested, packed, length), "repeat-contexts")
+    single = _compared(contexts.where("not wide"), length).unionByName(_shuffled(contexts.where("wide"), length))
     return whole.unionByName(single)
 
 
@@ -222,11 +300,11 @@ def _apply(found: DataFrame, packed: DataFrame, length: int, texts_too: bool) ->
     return rows.mapInArrow(run, f"_key {kind}, n_bytes bigint, spans array<struct<start:int,stop:int>>, kept_sha256 string, kept binary")
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, texts_too: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, texts_too: bool = True, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """``key``, n_bytes, spans (removed bytes), kept_sha256 and kept (the remaining bytes; null unless asked for)."""
     texts = _texts(docs, key, text)
     packed = _packed(texts)
-    found = _repeated(texts, packed, length, min(GRAM, length))
+    found = _repeated(texts, packed, length, min(GRAM, length), most_blocks)
     return _apply(found, packed, length, texts_too).withColumnRenamed("_key", key)
 
 
