@@ -40,6 +40,8 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 MEMO_CUTS = 200_000
 MEMO_MOVES = 300_000
 MEMO_PAIRS = 300_000
+NODE_BITS = 24
+NODE = (1 << NODE_BITS) - 1
 #: Fewer bytes than this are traced at once.
 LOOK_BACK = 256
 BATCH_ROWS = 256
@@ -75,7 +77,10 @@ class Utf8Stream:
 
 
 class BytePairTransducer:
-    """Encodes one cut of a text at a time. Threads are (last token or -1, trie node)."""
+    """Encodes one cut of a text at a time.
+
+    A thread is one number: its last token plus one (0 at the start), then its trie node.
+    """
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
@@ -93,8 +98,9 @@ class BytePairTransducer:
                     node = self._children[move] = len(self._token)
                     self._token.append(-1)
             self._token[node] = token
-        #: Nodes from which a longer token can be spelt; a thread at any other has ended.
-        self._inner = {move >> 8 for move in self._children}
+        # A thread ends at a node from which no longer token can be spelt; the last bit says which do not.
+        inner = {move >> 8 for move in self._children}
+        self._children = {move: node << 1 | (node in inner) for move, node in self._children.items()}
         self._splits: list[tuple[int, int] | tuple[()] | None] = [()] * len(self.names)
         self._pairs: dict[int, bool] = {}
         self._cuts: dict[str, list[int]] = {}
@@ -159,7 +165,7 @@ class BytePairTransducer:
             state.clear()
         self._states: dict[tuple, dict] = {}
         self._moves = 0
-        self._start = self._state(((-1, 0),))
+        self._start = self._state((0,))
 
     def _state(self, threads: tuple) -> dict:
         """A state maps bytes to (next state, token that ends there); under -1 it has its threads."""
@@ -172,16 +178,16 @@ class BytePairTransducer:
         """Makes the move of a state at a byte, and remembers it."""
         threads, ended = [], -1
         child_of, token_at = self._children.get, self._token
-        for last, node in state[-1]:
-            child = child_of(node << 8 | byte)
+        for thread in state[-1]:
+            child = child_of((thread & NODE) << 8 | byte)
             if child is not None:
-                if child in self._inner:
-                    threads.append((last, child))
+                if child & 1:
+                    threads.append(thread & ~NODE | child >> 1)
                 if ended < 0:
-                    token = token_at[child]
-                    if token >= 0 and self.follows(last, token):
+                    token = token_at[child >> 1]
+                    if token >= 0 and self.follows((thread >> NODE_BITS) - 1, token):
                         ended = token
-        threads.append((ended, 0))
+        threads.append(ended + 1 << NODE_BITS)
         move = state[byte] = self._state(tuple(threads)), ended
         self._moves += 1
         return move
@@ -262,13 +268,14 @@ class ByteBpe:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.transducer = BytePairTransducer(ranks)
-        self._cut = regex.compile(pattern).finditer
+        self._cut = regex.compile(pattern).findall
         # Texts with characters that only newer tables call letters or numbers take the strict pattern.
         letters, numbers = (newer_characters(kind) for kind in (r"\p{L}", r"\p{N}"))
         self._newer = re.compile(f"[{letters}{numbers}]").search
+        self._least_newer = min(int(code, 16) for code in re.findall(r"\\U(\w{8})", letters + numbers))
         strict = pattern.replace(r"[^\s\p{L}\p{N}]", rf"(?:[{letters}{numbers}]|[^\s\p{{L}}\p{{N}}])")
         strict = strict.replace(r"?\p{L}+", rf"?(?:(?![{letters}])\p{{L}})+").replace(r"?\p{N}+", rf"?(?:(?![{numbers}])\p{{N}})+")
-        self._cut_strictly = regex.compile(strict).finditer
+        self._cut_strictly = regex.compile(strict).findall
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> "ByteBpe":
@@ -278,12 +285,17 @@ class ByteBpe:
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         known, encode = self.transducer._cuts.get, self.transducer.encode_cut
-        cuts = self._cut if text.isascii() or not self._newer(text) else self._cut_strictly
-        for found in cuts(text):
-            cut = found[0]
+        for cut in self._cuts_of(text):
             out += known(cut) or encode(cut)
         return out
 
+    def _cuts_of(self, text: str) -> list[str]:
+        if not text.isascii():
+            codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
+            if codes.max() >= self._least_newer and self._newer(text):
+                return self._cut_strictly(text)
+        return self._cut(text)
+
     def decode_bytes(self, tokens: Iterable[int]) -> bytes:
         return b"".join(map(self.transducer.names.__getitem__, tokens))
 
