@@ -1,8 +1,8 @@
 """Removal of byte strings that occur more than once in a corpus.
 
 Not by merged Burrows-Wheeler transforms: interleaving shard transforms takes one pass over every
-byte of the corpus for each byte of common prefix, 200 here, so it can't meet the limits (figures
-in the README). What stays of it is the refinement of blocks of equal prefixes, of which only
+byte of the corpus for each byte of common prefix, 200 here, so by calculation it can't meet the
+limits (see the README). What stays of it is the refinement of blocks of equal prefixes, of which only
 those that are still undecided are looked at again, on a sample of the suffixes:
 
 1. Every ``LENGTH``-byte window names an anchor, the leftmost least hash of its ``GRAM``-byte
