@@ -35,6 +35,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from locusmill.llm.scratch import in_arrow
+
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bounds of what a worker remembers; beyond them it forgets everything and starts over.
 MEMO_CUTS = 200_000
@@ -344,7 +346,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], [key, "ids"])
 
     rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"`{key}` {rows.schema[0].dataType.simpleString()}, ids binary")
+    return in_arrow(rows, run, f"`{key}` {rows.schema[0].dataType.simpleString()}, ids binary")
 
 
 def decode(encoded: DataFrame, key: str = "doc_id", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -362,7 +364,7 @@ def decode(encoded: DataFrame, key: str = "doc_id", vocabulary: str = VOCABULARY
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [key, "ids", "text"])
 
     rows = encoded.select(key, "ids")
-    return rows.mapInArrow(run, f"`{key}` {rows.schema[0].dataType.simpleString()}, ids binary, text string")
+    return in_arrow(rows, run, f"`{key}` {rows.schema[0].dataType.simpleString()}, ids binary, text string")
 
 
 def summary(decoded: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusmill.llm.components import components
-from locusmill.llm.scratch import saved
+from locusmill.llm.scratch import in_arrow, saved
 
 PERMUTATIONS = 48
 ROWS = 4
@@ -40,7 +40,7 @@ BANDS = 2 * PERMUTATIONS // ROWS
 GROUP = 128
 BLOCK = 1024
 BLOCK_SETS = 512
-WORDS_REMEMBERED = 500_000
+WORDS_REMEMBERED = 200_000
 
 _RANDOM = np.random.default_rng(20240607)
 _TIMES = _RANDOM.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -129,7 +129,7 @@ def sketches(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
             )
 
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    return rows.mapInArrow(run, f"_key {rows.schema[0].dataType.simpleString()}, n bigint, set binary, bands array<bigint>")
+    return in_arrow(rows, run, f"_key {rows.schema[0].dataType.simpleString()}, n bigint, set binary, bands array<bigint>")
 
 
 class _Block:
@@ -184,7 +184,7 @@ def _met(rows: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFra
                     found += [(name, other) for other in near.values()]
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], ["node", "root"])
 
-    return asked.mapInArrow(run, "node binary, root binary").distinct()
+    return in_arrow(asked, run, "node binary, root binary").distinct()
 
 
 def _shared_buckets(classes: DataFrame) -> DataFrame:

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from locusmill.llm.scratch import in_arrow
+
 MOST_LABELLED = 5000
 BUCKETS = 1 << 13
 RANK = 4
@@ -55,7 +57,7 @@ class Features:
     def _bucket(self, word: str) -> int:
         found = self._buckets.get(word)
         if found is None:
-            if len(self._buckets) >= 500_000:
+            if len(self._buckets) >= 200_000:
                 self._buckets.clear()
             found = self._buckets[word] = zlib.crc32(word.encode()) % BUCKETS
         return found
@@ -175,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.join(F.broadcast(sample), F.col("key") == F.col("_id")).select("key", "text", "label")
     kind = rows.schema["key"].dataType.simpleString()
-    made = rows.mapInArrow(_features, f"key {kind}, label int, index binary, values binary").toArrow().sort_by("key")
+    made = in_arrow(rows, _features, f"key {kind}, label int, index binary, values binary").toArrow().sort_by("key")
     index = [np.frombuffer(b, np.int32) for b in made.column("index").to_pylist()]
     values = [np.frombuffer(b, np.float32) for b in made.column("values").to_pylist()]
     return fit(list(zip(index, values, strict=True)), made.column("label").to_numpy().astype(np.float32))
@@ -192,7 +194,7 @@ def score(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "t
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], [key, "score"])
 
     rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))
-    scored = rows.mapInArrow(run, f"`{key}` {rows.schema[0].dataType.simpleString()}, score double")
+    scored = in_arrow(rows, run, f"`{key}` {rows.schema[0].dataType.simpleString()}, score double")
     return scored.select(key, held_out(key).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -207,4 +209,4 @@ def drop_rejected(docs: DataFrame, machine: Machine, text: str = "text") -> Data
             good = [model.score(*features.of(t or "")) >= THRESHOLD for t in batch.column(place).to_pylist()]
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)

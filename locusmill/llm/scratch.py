@@ -8,9 +8,12 @@ a folder of this machine is taken.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
 LOCAL_DIR = "file:///tmp/checkpoints/locusmill"
 
 
@@ -32,6 +35,18 @@ def saved(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_arrow(df: DataFrame, function: Callable, schema: object) -> DataFrame:
+    """``mapInArrow`` in batches of some ``BATCH_BYTES``.
+
+    A batch of texts is held several times over, by the JVM, as Arrow and as Python strings. The
+    size is a setting of the session; one that is set already is left alone.
+    """
+    conf = df.sparkSession.conf
+    if BATCH_SETTING not in conf.getAll:
+        conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
+    return df.mapInArrow(function, schema)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Deletes a folder made by ``fresh_path`` once no result still reads it."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
