@@ -19,6 +19,14 @@ def rolled_up(events: DataFrame, keys: list[str], order: list[str], evidence: st
     return grouped.select(*keys, "occurrences", "first", "last")
 
 
+def reopened(events: DataFrame, key: str, order: list[str], resolves: Column) -> DataFrame:
+    """key, occurrences and status: resolved if the last event resolves, unresolved if an earlier one did, else new."""
+    last = F.max(F.struct(*order, resolves.alias("_resolves")))["_resolves"]
+    grouped = events.groupBy(key).agg(F.count(F.lit(1)).alias("occurrences"), last.alias("_last"), F.max(resolves).alias("_ever"))
+    status = F.when(F.col("_last"), "resolved").when(F.col("_ever"), "unresolved").otherwise("new")
+    return grouped.select(key, "occurrences", status.alias("status"))
+
+
 def without(incoming: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
     """Incoming rows whose key isn't known yet."""
     return incoming.join(known.select(*keys).distinct(), keys, "left_anti")

@@ -1,6 +1,6 @@
 """Query plans and the SQL they are held against."""
 
-from locusmill.plans import locate_queries, record_queries, text_queries  # noqa: F401
+from locusmill.plans import locate_queries, record_queries, span_queries, text_queries  # noqa: F401
 from locusmill.plans.registry import ORACLES, QUERIES, Query
 
 __all__ = ["ORACLES", "QUERIES", "Query"]
