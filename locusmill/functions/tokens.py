@@ -24,10 +24,11 @@ def science_tokens(column: str | Column, composed: bool = False) -> Column:
     return F.regexp_extract_all(text, F.lit(SCIENCE), F.lit(0))
 
 
-def plain_sentences(text: Column, most: int = 30) -> Column:
-    """Sentences of at least eight characters by their closing marks alone, the first ``most``."""
+def plain_sentences(text: Column, most: int | None = None) -> Column:
+    """Sentences of at least eight characters by their closing marks alone: all, or the first ``most``."""
     found = F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), lambda s: F.trim(s))
-    return F.slice(F.filter(found, lambda s: F.length(s) >= 8), 1, most)
+    found = F.filter(found, lambda s: F.length(s) >= 8)
+    return found if most is None else F.slice(found, 1, most)
 
 
 def cjk_sentences(column: Column) -> Column:
@@ -52,6 +53,13 @@ def clause_spans(sentence: Column) -> Column:
     return F.transform(pairs, lambda p: F.trim(F.array_join(F.slice(pieces, p["i"], p["j"] - p["i"] + 1), "")))
 
 
+def mapping_candidates(paragraph: Column, sentences: Column) -> Column:
+    """The paragraph, its sentences, their clauses and the windows of two to five sentences: distinct, of at least eight characters."""
+    clauses = F.flatten(F.transform(sentences, clause_spans))
+    runs = F.transform(windows(sentences), lambda w: w["text"])
+    return F.filter(F.array_distinct(F.concat(F.array(paragraph), sentences, clauses, runs)), lambda c: F.length(c) >= 8)
+
+
 def bigrams(text: Column) -> Column:
     starts = F.when(F.length(text) >= 2, F.sequence(F.lit(1), F.length(text) - 1)).otherwise(F.expr("cast(array() as array<int>)"))
     return F.transform(starts, lambda i: F.substring(text, i, F.lit(2)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -102,6 +102,8 @@ def usable_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", title.alias("title"), (~robot & words).alias("usable"))
 
 
+#: Sentences that the SQL of ``sentence_windows`` and ``mapping_shortlist`` asks for; the ``whole_`` queries take all.
+_FIRST = 30
 _SENTENCES = rf"list_filter(list_transform(regexp_extract_all({_READABLE}, '[^.!?]+[.!?]+'), lambda s: trim(s)), lambda s: length(s) >= 8)[1:30]"
 
 
@@ -112,6 +114,20 @@ p AS (SELECT doc_id, s, size, unnest(range(0, len(s) - size + 1)) AS start FROM
 SELECT doc_id, CAST(size AS INTEGER) AS size, CAST(start AS INTEGER) AS start, array_to_string(s[start + 1 : start + size], ' ') AS text FROM p
 """)
 def sentence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", K.plain_sentences(T.readable("text"), _FIRST).alias("s"))
+    return docs.select("doc_id", F.inline(K.windows(F.col("s"))))
+
+
+_ALL_SENTENCES = rf"list_filter(list_transform(regexp_extract_all({_READABLE}, '[^.!?]+[.!?]+'), lambda s: trim(s)), lambda s: length(s) >= 8)"
+_ALL_WINDOWS = """
+w AS (SELECT doc_id, s, unnest(range(2, 6)) AS size FROM s),
+x AS (SELECT doc_id, s, size, unnest(range(0, len(s) - size + 1)) AS start FROM w WHERE len(s) >= size),
+runs AS (SELECT doc_id, CAST(size AS INTEGER) AS size, CAST(start AS INTEGER) AS start, array_to_string(s[start + 1 : start + size], ' ') AS text FROM x)
+"""
+
+
+@query(f"WITH s AS (SELECT doc_id, {_ALL_SENTENCES} AS s FROM documents), {_ALL_WINDOWS} SELECT doc_id, size, start, text FROM runs")
+def whole_sentence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", K.plain_sentences(T.readable("text")).alias("s"))
     return docs.select("doc_id", F.inline(K.windows(F.col("s"))))
 
@@ -155,7 +171,7 @@ SELECT doc_id, CAST(place AS INTEGER) AS place, cand AS candidate, penalty FROM
 """)
 def mapping_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", T.readable("text").alias("p"))
-    docs = docs.select("doc_id", "p", K.plain_sentences(F.col("p")).alias("s")).where(F.size("s") >= 3)
+    docs = docs.select("doc_id", "p", K.plain_sentences(F.col("p"), _FIRST).alias("s")).where(F.size("s") >= 3)
     docs = docs.select("doc_id", "p", F.col("s")[1].alias("chosen"), F.explode(F.array_distinct("s")).alias("cand"))
     penalty = similarity.position_penalty(F.col("p"), F.col("chosen"), F.col("p"), F.col("cand"))
     order = W.partitionBy("doc_id").orderBy("penalty", "cand")
@@ -163,6 +179,33 @@ def mapping_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.where("place <= 6").select("doc_id", "place", F.col("cand").alias("candidate"), "penalty")
 
 
+@query(rf"""
+WITH s AS (SELECT doc_id, {_READABLE} AS p, {_ALL_SENTENCES} AS s FROM documents), {_ALL_WINDOWS},
+c AS (SELECT doc_id, string_split(regexp_replace(x, '([,;]\s+)((?:which|where|whereas|however|these|this|they|it|although|while|but|and)\b)', '\1' || chr(1) || '\2', 'gi'), chr(1)) AS c
+  FROM (SELECT doc_id, unnest(s) AS x FROM s)),
+i AS (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM c),
+j AS (SELECT doc_id, c, i, unnest(range(i, len(c) + 1)) AS j FROM i),
+a AS (SELECT doc_id, p AS cand FROM s UNION SELECT doc_id, unnest(s) FROM s UNION SELECT doc_id, trim(array_to_string(c[i:j], '')) FROM j UNION SELECT doc_id, text FROM runs),
+r AS (SELECT doc_id, cand, round(2 * abs((greatest(strpos(p, cand) - 1, 0) + length(cand) / 2.0) / length(p) - (strpos(p, chosen) - 1 + length(chosen) / 2.0) / length(p))
+    + 0.35 * abs(length(cand) - greatest(24, length(chosen))) / greatest(24, length(chosen)), 9) AS penalty
+  FROM (SELECT doc_id, p, s[2] AS chosen, cand FROM s JOIN a USING (doc_id) WHERE len(s) >= 3 AND length(cand) >= 8)),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY penalty, cand) AS place FROM r)
+SELECT doc_id, CAST(place AS INTEGER) AS place, cand AS candidate, penalty FROM k WHERE place <= 6
+""")
+def whole_mapping_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.readable("text").alias("p"))
+    docs = docs.select("doc_id", "p", K.plain_sentences(F.col("p")).alias("s")).where(F.size("s") >= 3)
+
+    def ranked(candidate: Column) -> Column:
+        penalty = similarity.position_penalty(F.col("p"), F.col("s")[1], F.col("p"), candidate)
+        return F.struct(F.round(penalty, 9).alias("penalty"), candidate.alias("candidate"))
+
+    # Ranked inside the row: candidates are many times the text, and only the first six leave it.
+    best = F.slice(F.array_sort(F.transform(K.mapping_candidates(F.col("p"), F.col("s")), ranked)), 1, 6)
+    placed = docs.select("doc_id", F.posexplode(best).alias("place", "best"))
+    return placed.select("doc_id", (F.col("place") + 1).alias("place"), "best.candidate", "best.penalty")
+
+
 @query()
 def nfkc_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.normal_prose("text").alias("prose"))
