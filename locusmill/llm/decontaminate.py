@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusmill.llm.scratch import saved
+from locusmill.llm.scratch import saved, text_mark
 
 WINDOW = 10
 GRAM = 5
@@ -78,18 +78,29 @@ def benchmark_windows(items: DataFrame, item_key: str, text: str, window: int) -
     return rows.select("n", F.explode(cut).alias("window"), "item").distinct()
 
 
+def _row(key: str, text: str) -> Column:
+    """Tells rows apart by key and text, which every pass finds again whatever the splits of its scan."""
+    return F.concat_ws(":", F.col(key).cast("string"), text_mark(text).cast("string"))
+
+
 def find_hits(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
     item_text: str = "text", window: int = WINDOW, gram: int = GRAM, most_broadcast: int = MOST_BROADCAST,
 ) -> DataFrame:
     """One row per document: ``key``, n_words, spans (array of at and n, in words), items (array)."""
+    return _hits_by_row(docs, items, key, text, item_key, item_text, window, gram, most_broadcast).drop("_row")
+
+
+def _hits_by_row(
+    docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str = "item_id",
+    item_text: str = "text", window: int = WINDOW, gram: int = GRAM, most_broadcast: int = MOST_BROADCAST,
+) -> DataFrame:
+    """As ``find_hits``, with the row's mark as ``_row``."""
     known = saved(benchmark_windows(items, item_key, item_text, window), "bench-windows")
     small = known.count() <= most_broadcast
     near = F.broadcast if small else (lambda df: df)
 
-    # Rows are told apart by key and text, which every pass finds again whatever the splits of its scan.
-    row = F.concat_ws(":", F.col(key).cast("string"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).cast("string"))
-    base = docs.select(row.alias("_row"), F.col(key).alias("_key"), words(text).alias("_words"))
+    base = docs.select(_row(key, text).alias("_row"), F.col(key).alias("_key"), words(text).alias("_words"))
     full = known.where(F.col("n") == window).select(F.split("window", " ").alias("_words"))
     full, print_name = fingerprints(full, window, gram)
     # Written once: a filter on the join key would else be pushed down with the whole chain inlined.
@@ -122,7 +133,7 @@ def find_hits(
     )
     one = passed.where("at is null or at = 0")
     return one.join(found, "_row", "left").select(
-        F.col("_key").alias(key), "n_words",
+        "_row", F.col("_key").alias(key), "n_words",
         F.coalesce("spans", F.expr("cast(array() as array<struct<at:int,n:int>>)")).alias("spans"),
         F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"),
     )
@@ -150,5 +161,5 @@ def summary(hits: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without those that hold a window of the benchmark; columns stay as they are."""
-    hit = find_hits(docs, items, key, text).where(F.size("spans") > 0).select(F.col(key).alias("_hit_key")).distinct()
-    return docs.join(hit, docs[key].eqNullSafe(hit["_hit_key"]), "left_anti")
+    hit = _hits_by_row(docs, items, key, text).where(F.size("spans") > 0).select(F.col("_row").alias("_hit_row")).distinct()
+    return docs.join(hit, _row(key, text) == hit["_hit_row"], "left_anti")

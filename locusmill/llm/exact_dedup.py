@@ -89,6 +89,10 @@ def duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", c
 
 
 def drop_exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without those that equal one with a smaller key; columns stay as they are."""
-    kept = duplicate_groups(docs, key, text).where("kept").select(F.col(key).alias("_kept_key")).distinct()
-    return docs.join(kept, docs[key].eqNullSafe(kept["_kept_key"]), "left_semi")
+    """The documents without those that equal one with a smaller key; columns stay as they are.
+
+    Rows with the same key and different texts are judged apart.
+    """
+    kept = duplicate_groups(docs, key, text).where("kept").select(F.col(key).alias("_kept_key"), F.col("text_sha256").alias("_kept_text")).distinct()
+    same = docs[key].eqNullSafe(kept["_kept_key"]) & (F.sha2(normalised(docs[text]), 256) == kept["_kept_text"])
+    return docs.join(kept, same, "left_semi")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusmill.llm.components import components
-from locusmill.llm.scratch import in_arrow, saved
+from locusmill.llm.scratch import in_arrow, saved, text_mark
 
 PERMUTATIONS = 48
 ROWS = 4
@@ -113,7 +113,7 @@ def _key_of(shingles: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """_key, n (set size), set (its 128-bit digest; null where empty) and bands, per document."""
+    """_key, mark (of the text), n (set size), set (its 128-bit digest; null where empty) and bands, per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -121,15 +121,15 @@ def sketches(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
             sets = [shingler.set_of(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                    batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_key_of(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array([bands_of(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 ],
-                ["_key", "n", "set", "bands"],
+                ["_key", "mark", "n", "set", "bands"],
             )
 
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    return in_arrow(rows, run, f"_key {rows.schema[0].dataType.simpleString()}, n bigint, set binary, bands array<bigint>")
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), text_mark(text).alias("mark"))
+    return in_arrow(rows, run, f"_key {rows.schema[0].dataType.simpleString()}, mark bigint, n bigint, set binary, bands array<bigint>")
 
 
 class _Block:
@@ -235,21 +235,33 @@ def link_sets(classes: DataFrame, docs: DataFrame, key: str, text: str, words: i
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: ``key``, n_shingles, component_id, kept."""
+    each, named = _placed(docs, key, text, words, percent)
+    # Only classes with a null set are missing from ``named``; those documents stand alone.
+    return each.join(named.drop("root"), "set", "left").select(
+        F.col("_key").alias(key), F.col("n").alias("n_shingles"),
+        F.when(F.col("set").isNull(), F.col("_key")).otherwise(F.col("component_id")).alias("component_id"),
+    ).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+
+
+def _placed(docs: DataFrame, key: str, text: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches, and set, root and component_id of each class."""
     each = saved(sketches(docs, key, text, words), "near-sketches")
     filled = each.where("set is not null")
     classes = filled.groupBy("set").agg(F.min("_key").alias("label"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = saved(classes, "near-classes")
     roots = link_sets(classes, docs, key, text, words, percent)
     placed = classes.join(roots.withColumnRenamed("node", "set"), "set", "left").select("set", "label", F.coalesce("root", "set").alias("root"))
-    named = placed.join(placed.groupBy("root").agg(F.min("label").alias("component_id")), "root").select("set", "component_id")
-    # Only classes with a null set are missing from ``named``; those documents stand alone.
-    return each.join(named, "set", "left").select(
-        F.col("_key").alias(key), F.col("n").alias("n_shingles"),
-        F.when(F.col("set").isNull(), F.col("_key")).otherwise(F.col("component_id")).alias("component_id"),
-    ).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+    return each, placed.join(placed.groupBy("root").agg(F.min("label").alias("component_id")), "root").select("set", "root", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group, that with the smallest key; columns stay as they are."""
-    kept = near_groups(docs, key, text, words, percent).where("kept").select(F.col(key).alias("_kept_key")).distinct()
-    return docs.join(kept, docs[key].eqNullSafe(kept["_kept_key"]), "left_semi")
+    """One document of each group, that with the smallest key; columns stay as they are.
+
+    Of several texts of a group under that key the one with the smallest mark stays. Rows with the
+    same key in different groups are judged apart.
+    """
+    each, named = _placed(docs, key, text, words, percent)
+    first = each.join(named, "set").where(F.col("_key").eqNullSafe(F.col("component_id")))
+    first = first.groupBy("root").agg(F.min(F.struct("_key", "mark")).alias("kept")).select("kept._key", "kept.mark")
+    kept = first.union(each.where("set is null").select("_key", "mark")).distinct().toDF("_kept_key", "_kept_mark")
+    return docs.join(kept, docs[key].eqNullSafe(kept["_kept_key"]) & (text_mark(text) == kept["_kept_mark"]), "left_semi")

@@ -10,7 +10,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 8 << 20
@@ -35,6 +36,11 @@ def saved(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_mark(text: str) -> Column:
+    """A hash that tells rows of one key apart by their texts; a null text counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def in_arrow(df: DataFrame, function: Callable, schema: object) -> DataFrame:
     """``mapInArrow`` in batches of some ``BATCH_BYTES``.
 
