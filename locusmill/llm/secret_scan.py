@@ -1,8 +1,8 @@
 """Secret scan with corpus-wide ownership frequency, in DataFrame and SQL functions only.
 
 Base spans come from three patterns. The method then looks at every candidate value of the
-corpus, base or not: its hash is counted by distinct repositories (documents) and distinct owners
-(sources). Values of many owners or many repositories are copied examples; values of few are
+corpus, base or not: its hash is counted by distinct repositories (texts of an owner) and distinct
+owners (sources). Values of many owners or many repositories are copied examples; values of few are
 owner-specific and look live. Base spans always stay; long mixed tokens outside of them are added
 as kind ``owned`` only when their value is owner-specific.
 
@@ -20,13 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusmill.llm.scratch import saved
+from locusmill.llm.scratch import saved, text_mark
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: kind: pattern, group that holds the value, its least length (of the whole match for group 0).
 BASE_KINDS = {"assign": (ASSIGN, 1, 8), "access": (r"AKIA[A-Z0-9]{12,}+", 0, 16), "hex": (r"[0-9a-f]{32,}+", 0, 32)}
-#: A long run of token characters with a letter, a digit and no path look.
-LOOSE = r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=-]{0,40}[0-9])(?=[0-9+/_=-]{0,40}[A-Za-z])[A-Za-z0-9+/_=-]{20,}+(?![.][A-Za-z0-9])"
+#: A run of token characters, with single dots inside; its length, a letter and a digit are asked for afterwards.
+LOOSE = r"(?<![A-Za-z0-9+/_=-])(?<![A-Za-z0-9+/_=-][.])(?=[A-Za-z0-9+/_=.-]{20})[A-Za-z0-9+/_=-]++(?:[.][A-Za-z0-9+/_=-]++)*+"
 MAX_OWNERS = 2
 MAX_REPOSITORIES = 20
 
@@ -54,6 +54,8 @@ def _positions(name: str, least: int, kind: str, rank: int) -> Column:
             F.lit(kind).alias("kind"), F.xxhash64(row["value"]).alias("hash"),
         )
         fits = F.coalesce(F.length(row["value"]) >= least, F.lit(False))
+        if kind == "owned":
+            fits &= F.regexp_like(row["value"], F.lit("[0-9]")) & F.regexp_like(row["value"], F.lit("[A-Za-z]"))
         return F.struct(stop.alias("at"), F.when(fits, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
 
     empty = F.expr(f"cast(array() as {_SPANS})")
@@ -69,7 +71,7 @@ def _listed(spans: str | Column) -> Column:
 
 
 def candidate_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source") -> DataFrame:
-    """One row per document: _row, _key, _owner, base and loose (arrays of spans)."""
+    """One row per document: _row, _key, _owner, _mark (of the text), base and loose (arrays of spans)."""
     kinds = {**BASE_KINDS, "owned": (LOOSE, 0, 20)}
     rows = docs.select(
         F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), F.col(owner).alias("_owner"),
@@ -81,17 +83,20 @@ def candidate_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", ow
             matched[f"_{kind}_{name}"] = column
     for kind in kinds:  # the pieces are only cut where something matches
         matched[f"_{kind}_pieces"] = F.when(F.regexp_like("_text", F.lit(kinds[kind][0])), matched[f"_{kind}_pieces"])
-    rows = rows.select("_row", "_key", "_owner", *(c.alias(n) for n, c in matched.items()))
+    rows = rows.select("_row", "_key", "_owner", text_mark("_text").alias("_mark"), *(c.alias(n) for n, c in matched.items()))
     spans = {kind: _positions(kind, least, kind, rank) for rank, (kind, (_, _, least)) in enumerate(kinds.items())}
-    rows = rows.select("_row", "_key", "_owner", *(c.alias(f"_{k}") for k, c in spans.items()))
+    rows = rows.select("_row", "_key", "_owner", "_mark", *(c.alias(f"_{k}") for k, c in spans.items()))
     base = F.array_sort(F.concat(*(F.col(f"_{k}") for k in BASE_KINDS)))
     clear = lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-    return rows.withColumn("base", base).select("_row", "_key", "_owner", "base", F.filter("_owned", clear).alias("loose"))
+    return rows.withColumn("base", base).select("_row", "_key", "_owner", "_mark", "base", F.filter("_owned", clear).alias("loose"))
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """hash, n_repositories, n_owners over all candidates (columns _row, _owner, hash)."""
-    by_owner = candidates.groupBy("hash", "_owner", "_row").agg(F.lit(1).alias("one"))
+    """hash, n_repositories, n_owners over all candidates (columns _mark, _owner, hash).
+
+    Copies of a text within one owner count once.
+    """
+    by_owner = candidates.groupBy("hash", "_owner", "_mark").agg(F.lit(1).alias("one"))
     by_owner = by_owner.groupBy("hash", "_owner").agg(F.count(F.lit(1)).alias("n"))
     return by_owner.groupBy("hash").agg(F.sum("n").alias("n_repositories"), F.count(F.lit(1)).alias("n_owners"))
 
@@ -105,8 +110,8 @@ def scan(
     n_live and n_copied count the base spans whose value is owner-specific or widely copied.
     """
     rows = saved(candidate_spans(docs, key, text, owner), "secret-spans")
-    each = rows.select("_row", "_owner", F.explode(F.concat("base", "loose")).alias("span"))
-    each = each.select("_row", "_owner", "span", F.col("span.hash").alias("hash"))
+    each = rows.select("_row", "_owner", "_mark", F.explode(F.concat("base", "loose")).alias("span"))
+    each = each.select("_row", "_owner", "_mark", "span", F.col("span.hash").alias("hash"))
     verdicts = ownership(each).select(
         "hash", ((F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories)).alias("live")
     )
