@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from locusmill.sources.tables import fresh_path
 
-def run_to_end(spark: SparkSession, source: str, plan: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The final table of an aggregating stream over the Parquet files of ``source``.
 
-    State and output live in the folder that the cluster shares; each batch replaces the table.
+def run_to_end(spark: SparkSession, source: str, plan: Callable[[DataFrame], DataFrame], mode: str = "complete") -> DataFrame:
+    """The output of a stream over the Parquet files of ``source``.
+
+    State and output live in the folder that the cluster shares. In ``complete`` mode each batch
+    replaces the table; in ``append`` and ``update`` mode each batch has a folder of its own, so a
+    batch that is run again after a loss replaces its own rows alone.
     """
-    base = f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/checkpoints/locusmill').rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = fresh_path(spark, "stream")
     schema = spark.read.parquet(source).schema
     stream = plan(spark.readStream.schema(schema).parquet(source))
 
-    def replace(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/table")
+    def write(batch: DataFrame, number: int) -> None:
+        folder = f"{base}/table" if mode == "complete" else f"{base}/table/batch={number}"
+        batch.write.mode("overwrite").parquet(folder)
 
-    started = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(replace).start()
+    started = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(write).start()
     started.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/table")
+    found = spark.read.schema(stream.schema).parquet(f"{base}/table")
+    return found.select(*stream.columns)

@@ -22,3 +22,17 @@ def test_entry_module_imports(spark):
     assert set(QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_entry_module_without_the_training_data_folder(tmp_path):
+    """In a copy without both ``llm`` folders everything else imports, the pipeline's file with it."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    skipped = shutil.ignore_patterns("llm", ".git", "__pycache__")
+    shutil.copytree(root, tmp_path / "copy", ignore=skipped)
+    code = "import __spark_entry__ as e; assert 'locate_passages' in e.queries() and e.oracle_sql() and 'pipeline' not in e.queries()"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path / "copy")}, check=True)
