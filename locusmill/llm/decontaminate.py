@@ -1,19 +1,22 @@
 """Benchmark decontamination by winnowing, in DataFrame and SQL functions only.
 
 Texts are lower-cased in A-Z and cut into words. A window is ``WINDOW`` consecutive words of a
-benchmark item. Winnowing keeps the least hash of the K-word grams in every window, so two equal
-windows always keep the same fingerprint. Fingerprints of benchmark and documents are joined, and
-each hit is extended to the whole window and compared word for word before it counts. An item
-shorter than a window (but not empty) is one window of its own length; those few lengths are
-joined on the hash of the whole item instead, and compared likewise.
+benchmark item. Winnowing keeps of every window the ``GRAM``-word grams with its least hash (all of
+them where several tie), so two equal windows always keep the same gram at the same place. About
+two grams in seven are kept. Fingerprints of benchmark and documents are joined, and each hit is
+extended word by word to both sides as far as a window that holds the gram can reach; what matches
+over a whole window counts, and overlapping hits make up longer passages. An item shorter than a
+window (but not empty) is one window of its own length; its hash is looked for at every place, for
+all such lengths in the same pass.
 
 The benchmark's side is broadcast only while it is counted to hold at most ``MOST_BROADCAST``
-windows; beyond that the same joins are left to shuffle. A document's windows go through the join
-inside one pass over the corpus; only hits (and one row per document) leave it.
+fingerprints, and then one pass over the corpus makes all hits. Beyond that, fingerprints alone go
+through a shuffle, and the words around a hit are cut from the documents that have one.
 
 Defined cases: a null text has no words; a document or item without words hits nothing; an item
 repeated under several ids counts once for each id; rows with the same key are judged apart; an
-empty table gives no rows; an empty benchmark hits nothing. Null item_ids read as ''.
+empty table gives no rows; an empty benchmark hits nothing. Null item_ids read as ''. Texts of any
+length are taken whole; other columns are never read.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from locusmill.llm.scratch import saved, text_mark
 
 WINDOW = 10
 GRAM = 5
-MOST_BROADCAST = 1_000_000
+MOST_BROADCAST = 200_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -59,23 +62,56 @@ def gram_hashes(df: DataFrame, gram: int) -> tuple[DataFrame, str]:
     return _widen(df, "_gram1", 1, gram, "gram", lambda a, b: F.xxhash64(a, b))
 
 
-def fingerprints(df: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, str]:
-    """Adds an array with the fingerprint of every window of column _words."""
+def seeds(df: DataFrame, window: int, gram: int, short: list[int]) -> DataFrame:
+    """Adds _seeds, an array of at, n and print: the kept grams of column _words and, for each length in ``short``, all runs."""
+    wide, name = window - gram + 1, ""
     df, name = gram_hashes(df, gram)
-    return _widen(df, name, 1, window - gram + 1, "least", lambda a, b: F.least(a, b))
+    df, least = _widen(df, name, 1, wide, "least", lambda a, b: F.least(a, b))
+    # A gram is the least of some window if the greatest of the minima of the windows that hold it is its own hash.
+    edge = F.array_repeat(F.lit(-(2**63)).cast("bigint"), wide - 1)
+    df = df.withColumn("_edged", F.concat(edge, F.col(least), edge))
+    df, most = _widen(df, "_edged", 1, wide, "most", lambda a, b: F.greatest(a, b))
+    own = F.transform(F.zip_with(name, most, lambda h, m: F.when(h == m, h)), lambda h, i: F.struct(i.alias("at"), F.lit(window).alias("n"), h.alias("print")))
+    df = df.withColumn("_seeds", F.filter(own, lambda s: s["print"].isNotNull()))
+    for n in short:
+        df, name = gram_hashes(df, n)
+        df = df.withColumn("_seeds", F.concat("_seeds", _all_seeds(name, n)))
+    return df
 
 
-def _window_text(at: str, length: int) -> Column:
-    return F.array_join(F.slice(F.col("_words"), F.col(at) + 1, F.lit(length)), " ")
+def _all_seeds(hashes: str, n: int) -> Column:
+    return F.transform(hashes, lambda h, i: F.struct(i.alias("at"), F.lit(n).alias("n"), h.alias("print")))
 
 
-def benchmark_windows(items: DataFrame, item_key: str, text: str, window: int) -> DataFrame:
-    """n (words in the window), window (its text), item; one row per distinct window and item."""
+def _around(seed: str, window: int, gram: int) -> list[Column]:
+    """left and right: the words on both sides of a seed's start that a window which holds it can reach."""
+    at, n, reach = F.greatest(F.col(f"{seed}.at"), F.lit(0)), F.col(f"{seed}.n"), window - gram
+    left = F.when(n == window, F.least(at, F.lit(reach))).otherwise(0)
+    return [F.slice("_words", at - left + 1, left).alias("left"), F.slice("_words", at + 1, n).alias("right")]
+
+
+def _equal_run(a: Column, b: Column) -> Column:
+    """How many entries two arrays share from their start."""
+    differs = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False)
+    return F.when(differs > 0, differs - 1).otherwise(F.least(F.size(a), F.size(b))).cast("int")
+
+
+def benchmark_seeds(items: DataFrame, item_key: str, text: str, window: int, gram: int) -> DataFrame:
+    """n, print, left, right and item of every fingerprint of the benchmark."""
     rows = items.select(F.coalesce(F.col(item_key).cast("string"), F.lit("")).alias("item"), words(text).alias("_words"))
-    rows = rows.where(F.size("_words") > 0).withColumn("n", F.least(F.size("_words"), F.lit(window)))
-    starts = F.sequence(F.lit(1), F.size("_words") - F.col("n") + 1)
-    cut = F.transform(starts, lambda i: F.array_join(F.slice("_words", i, F.col("n")), " "))
-    return rows.select("n", F.explode(cut).alias("window"), "item").distinct()
+    rows = saved(rows.where(F.size("_words") > 0).distinct(), "bench-words")
+    parts = [_seed_rows(rows.where(F.size("_words") >= window), window, gram, [])]
+    for (n,) in rows.where(F.size("_words") < window).select(F.size("_words")).distinct().collect():  # at most window - 1
+        parts.append(_seed_rows(rows.where(F.size("_words") == n), window, gram, [n]).where(F.col("seed.at") == 0))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole.where("seed is not null").select("seed.n", "seed.print", *_around("seed", window, gram), "item").distinct()
+
+
+def _seed_rows(rows: DataFrame, window: int, gram: int, short: list[int]) -> DataFrame:
+    # An outer explode: from a plain one a filter on the array's size is inferred, and pushed below the chain with all of it inlined.
+    return seeds(rows, window, gram, short).select("item", "_words", F.explode_outer("_seeds").alias("seed"))
 
 
 def _row(key: str, text: str) -> Column:
@@ -87,58 +123,49 @@ def find_hits(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
     item_text: str = "text", window: int = WINDOW, gram: int = GRAM, most_broadcast: int = MOST_BROADCAST,
 ) -> DataFrame:
-    """One row per document: ``key``, n_words, spans (array of at and n, in words), items (array)."""
-    return _hits_by_row(docs, items, key, text, item_key, item_text, window, gram, most_broadcast).drop("_row")
-
-
-def _hits_by_row(
-    docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str = "item_id",
-    item_text: str = "text", window: int = WINDOW, gram: int = GRAM, most_broadcast: int = MOST_BROADCAST,
-) -> DataFrame:
-    """As ``find_hits``, with the row's mark as ``_row``."""
-    known = saved(benchmark_windows(items, item_key, item_text, window), "bench-windows")
-    small = known.count() <= most_broadcast
-    near = F.broadcast if small else (lambda df: df)
-
+    """One row per document: ``key``, n_words, spans (sorted array of at and n, in words; they may overlap), items (array)."""
     base = docs.select(_row(key, text).alias("_row"), F.col(key).alias("_key"), words(text).alias("_words"))
-    full = known.where(F.col("n") == window).select(F.split("window", " ").alias("_words"))
-    full, print_name = fingerprints(full, window, gram)
-    # Written once: a filter on the join key would else be pushed down with the whole chain inlined.
-    prints = saved(full.select(F.col(print_name)[0].alias("print")).distinct().withColumn("known", F.lit(True)), "bench-prints")
-
-    # posexplode would push a filter on the array's size, with the whole chain inlined, below the chain.
-    rows, name = fingerprints(base, window, gram)
-    rows = rows.select("_row", "_key", "_words", F.posexplode_outer(name).alias("at", "print"))
-    rows = rows.join(near(prints), "print", "left")
-    rows = rows.where("known or at is null or at = 0").select(
-        "_row", "_key", F.size("_words").cast("bigint").alias("n_words"), "at", F.lit(window).alias("n"),
-        F.when(F.col("known"), _window_text("at", window)).alias("window"),
-    )
-    passed = saved(rows, "bench-hits")
-    hits = passed.where("window is not null").select("_row", "at", "n", "window")
-
-    # At most window - 1 lengths, and none as long as every item fills a window.
-    for (n,) in known.where(F.col("n") < window).select("n").distinct().collect():
-        short = known.where(F.col("n") == n)
-        short_hash = short.select(F.split("window", " ").alias("_words"))
-        short_hash, hash_name = gram_hashes(short_hash, n)
-        short_hash = saved(short_hash.select(F.col(hash_name)[0].alias("print")).distinct(), "bench-short")
-        each, name = gram_hashes(base, n)
-        each = each.select("_row", "_words", F.posexplode_outer(name).alias("at", "print")).join(near(short_hash), "print", "left_semi")
-        hits = hits.unionByName(each.select("_row", "at", F.lit(n).alias("n"), _window_text("at", n).alias("window")))
-
-    found = hits.join(near(known.withColumnRenamed("n", "_n")), "window").where("n = _n")
-    found = found.groupBy("_row").agg(
-        F.array_sort(F.collect_set(F.struct("at", "n"))).alias("spans"), F.array_sort(F.collect_set("item")).alias("items")
-    )
-    one = passed.where("at is null or at = 0")
+    one, found = _found(base, items, item_key, item_text, window, gram, most_broadcast)
     return one.join(found, "_row", "left").select(
-        "_row", F.col("_key").alias(key), "n_words",
+        F.col("_key").alias(key), "n_words",
         F.coalesce("spans", F.expr("cast(array() as array<struct<at:int,n:int>>)")).alias("spans"),
         F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"),
     )
 
 
+def _found(base: DataFrame, items: DataFrame, item_key: str, item_text: str, window: int, gram: int, most_broadcast: int) -> tuple[DataFrame, DataFrame]:
+    """_row, _key, n_words of every row of ``base`` (_row, _key, _words); and _row, spans, items of those with a hit."""
+    known = saved(benchmark_seeds(items, item_key, item_text, window, gram), "bench-seeds")
+    small = known.count() <= most_broadcast
+    near = F.broadcast if small else (lambda df: df)
+    prints = known.select("n", "print").distinct().withColumn("known", F.lit(True))
+    short = sorted(n for (n,) in known.where(F.col("n") < window).select("n").distinct().collect())
+
+    # The entry before the first stands for the row itself, hit or not.
+    self_ = F.expr("array(struct(-1 as at, 0 as n, cast(null as bigint) as print))")
+    each = seeds(base, window, gram, short).withColumn("_seeds", F.concat(self_, "_seeds"))
+    n_words = F.size("_words").cast("bigint").alias("n_words")
+    if small:
+        rows = each.select("_row", "_key", "_words", F.explode_outer("_seeds").alias("seed"))
+        rows = rows.select("*", F.col("seed.n").alias("n"), F.col("seed.print").alias("print")).join(near(prints), ["n", "print"], "left")
+        rows = rows.where("known or seed.at < 0").select("_row", "_key", n_words, "seed.at", "n", "print", *_around("seed", window, gram))
+        passed = saved(rows, "bench-hits")
+        hits, one = passed.where("at >= 0"), passed.where("at < 0")
+    else:
+        rows = saved(each.select("_row", F.explode_outer("_seeds").alias("seed")).select("_row", "seed.*"), "bench-prints")
+        rows = rows.join(prints, ["n", "print"], "left_semi").distinct().groupBy("_row").agg(F.collect_list(F.struct("at", "n", "print")).alias("_seeds"))
+        rows = base.join(rows, "_row").select("_row", "_words", F.explode_outer("_seeds").alias("seed"))
+        hits = saved(rows.select("_row", "seed.*", *_around("seed", window, gram)), "bench-hits")
+        one = base.select("_row", "_key", n_words)
+
+    both = hits.join(near(known.withColumnsRenamed({"left": "_left", "right": "_right"})), ["n", "print"])
+    before = _equal_run(F.reverse("left"), F.reverse("_left"))
+    spans = both.select("_row", "item", "n", "at", before.alias("before"), _equal_run(F.col("right"), F.col("_right")).alias("after"))
+    spans = spans.where("before + after >= n").select("_row", "item", F.struct((F.col("at") - F.col("before")).alias("at"), (F.col("before") + F.col("after")).alias("n")).alias("span"))
+    found = spans.groupBy("_row").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
+    return one, found
+
+
 def covered(spans: str) -> Column:
     """Words under any of the sorted spans."""
 
@@ -161,5 +188,7 @@ def summary(hits: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without those that hold a window of the benchmark; columns stay as they are."""
-    hit = _hits_by_row(docs, items, key, text).where(F.size("spans") > 0).select(F.col("_row").alias("_hit_row")).distinct()
+    base = docs.select(_row(key, text).alias("_row"), F.col(key).alias("_key"), words(text).alias("_words"))
+    _, found = _found(base, items, "item_id", "text", WINDOW, GRAM, MOST_BROADCAST)
+    hit = saved(found.select(F.col("_row").alias("_hit_row")).distinct(), "bench-found")
     return docs.join(hit, _row(key, text) == hit["_hit_row"], "left_anti")
