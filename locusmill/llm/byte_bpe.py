@@ -35,17 +35,19 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusmill.llm.scratch import in_arrow
+from locusmill.llm.scratch import in_arrow, worker_memo
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bounds of what a worker remembers; beyond them it forgets everything and starts over.
 MEMO_CUTS = 200_000
 MEMO_MOVES = 300_000
-MEMO_PAIRS = 300_000
+MEMO_PAIRS = 30_000
 NODE_BITS = 24
 NODE = (1 << NODE_BITS) - 1
 #: Fewer bytes than this are traced at once.
 LOOK_BACK = 256
+#: Tokens that the decoding stream is fed at once.
+DECODED = 1000
 BATCH_ROWS = 256
 
 
@@ -281,8 +283,7 @@ class ByteBpe:
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> "ByteBpe":
-        with open(path, "rb") as lines:
-            return cls({base64.b64decode(name): int(rank) for name, rank in map(bytes.split, filter(bytes.strip, lines))}, pattern)
+        return cls(ranks_of(path), pattern)
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
@@ -298,9 +299,6 @@ class ByteBpe:
                 return self._cut_strictly(text)
         return self._cut(text)
 
-    def decode_bytes(self, tokens: Iterable[int]) -> bytes:
-        return b"".join(map(self.transducer.names.__getitem__, tokens))
-
     def decode_stream(self, tokens: Iterable[int]) -> Iterator[str]:
         """Text, handed out token by token as characters become whole."""
         stream = Utf8Stream()
@@ -311,12 +309,37 @@ class ByteBpe:
             yield text
 
 
-@cache
+def ranks_of(path: str) -> dict[bytes, int]:
+    """The tokens of a vocabulary file."""
+    with open(path, "rb") as lines:
+        return {base64.b64decode(name): int(rank) for name, rank in map(bytes.split, filter(bytes.strip, lines))}
+
+
+def decode_text(names: list[bytes], ids: bytes) -> str:
+    """The text of some ids, by a stream of ``DECODED`` tokens at a time."""
+    tokens = np.frombuffer(ids, "<u4").tolist()
+    stream, name = Utf8Stream(), names.__getitem__
+    pieces = [stream.feed(b"".join(map(name, tokens[i : i + DECODED]))) for i in range(0, len(tokens), DECODED)]
+    return "".join(pieces) + stream.close()
+
+
 def _worker_bpe(vocabulary: str) -> ByteBpe:
-    """One vocabulary for each worker process, found where the executor has it installed."""
+    """One vocabulary for a worker process, found where the executor has it installed."""
     import public_tokenizers
 
-    return ByteBpe.from_file(public_tokenizers.path(vocabulary), public_tokenizers.PATTERN)
+    return worker_memo(("bpe", vocabulary), lambda: ByteBpe.from_file(public_tokenizers.path(vocabulary), public_tokenizers.PATTERN))
+
+
+@cache
+def _worker_names(vocabulary: str) -> list[bytes]:
+    """The tokens alone, by id: some 5 MB, all that decoding takes."""
+    import public_tokenizers
+
+    ranks = ranks_of(public_tokenizers.path(vocabulary))
+    names = [b""] * (max(ranks.values()) + 1)
+    for name, token in ranks.items():
+        names[token] = name
+    return names
 
 
 @contextmanager
@@ -353,20 +376,30 @@ def decode(encoded: DataFrame, key: str = "doc_id", vocabulary: str = VOCABULARY
     """``key``, ids and text, decoded as a stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _worker_bpe(vocabulary)
+        names = _worker_names(vocabulary)
         for batch in _small(batches):
-            texts = []
-            for ids in batch.column(1).to_pylist():
-                tokens = np.frombuffer(ids, "<u4").tolist()
-                stream = Utf8Stream()
-                pieces = [stream.feed(bpe.decode_bytes(tokens[i : i + 1000])) for i in range(0, len(tokens), 1000)]
-                texts.append("".join(pieces) + stream.close())
+            texts = [decode_text(names, ids) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [key, "ids", "text"])
 
     rows = encoded.select(key, "ids")
     return in_arrow(rows, run, f"`{key}` {rows.schema[0].dataType.simpleString()}, ids binary, text string")
 
 
+def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+    """As ``decode(encode(docs))``, by one worker for each task instead of a chain of two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = _worker_bpe(vocabulary)
+        with _no_collection():
+            for batch in _small(batches):
+                ids = [np.array(bpe.encode(t), "<u4").tobytes() for t in batch.column(1).to_pylist()]
+                texts = [decode_text(bpe.transducer.names, i) for i in ids]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], [key, "ids", "text"])
+
+    rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return in_arrow(rows, run, f"`{key}` {rows.schema[0].dataType.simpleString()}, ids binary, text string")
+
+
 def summary(decoded: DataFrame, key: str = "doc_id") -> DataFrame:
     """Digests of ids and of the decoded text."""
     return decoded.select(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusmill.llm.scratch import saved
+from locusmill.llm.scratch import discard, fresh_path, saved
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -36,10 +36,14 @@ def components(links: DataFrame) -> DataFrame:
     ``links`` has two columns of the same ordered type; loops are left out.
     """
     edges = links.toDF("node", "root").where("node <> root")
-    edges = saved(edges.select(F.greatest("node", "root").alias("node"), F.least("node", "root").alias("root")).distinct(), "components")
+    edges = edges.select(F.greatest("node", "root").alias("node"), F.least("node", "root").alias("root")).distinct()
+    path = fresh_path(links.sparkSession, "components")
+    edges = saved(edges, "components", path=path)
     before = _fingerprint(edges)
     while before[0]:
-        edges = saved(_small_star(_large_star(edges)), "components")
+        old, path = path, fresh_path(links.sparkSession, "components")
+        edges = saved(_small_star(_large_star(edges)), "components", path=path)
+        discard(links.sparkSession, old)
         after = _fingerprint(edges)
         if after == before:
             break

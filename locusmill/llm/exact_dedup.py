@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusmill.llm.scratch import saved
+from locusmill.llm.scratch import in_arrow, saved
 
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 COUNTERS = 1000
@@ -60,7 +60,7 @@ def frequent(df: DataFrame, column: str, counters: int = COUNTERS) -> DataFrame:
             [pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], [column, "estimate"]
         )
 
-    parts = df.select(column).mapInArrow(summarise, f"{column} binary, estimate bigint")
+    parts = in_arrow(df.select(column), summarise, f"{column} binary, estimate bigint")
     merged = parts.groupBy(column).agg(F.sum("estimate").alias("estimate"))
     return merged.orderBy(F.desc("estimate"), column).limit(counters).select(column)
 
@@ -93,6 +93,8 @@ def drop_exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
     Rows with the same key and different texts are judged apart.
     """
-    kept = duplicate_groups(docs, key, text).where("kept").select(F.col(key).alias("_kept_key"), F.col("text_sha256").alias("_kept_text")).distinct()
-    same = docs[key].eqNullSafe(kept["_kept_key"]) & (F.sha2(normalised(docs[text]), 256) == kept["_kept_text"])
-    return docs.join(kept, same, "left_semi")
+    gone = duplicate_groups(docs, key, text).where("not kept").select(F.col(key).alias("_gone_key"), F.col("text_sha256").alias("_gone_text"))
+    # What goes is less than what stays, and mostly few enough to leave the texts where they are.
+    gone = saved(gone.distinct(), "exact-gone")
+    same = docs[key].eqNullSafe(gone["_gone_key"]) & (F.sha2(normalised(docs[text]), 256) == gone["_gone_text"])
+    return docs.join(gone, same, "left_anti")

@@ -11,9 +11,10 @@ of a bucket meets its lead, the set that shares most with others (the original o
 copies, where there is one), and links join components. Then only buckets that span several
 components are looked at: what lies outside the largest component meets the whole bucket. So
 every pair of a bucket is linked, known to lie apart, or connected otherwise. No pairs are
-emitted: members are dealt out once, over salted blocks of some ``BLOCK_SETS``, those outside
-are repeated for each block and stream past it, and a block counts a set's shingles against all
-of its own at once. No task holds more than a block.
+emitted: members are dealt out once, by their size class and over salted blocks of some
+``BLOCK_SHINGLES``; those outside are repeated for the blocks of their own and the neighbouring
+size classes (others can't reach the threshold) and stream past them, and a block counts a set's
+shingles against all of its own at once. No task holds more than a block.
 
 Defined cases: a null or wordless text has an empty set and is linked with nothing; a text of
 fewer words than a shingle has its whole sequence as one; repeated rows and equal texts share a
@@ -23,24 +24,25 @@ empty table gives no rows; other columns are never read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusmill.llm.components import components
-from locusmill.llm.scratch import in_arrow, saved, text_mark
+from locusmill.llm.scratch import Scratch, in_arrow, saved, text_mark, worker_memo
 
 PERMUTATIONS = 48
 ROWS = 4
 BANDS = 2 * PERMUTATIONS // ROWS
 GROUP = 128
 BLOCK = 1024
-BLOCK_SETS = 512
-WORDS_REMEMBERED = 200_000
+BLOCK_SHINGLES = 300_000
+WORDS_REMEMBERED = 100_000
 
 _RANDOM = np.random.default_rng(20240607)
 _TIMES = _RANDOM.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -116,7 +118,7 @@ def sketches(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """_key, mark (of the text), n (set size), set (its 128-bit digest; null where empty) and bands, per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
+        shingler = worker_memo(("shingles", words), lambda: Shingler(words))
         for batch in batches:
             sets = [shingler.set_of(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -138,7 +140,8 @@ class _Block:
     def __init__(self, sets: list[np.ndarray]) -> None:
         self.sizes = np.array([len(s) for s in sets])
         self._first = np.append(0, np.cumsum(self.sizes)[:-1])
-        self._known, self._ids = np.unique(np.concatenate(sets), return_inverse=True)
+        self._known, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        self._ids = ids.astype(np.int32)
         self._marks = np.zeros(len(self._known), np.int32)
 
     def linked(self, shingles: np.ndarray, percent: int) -> np.ndarray:
@@ -162,8 +165,9 @@ def _met(rows: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFra
     asked = asked.repartition("place", "salt").sortWithinPartitions("place", "salt", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, at = Shingler(words), None
-        held: list[tuple[bytes, bytes, np.ndarray]] = []
+        shingler, at = worker_memo(("shingles", words), lambda: Shingler(words)), None
+        names: list[tuple[bytes, bytes]] = []
+        sets: list[np.ndarray] = []
         block = None
         for batch in batches:
             found: list[tuple[bytes, bytes]] = []
@@ -172,14 +176,16 @@ def _met(rows: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFra
                 if _key_of(shingles) != name:
                     continue  # another row under the same key
                 if at != (place, salt):
-                    at, held, block = (place, salt), [], None
+                    at, names, sets, block = (place, salt), [], [], None
                 if side == 0:
-                    held.append((name, root, shingles))
-                elif held:
-                    block = block or _Block([h[2] for h in held])
+                    names.append((name, root))
+                    sets.append(shingles)
+                elif names:
+                    if block is None:
+                        block, sets = _Block(sets), []
                     near: dict[bytes, bytes] = {}
                     for i in np.flatnonzero(block.linked(shingles, percent)):
-                        near.setdefault(held[i][1], held[i][0])
+                        near.setdefault(names[i][1], names[i][0])
                     near.pop(root, None)
                     found += [(name, other) for other in near.values()]
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], ["node", "root"])
@@ -187,25 +193,40 @@ def _met(rows: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFra
     return in_arrow(asked, run, "node binary, root binary").distinct()
 
 
-def _shared_buckets(classes: DataFrame) -> DataFrame:
-    """bucket, set, n, size and lead for buckets of several sets; of buckets with the same sets, one."""
-    members = saved(classes.select(F.explode("bands").alias("bucket"), "set", "n"), "near-bands")
-    mark = F.sum(F.xxhash64("set").cast("decimal(38,0)")).alias("mark")
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), mark).where("size > 1")
-    sizes = sizes.groupBy("size", "mark").agg(F.min("bucket").alias("bucket"), F.count(F.lit(1)).alias("times"))
-    shared = saved(members.join(sizes.select("bucket", "size", "times"), "bucket"), "near-buckets")
+def _shared_buckets(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """bucket, set, n, size and lead for buckets of several sets; of buckets with the same sets, one.
+
+    Buckets count as having the same sets when their sizes and two sums of independent 64-bit
+    hashes agree: 128 bits, as the digests of the sets themselves have.
+    """
+    members = scratch.saved(classes.select(F.explode("bands").alias("bucket"), "set", "n"), "near-bands")
+    sums = [F.sum(F.xxhash64("set", F.lit(i)).cast("decimal(38,0)")).alias(f"mark{i}") for i in (0, 1)]
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), *sums).where("size > 1")
+    sizes = sizes.groupBy("size", "mark0", "mark1").agg(F.min("bucket").alias("bucket"), F.count(F.lit(1)).alias("times"))
+    shared = scratch.saved(members.join(sizes.select("bucket", "size", "times"), "bucket"), "near-buckets")
     # The original of a family shares more buckets with its copies than they do with each other.
     degrees = shared.groupBy("set").agg(F.sum(F.col("size") * F.col("times")).alias("degree"))
     leads = shared.join(degrees, "set").groupBy("bucket").agg(F.max(F.struct("degree", "set", "n")).alias("lead"))
-    return saved(shared.join(leads.select("bucket", "lead"), "bucket").drop("times"), "near-led")
+    return scratch.saved(shared.join(leads.select("bucket", "lead"), "bucket").drop("times"), "near-led")
+
+
+def _size_class(n: str | Column, percent: int) -> Column:
+    """Sets that can be linked lie in the same class or in neighbouring ones."""
+    width = math.log(100 / percent) * 1.001 if percent < 100 else 1e-9
+    return F.floor(F.log(n) / width)
 
 
 def link_sets(classes: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
     """node and root, for each linked class but the roots. ``classes``: set, label, n, bands."""
-    shared = _shared_buckets(classes)
+    with Scratch(classes.sparkSession) as scratch:
+        return _linked(classes, docs, key, text, words, percent, scratch)
+
+
+def _linked(classes: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    shared = _shared_buckets(classes, scratch)
     label = shared.select("set").distinct().join(classes.select("set", "label"), "set")
     texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    texts = saved(label.join(texts, label["label"].eqNullSafe(texts["_key"])).select("set", "_text"), "near-texts")
+    texts = scratch.saved(label.join(texts, label["label"].eqNullSafe(texts["_key"])).select("set", "_text"), "near-texts")
 
     # Every member meets the lead of its bucket: the lead is held, its members stream past it.
     possible = F.least("n", "lead.n") * 100 >= F.greatest("n", "lead.n") * percent
@@ -214,22 +235,27 @@ def link_sets(classes: DataFrame, docs: DataFrame, key: str, text: str, words: i
     members = led.join(groups, "place").select("place", F.pmod(F.xxhash64("set"), "groups").alias("salt"), F.lit(1).alias("side"), "set", F.col("set").alias("root"))
     leads = groups.select("place", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), F.lit(0).alias("side"))
     leads = leads.select("*", F.col("place").alias("set"), F.col("place").alias("root"))
-    links = saved(_met(members.union(leads), texts, words, percent), "near-links")
+    links = scratch.saved(_met(members.union(leads), texts, words, percent), "near-links")
     roots = components(links)
 
     # A bucket that spans several components: what lies outside its largest one meets all of it.
-    placed = shared.join(roots.withColumnRenamed("node", "set"), "set", "left").select("bucket", "set", "size", F.coalesce("root", "set").alias("root"))
-    placed = saved(placed, "near-placed")
+    placed = shared.join(roots.withColumnRenamed("node", "set"), "set", "left").select("bucket", "set", "size", "n", F.coalesce("root", "set").alias("root"))
+    placed = scratch.saved(placed, "near-placed")
     parts = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("part"))
     largest = parts.groupBy("bucket").agg(F.max(F.struct("part", "root")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     # The lead has met its bucket, so a bucket of two is decided.
     open_ = placed.where("size > 2").join(largest, "bucket").select(
-        F.col("bucket").alias("place"), F.ceil(F.col("size") / BLOCK_SETS).alias("groups"), "set", "root", (F.col("root") != F.col("most.root")).alias("outside")
+        "bucket", _size_class("n", percent).alias("class"), "n", "set", "root", (F.col("root") != F.col("most.root")).alias("outside")
     )
-    open_ = saved(open_, "near-open")
-    held = open_.select("place", F.pmod(F.xxhash64("set"), "groups").alias("salt"), F.lit(0).alias("side"), "set", "root")
-    passing = open_.where("outside").select("place", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), F.lit(1).alias("side"), "set", "root")
-    more = saved(_met(held.union(passing), texts, words, percent), "near-links")
+    open_ = scratch.saved(open_, "near-open")
+    outside = open_.where("outside").select("bucket", "set", "root", F.explode(F.array(*(F.col("class") + i for i in (-1, 0, 1)))).alias("class"))
+    blocks = open_.groupBy("bucket", "class").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("groups"))
+    blocks = scratch.saved(blocks.join(outside.select("bucket", "class").distinct(), ["bucket", "class"], "left_semi"), "near-blocks")
+    place = F.struct("bucket", "class").alias("place")
+    held = open_.join(blocks, ["bucket", "class"]).select(place, F.pmod(F.xxhash64("set"), "groups").alias("salt"), F.lit(0).alias("side"), "set", "root")
+    passing = outside.join(blocks, ["bucket", "class"])
+    passing = passing.select(place, F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), F.lit(1).alias("side"), "set", "root")
+    more = scratch.saved(_met(held.union(passing), texts, words, percent), "near-links")
     return components(links.union(more))
 
 
@@ -264,4 +290,7 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     first = each.join(named, "set").where(F.col("_key").eqNullSafe(F.col("component_id")))
     first = first.groupBy("root").agg(F.min(F.struct("_key", "mark")).alias("kept")).select("kept._key", "kept.mark")
     kept = first.union(each.where("set is null").select("_key", "mark")).distinct().toDF("_kept_key", "_kept_mark")
-    return docs.join(kept, docs[key].eqNullSafe(kept["_kept_key"]) & (text_mark(text) == kept["_kept_mark"]), "left_semi")
+    # What goes is less than what stays, and mostly few enough to leave the texts where they are.
+    same = each["_key"].eqNullSafe(kept["_kept_key"]) & (each["mark"] == kept["_kept_mark"])
+    gone = saved(each.join(kept, same, "left_anti").select(F.col("_key").alias("_gone_key"), F.col("mark").alias("_gone_mark")).distinct(), "near-gone")
+    return docs.join(gone, docs[key].eqNullSafe(gone["_gone_key"]) & (text_mark(text) == gone["_gone_mark"]), "left_anti")

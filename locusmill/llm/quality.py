@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusmill.llm.scratch import in_arrow
+from locusmill.llm.scratch import in_arrow, text_mark, worker_memo
 
 MOST_LABELLED = 5000
 BUCKETS = 1 << 13
@@ -38,6 +38,7 @@ STEP = 0.05
 PENALTY = 1e-4
 SEED = 7
 THRESHOLD = 0.5
+WORDS_REMEMBERED = 100_000
 
 _STATS = 24
 DIMENSIONS = BUCKETS + _STATS
@@ -57,7 +58,7 @@ class Features:
     def _bucket(self, word: str) -> int:
         found = self._buckets.get(word)
         if found is None:
-            if len(self._buckets) >= 200_000:
+            if len(self._buckets) >= WORDS_REMEMBERED:
                 self._buckets.clear()
             found = self._buckets[word] = zlib.crc32(word.encode()) % BUCKETS
         return found
@@ -162,7 +163,7 @@ def held_out(key: str) -> Column:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    features = Features()
+    features = worker_memo("features", Features)
     for batch in batches:
         made = [features.of(t) for t in batch.column(1).to_pylist()]
         columns = [batch.column(0), batch.column(2), *(pa.array([m[i].tobytes() for m in made], pa.binary()) for i in (0, 1))]
@@ -188,7 +189,7 @@ def score(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "t
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, model = Features(), shared.value
+        features, model = worker_memo("features", Features), shared.value
         for batch in batches:
             scores = [model.score(*features.of(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], [key, "score"])
@@ -204,7 +205,7 @@ def drop_rejected(docs: DataFrame, machine: Machine, text: str = "text") -> Data
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, model = Features(), shared.value
+        features, model = worker_memo("features", Features), shared.value
         for batch in batches:
             good = [model.score(*features.of(t or "")) >= THRESHOLD for t in batch.column(place).to_pylist()]
             yield batch.filter(pa.array(good, pa.bool_()))

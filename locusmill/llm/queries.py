@@ -38,7 +38,7 @@ def op5_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe.summary(byte_bpe.decode(byte_bpe.encode(_table(spark, sf_dir, "documents"))))
+    return byte_bpe.summary(byte_bpe.round_trip(_table(spark, sf_dir, "documents")))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,39 +1,34 @@
-"""Intermediate tables that outlive a lost executor.
-
-Every cut of the lineage is a Parquet table below ``spark.checkpoint.dir``, the folder that all
-executors of a cluster share. Only where that setting is absent (a local session, as in tests)
-a folder of this machine is taken.
-"""
+"""Batches of bounded size, what a worker remembers, and marks that tell rows of one key apart."""
 
 from __future__ import annotations
 
-import uuid
+import gc
 from collections.abc import Callable
+from typing import TypeVar
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from locusmill.sources.tables import Scratch, discard, fresh_path, saved, shared_dir  # noqa: F401
+
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 8 << 20
-LOCAL_DIR = "file:///tmp/checkpoints/locusmill"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate files, without a slash at its end."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DIR).rstrip("/")
 
+Memo = TypeVar("Memo")
+_memo: dict[object, object] = {}
 
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path below the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
+def worker_memo(name: object, make: Callable[[], Memo]) -> Memo:
+    """What this worker process remembers from task to task, under a name.
 
-def saved(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Writes ``df`` once and returns the table read back; later plans start from its files."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    Spark uses a worker again for the tasks of other operators. It holds the memo of one name at a
+    time: the memo of another is freed before a new one is made.
+    """
+    if name not in _memo:
+        _memo.clear()
+        gc.collect()
+        _memo[name] = make()
+    return _memo[name]  # type: ignore[return-value]
 
 
 def text_mark(text: str) -> Column:
@@ -42,18 +37,12 @@ def text_mark(text: str) -> Column:
 
 
 def in_arrow(df: DataFrame, function: Callable, schema: object) -> DataFrame:
-    """``mapInArrow`` in batches of some ``BATCH_BYTES``.
+    """``mapInArrow`` in batches of some ``BATCH_BYTES``; every operator of this package goes through it.
 
-    A batch of texts is held several times over, by the JVM, as Arrow and as Python strings. The
-    size is a setting of the session; one that is set already is left alone.
+    A batch of texts is held several times over, by the JVM, as Arrow and as Python strings. Spark
+    has the size as a setting of the session alone; one that is set already is left alone.
     """
     conf = df.sparkSession.conf
     if BATCH_SETTING not in conf.getAll:
         conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
     return df.mapInArrow(function, schema)
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Deletes a folder made by ``fresh_path`` once no result still reads it."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
