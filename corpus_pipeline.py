@@ -37,7 +37,7 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of ids and of the text decoded from them."""
-    return byte_bpe.summary(byte_bpe.decode(byte_bpe.encode(docs)))
+    return byte_bpe.summary(byte_bpe.round_trip(docs))
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
