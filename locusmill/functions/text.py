@@ -1,7 +1,7 @@
 """Column functions that normalise text, addresses and labels (FN-01 to FN-31, FLT-01, FLT-03, FLT-04).
 
-All are Catalyst expressions but ``nfkc``, ``expanded_citations`` and ``html_note``. Offsets are
-code points. White space takes in U+00A0 and U+FEFF, which plain ``\\s`` misses.
+All are Catalyst expressions but ``nfkc`` and ``expanded_citations``. Offsets are code points.
+White space takes in U+00A0 and U+FEFF, which plain ``\\s`` misses.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 SPACE = r"(?U)[\s\x{FEFF}]+"
+# Fixed values from here to the note headings: patterns and words that decide results (SRC-08, FN-04, FN-05, FN-13, FN-14, FN-16, FN-20).
 INLINE_TAGS = r"(?i)<\s*/?\s*(?:sup|sub|em|strong|i|b)\s*>"
 DOI = r"(?i)10\.\d{4,9}/[-._;()/:A-Z0-9]+"
 NUMERIC_CITATION = r"\[\s*\d+(?:\s*[,–−-]\s*\d+)*\s*\]"
@@ -40,6 +41,11 @@ def text_of(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def stripped(column: str | Column) -> Column:
+    """Without white space at its ends."""
+    return F.regexp_replace(text_of(column), r"(?U)\A[\s\x{FEFF}]+|[\s\x{FEFF}]+\z", "")
+
+
 @F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Compatibility composition; Spark has no expression for it."""
@@ -113,24 +119,26 @@ def same_dashes(column: str | Column) -> Column:
 
 
 def american(column: str | Column) -> Column:
-    """Fixed British spellings, as whole lower-case words, in their American form."""
+    """Fixed British spellings, as whole lower-case words, in their American form. Texts without one are read once."""
     text = text_of(column)
+    word = rf"(?<![A-Za-z0-9_])(?:{'|'.join(SPELLINGS)})(?![A-Za-z0-9_])"
+    changed = text
     for british, form in SPELLINGS.items():
-        text = F.regexp_replace(text, rf"(?<![A-Za-z0-9_]){british}(?![A-Za-z0-9_])", form)
-    return text
+        changed = F.regexp_replace(changed, rf"(?<![A-Za-z0-9_]){british}(?![A-Za-z0-9_])", form)
+    return F.when(F.regexp_like(text, F.lit(word)), changed).otherwise(text)
 
 
-_CITED_RUN = re.compile(r"(?<=[a-z)])\s*(\d{1,3}(?:\s*[,–-]\s*\d{1,3})+)(?!\d|\.\d)(?=[,.;:]|\s*[a-z])")
+CITED_RUN = re.compile(r"(?<=[a-z)])\s*(\d{1,3}(?:\s*[,–-]\s*\d{1,3})+)(?!\d|\.\d)(?=[,.;:]|\s*[a-z])")
 
 
 def expand_run(run: str) -> str | None:
-    """``3,54–56`` as ``3,54,55,56``; None where a range runs backwards or over 20."""
+    """``3,54–56`` as ``3,54,55,56``; None where a range has spaces inside, runs backwards or over 20."""
     numbers: list[str] = []
-    for part in re.split(r"\s*,\s*", run.strip()):
-        ends = [int(n) for n in re.split(r"\s*[–-]\s*", part)]
-        if len(ends) > 2 or not 0 <= ends[-1] - ends[0] <= 20:
+    for part in map(str.strip, run.split(",")):
+        ends = [int(n) for n in re.split("[–-]", part)] if re.fullmatch(r"[0-9]+(?:[–-][0-9]+)?", part) else [1, 0]
+        if not 0 <= ends[-1] - ends[0] <= 20:
             return None
-        numbers += map(str, range(ends[0], ends[-1] + 1))
+        numbers += [part] if len(ends) == 1 else map(str, range(ends[0], ends[-1] + 1))
     return ",".join(numbers)
 
 
@@ -142,12 +150,17 @@ def expanded_citations(texts: pd.Series) -> pd.Series:
         run = expand_run(found[1]) if re.search("[–-]", found[1]) else None
         return found[0] if run is None else run
 
-    return texts.map(lambda t: None if t is None else _CITED_RUN.sub(one, t))
+    return texts.map(lambda t: None if t is None else CITED_RUN.sub(one, t))
 
 
-def compact_science(column: str | Column, composed: bool = False) -> Column:
-    """Letters, digits, comparators, signs before digits and decimal points; citations in brackets go."""
-    text = F.regexp_replace(same_dashes(normal_prose(column, composed)), NUMERIC_CITATION, "")
+def compact_science(column: str | Column, composed: bool = False, spellings: bool = True) -> Column:
+    """Letters, digits, comparators, signs before digits and decimal points; citations in brackets go.
+
+    With ``spellings`` the fixed British words and bare reference ranges are brought to one form first.
+    """
+    text = F.regexp_replace(F.regexp_replace(normal_prose(column, composed), "­", ""), NUMERIC_CITATION, "")
+    text = same_dashes(text)
+    text = expanded_citations(american(text)) if spellings else text
     text = F.regexp_replace(text, r"[^\p{L}\p{N}<>=≤≥≠±+\-.\s]", "\x01")
     text = F.regexp_replace(text, r"[+-](?!\s*\d)", "\x01")
     # A point stays between digits, or before one at a word's start unless a label stands before it.
@@ -156,7 +169,7 @@ def compact_science(column: str | Column, composed: bool = False) -> Column:
 
 
 def clean_doi(column: str | Column) -> Column:
-    return F.lower(F.regexp_replace(F.trim(text_of(column)), r"(?i)^https?://(?:dx\.)?doi\.org/", ""))
+    return F.lower(F.regexp_replace(stripped(column), r"(?i)^https?://(?:dx\.)?doi\.org/", ""))
 
 
 def found_doi(column: str | Column) -> Column:
@@ -182,7 +195,7 @@ def page_address(column: str | Column) -> Column:
 
 def public_address(column: str | Column) -> Column:
     """An http(s) address without user names, secret-looking parameters and the tool's own fragments; else empty."""
-    url = F.trim(text_of(column))
+    url = stripped(column)
     url = F.regexp_replace(url, r"(?i)^(https?://)[^/?#@]*@", "$1")
     url = F.regexp_replace(url, r"#pb-(?:web|issue)=.*\z", "")
     head, tail = F.regexp_extract(url, r"^([^?#]*)", 1), F.regexp_extract(url, r"(#.*)\z", 1)
@@ -195,8 +208,8 @@ def public_address(column: str | Column) -> Column:
 
 def article_address(url: str | Column, doi: str | Column) -> Column:
     """The item's own address, else one made of its DOI, else empty."""
-    own = F.trim(text_of(url))
-    name = F.regexp_replace(F.trim(text_of(doi)), r"(?i)^(?:https?://(?:dx\.)?doi\.org/|doi:\s*)", "")
+    own = stripped(url)
+    name = F.regexp_replace(stripped(doi), r"(?i)^(?:https?://(?:dx\.)?doi\.org/|doi:\s*)", "")
     made = name
     for raw, code in (("%", "%25"), (" ", "%20"), ('"', "%22"), ("<", "%3C"), (">", "%3E"), ("#", "%23"), ("?", "%3F")):
         made = F.replace(made, F.lit(raw), F.lit(code))
@@ -205,7 +218,7 @@ def article_address(url: str | Column, doi: str | Column) -> Column:
 
 
 def colour(column: str | Column) -> Column:
-    value = F.trim(text_of(column))
+    value = stripped(column)
     return F.when(F.regexp_like(value, F.lit(r"(?i)^#[0-9a-f]{6}\z")), F.lower(value)).otherwise(DEFAULT_COLOUR)
 
 
@@ -218,7 +231,7 @@ def page_label(pages: str | Column, index: str | Column) -> Column:
 
 def note_comment(comment: str | Column, translation: str | Column) -> Column:
     """Own note and translation under their headings, those that are there, joined by a blank line."""
-    part = lambda head, c: F.when(F.trim(text_of(c)) != "", F.concat(F.lit(head), F.trim(text_of(c))))
+    part = lambda head, c: F.when(stripped(c) != "", F.concat(F.lit(head), stripped(c)))
     return F.concat_ws("\n\n", part("我的笔记：\n", comment), part("中文翻译：\n", translation))
 
 

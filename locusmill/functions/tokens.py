@@ -11,7 +11,8 @@ WORD = r"[\p{L}\p{N}]+"
 SCIENCE = r"[\p{L}][\p{L}\p{N}]*|[+-]?(?:\d+(?:\.\d+)?|\.\d+)(?:e[+-]?\d+)?|[<>=≤≥≠±]"
 CLAUSE_CUT = r"(?i)[,;]\s+(?=(?:which|where|whereas|however|these|this|they|it|although|while|but|and)\b)"
 CJK_SENTENCE = r"[^。！？]+[。！？][”’」』）)\]]*"
-SENTENCE = r"[^.!?]+[.!?]+"
+#: Between two sentences: behind the last of their closing marks. Linear in texts without any mark.
+SENTENCE_END = r"(?<=[.!?])(?![.!?])"
 
 
 def word_tokens(column: str | Column, composed: bool = False) -> Column:
@@ -25,12 +26,37 @@ def science_tokens(column: str | Column, composed: bool = False) -> Column:
 
 
 def plain_sentences(text: Column, most: int | None = None) -> Column:
-    """Sentences of at least eight characters by their closing marks alone: all, or the first ``most``."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), lambda s: F.trim(s))
+    """Sentences of at least eight characters by their closing marks alone: all, or the first ``most``.
+
+    Marks before any other character and what stands behind the last mark belong to no sentence.
+    """
+    found = F.transform(F.split(F.regexp_replace(text, r"\A[.!?]+", ""), SENTENCE_END, -1), lambda s: F.when(F.regexp_like(s, F.lit(r"[.!?]\z")), F.trim(s)))
     found = F.filter(found, lambda s: F.length(s) >= 8)
     return found if most is None else F.slice(found, 1, most)
 
 
+def _joined(parts: list[Column], n: Column, join) -> Column:
+    """Entry i of the first array with entry i + 1 of the second and so on, for every i that all have; each part has ``n`` entries.
+
+    Lengths come from ``n``, so that no array is named, and made, more than once.
+    """
+    total = parts[0]
+    for done, part in enumerate(parts[1:], 1):
+        length = F.greatest(n - done, F.lit(0))
+        total = F.zip_with(F.slice(total, F.lit(1), length), F.slice(part, F.lit(done + 1), length), join)
+    return total
+
+
+def run_hashes(parts: list[Column], n: Column) -> Column:
+    """Hashes of entry i of the first array, entry i + 1 of the second and so on, each array of ``n`` entries."""
+    return _joined(parts, n, lambda a, b: F.xxhash64(a, b))
+
+
+def char_grams(text: Column, size: int) -> Column:
+    """All runs of ``size`` characters."""
+    return _joined([F.split(F.regexp_replace(text, r"(?s)(?<=.)(?=.)", "\x01"), "\x01", -1)] * size, F.length(text), lambda a, b: F.concat(a, b))
+
+
 def cjk_sentences(column: Column) -> Column:
     return F.regexp_extract_all(column, F.lit(CJK_SENTENCE), F.lit(0))
 
@@ -61,5 +87,5 @@ def mapping_candidates(paragraph: Column, sentences: Column) -> Column:
 
 
 def bigrams(text: Column) -> Column:
-    starts = F.when(F.length(text) >= 2, F.sequence(F.lit(1), F.length(text) - 1)).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.transform(starts, lambda i: F.substring(text, i, F.lit(2)))
+    """All pairs of neighbouring characters."""
+    return char_grams(text, 2)

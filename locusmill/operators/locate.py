@@ -1,47 +1,76 @@
-"""Finding quoted passages in texts, and what the findings say (JN-01, WIN-14, AGG-01)."""
+"""Finding quoted passages in texts, ranking the findings by their context, and what they say
+(JN-01 to JN-03, JN-05, WIN-04, WIN-06, WIN-14, SRT-01, SRT-03, SRT-04, AGG-01, AGG-12).
+
+Selectors and pages meet through an equi-join on a key that every page with the quote must hold:
+up to ``GRAM`` inner words of the quote, the last character before and the first character behind
+them. A quote of two words has no inner word and is keyed by the characters around its space, one
+of a single word by its first characters. No quote is held against every page, and each text is
+cut into words once.
+
+Defined cases: a null or empty quote is found nowhere; null contexts count as empty; a null text
+holds nothing; repeated selectors and pages are found as often as they are repeated; empty tables
+give no rows.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from locusmill.functions.tokens import char_grams, run_hashes
+from locusmill.operators.spans import band_matches, offsets_of
+
 GRAM = 3
-#: Grams that may be broadcast; beyond them the join is left to shuffle.
-MOST_BROADCAST = 1_000_000
+#: Keys that may be broadcast; beyond them the join is left to shuffle.
+MOST_BROADCAST = 200_000
 
 
-def _grams(size: int):
-    words = F.split("text", " ")
-    starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1)).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, size), " "))))
+def _word_keys(words: Column, inner: int) -> Column:
+    """Of every run of ``inner`` words with a word on either side, the hash of them and of the characters next to them."""
+    last, first = F.transform(words, lambda w: F.xxhash64(F.right(w, F.lit(1)))), F.transform(words, lambda w: F.xxhash64(F.left(w, F.lit(1))))
+    whole = F.transform(words, lambda w: F.xxhash64(w))
+    return run_hashes([last, *[whole] * inner, first], F.size(words))
 
 
-def candidates(selectors: DataFrame, pages: DataFrame) -> DataFrame:
-    """selector_id, doc_id of pages that share the inner words of a selector.
+def _keys(words: Column, text: Column, kind: str) -> Column:
+    """The keys of one kind: ``w0`` to ``w3`` by inner words, ``c1`` to ``c3`` by characters."""
+    size = int(kind[1])
+    return _word_keys(words, size) if kind[0] == "w" else F.transform(char_grams(text, size), lambda g: F.xxhash64(g))
 
-    Words inside a quote are whole words of its page, so the two meet through an equi-join on a
-    run of up to ``GRAM`` of them. Quotes of one or two words have no inner word; only those few
-    are looked for in every page.
-    """
-    inner = F.size(F.split("text", " ")) - 2
-    asked = selectors.where(F.length("text") > 0).withColumn("size", F.least(inner, F.lit(GRAM)))
-    found = asked.where("size < 1").alias("s").join(pages.alias("p"), F.contains(F.col("p.text"), F.col("s.text"))).select("selector_id", "doc_id")
-    for size in range(1, GRAM + 1):
-        keys = asked.where(F.col("size") == size).select("selector_id", F.xxhash64(F.array_join(F.slice(F.split("text", " "), 2, size), " ")).alias("gram"))
-        few = keys.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-        grams = pages.select("doc_id", F.explode(_grams(size)).alias("gram"))
-        found = found.union(grams.join(F.broadcast(keys) if few else keys, "gram").select("selector_id", "doc_id"))
+
+def candidates(selectors: DataFrame, pages: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """selector_id, doc_id of pages that may hold a selector: those with its key."""
+    words = F.split("text", " ", -1)
+    n = F.size(words)
+    kind = F.when(n > 1, F.concat(F.lit("w"), F.least(n - 2, F.lit(GRAM)))).otherwise(F.concat(F.lit("c"), F.least(F.length("text"), F.lit(3))))
+    asked = selectors.where(F.length("text") > 0).select("selector_id", "text", words.alias("_words"), kind.alias("kind"))
+    cut = pages.select("doc_id", "text", words.alias("_words"))
+    found = None
+    for (name,) in sorted(asked.select("kind").distinct().collect()):  # seven kinds at most
+        keys = asked.where(F.col("kind") == name).select("selector_id", _keys(F.col("_words"), F.col("text"), name)[0].alias("key"))
+        few = keys.limit(most_broadcast + 1).count() <= most_broadcast
+        # An outer explode: from a plain one a filter on the array's size is inferred and the array made twice.
+        made = cut.select("doc_id", F.explode_outer(F.array_distinct(_keys(F.col("_words"), F.col("text"), name))).alias("key"))
+        met = made.join(F.broadcast(keys) if few else keys, "key").select("selector_id", "doc_id")
+        found = met if found is None else found.union(met)
+    if found is None:
+        return selectors.limit(0).crossJoin(pages.limit(0)).select("selector_id", "doc_id")
     return found.distinct()
 
 
-def located(selectors: DataFrame, pages: DataFrame) -> DataFrame:
+def _holding(selectors: DataFrame, pages: DataFrame, most_broadcast: int) -> DataFrame:
+    """Selectors beside the pages that hold them: selector columns (text as quote), doc_id and text."""
+    both = candidates(selectors, pages, most_broadcast).join(pages.select("doc_id", "text"), "doc_id")
+    return both.join(selectors.withColumnRenamed("text", "quote"), "selector_id").where(F.contains("text", "quote"))
+
+
+def located(selectors: DataFrame, pages: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """selector_id, doc_id, first_at (code points), n_found, for every page that holds a selector.
 
-    ``selectors`` has selector_id and text, ``pages`` doc_id and text, both normalised. Null or
-    empty selectors are found nowhere.
+    ``selectors`` has selector_id and text, ``pages`` doc_id and text, both normalised.
     """
-    both = candidates(selectors, pages).join(pages, "doc_id").join(selectors.withColumnRenamed("text", "quote"), "selector_id")
-    both = both.where(F.contains("text", "quote"))
+    both = _holding(selectors.select("selector_id", "text"), pages, most_broadcast)
     n = (F.length("text") - F.length(F.replace(F.col("text"), F.col("quote"), F.lit("")))) / F.length("quote")
     return both.select("selector_id", "doc_id", (F.instr(F.col("text"), F.col("quote")) - 1).alias("first_at"), n.cast("int").alias("n_found"))
 
@@ -54,3 +83,58 @@ def verdicts(selectors: DataFrame, found: DataFrame) -> DataFrame:
         "selector_id", F.when(n == 0, "not-found").when(n == 1, "unique").otherwise("ambiguous").alias("status"),
         n.alias("n_places"), F.when(n == 1, F.col("at")).alias("doc_id"),
     )
+
+
+def ranked(selectors: DataFrame, pages: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """Every place of every selector: selector_id, doc_id, at, length, score and method.
+
+    ``selectors`` has selector_id, text, prefix and suffix, ``pages`` doc_id and text, all normalised.
+    An exact place scores 1, and 0.5 more for each side on which the context given stands next to it.
+    Only on pages without an exact place do runs count that begin and end as the quote does, at 0.75.
+    """
+    asked = selectors.select("selector_id", "text", F.coalesce("prefix", F.lit("")).alias("prefix"), F.coalesce("suffix", F.lit("")).alias("suffix"))
+    places = _holding(asked, pages, most_broadcast).withColumn("at", F.explode(offsets_of(F.col("text"), F.col("quote"))))
+    end, before, behind = F.col("at") + F.length("quote"), F.length("prefix") * 2 + 8, F.length("suffix") * 2 + 8
+    from_ = F.greatest(F.col("at") - before, F.lit(0))
+    left = F.when(F.col("prefix") != "", F.endswith(F.trim(F.substring("text", (from_ + 1).cast("int"), (F.col("at") - from_).cast("int"))), F.col("prefix"))).otherwise(False)
+    right = F.when(F.col("suffix") != "", F.startswith(F.trim(F.substring("text", (end + 1).cast("int"), behind)), F.col("suffix"))).otherwise(False)
+    score = 1 + 0.5 * left.cast("int") + 0.5 * right.cast("int")
+    exact = places.select("selector_id", "doc_id", "at", F.length("quote").alias("length"), score.cast("double").alias("score"), F.lit("exact").alias("method"))
+
+    words = F.regexp_extract_all(F.col("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("tokens")
+    bands = band_matches(asked.select("selector_id", words), pages.select("doc_id", words))
+    bands = bands.join(exact.select("selector_id", "doc_id").distinct(), ["selector_id", "doc_id"], "left_anti")
+    bands = bands.join(pages.select("doc_id", "text"), "doc_id")
+    # Where a token begins: what stands before the n-th match of a word.
+    gaps = F.transform(F.split("text", r"[\p{L}\p{N}]+", -1), lambda g: F.length(g))
+    sizes = F.transform(F.regexp_extract_all(F.col("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda t: F.length(t))
+    total = lambda a, k: F.aggregate(F.slice(a, 1, k), F.lit(0), lambda s, x: s + x)
+    at = total(gaps, F.col("first") + 1) + total(sizes, F.col("first"))
+    stop = total(gaps, F.col("last") + 1) + total(sizes, F.col("last") + 1)
+    loose = bands.select("selector_id", "doc_id", at.alias("at"), (stop - at).alias("length"), F.lit(0.75).alias("score"), F.lit("fragment").alias("method"))
+    return exact.unionByName(loose)
+
+
+def in_order(found: DataFrame, most: int | None = None) -> DataFrame:
+    """``ranked`` with the place of each finding among its selector's: by score, page and offset; all, or the first ``most``."""
+    order = W.partitionBy("selector_id").orderBy(F.desc("score"), "doc_id", "at")
+    placed = found.withColumn("place", F.row_number().over(order))
+    return placed if most is None else placed.where(F.col("place") <= most)
+
+
+def best_only(found: DataFrame, least: float = 0.97) -> DataFrame:
+    """Findings after two sieves: if any scores ``least``, only such stay; if the best is above 1, only its equals."""
+    best = F.max("score").over(W.partitionBy("selector_id"))
+    kept = found.withColumn("_best", best).where((F.col("_best") < least) | (F.col("score") >= least))
+    return kept.where((F.col("_best") <= 1) | (F.col("score") == F.col("_best"))).drop("_best")
+
+
+def settled(selectors: DataFrame, found: DataFrame) -> DataFrame:
+    """selector_id, status, n_places, and place and score where it is unique."""
+    places = found.groupBy("selector_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "at", "length", "score", "method")).alias("one"))
+    n = F.coalesce("n", F.lit(0)).cast("bigint")
+    one = lambda name: F.when(n == 1, F.col(f"one.{name}")).alias(name)
+    return selectors.select("selector_id").join(places, "selector_id", "left").select(
+        "selector_id", F.when(n == 0, "not-found").when(n == 1, "unique").otherwise("ambiguous").alias("status"), n.alias("n_places"),
+        *map(one, ("doc_id", "at", "length", "score", "method")),
+    )

@@ -9,29 +9,29 @@ from pyspark.sql import functions as F
 from locusmill.functions.tokens import bigrams
 
 
-def bigram_pairs(items: DataFrame) -> DataFrame:
-    """left_id, right_id, score for the pairs of ``items`` (id, text) that share a bigram.
+def bigram_scored(rows: DataFrame, a: str, b: str, name: str = "score") -> DataFrame:
+    """``rows`` with the likeness of two of their texts, 0 to 1: the multiset Dice coefficient of their character pairs.
 
-    Multiset Dice coefficient; where one text holds the other, 0.65 plus 0.35 times the share it covers.
-    The pairs meet through an equi-join on bigrams, so ones without a common bigram never arise.
+    Where one text holds the other, 0.65 plus 0.35 times the share it covers; 0 where one is empty.
+    Nothing leaves its row. The pairs are columns of their own, so each text is cut once.
     """
-    grams = items.select("id", F.explode(bigrams(F.col("text"))).alias("gram")).groupBy("id", "gram").agg(F.count(F.lit(1)).alias("n"))
-    other = grams.toDF("other", "gram", "m")
-    common = grams.join(other, "gram").where("id < other").groupBy("id", "other").agg(F.sum(F.least("n", "m")).alias("common"))
-    left, right = items.toDF("id", "a"), items.toDF("other", "b")
-    both = common.join(left, "id").join(right, "other")
-    la, lb = F.length("a"), F.length("b")
-    inside = F.contains("a", "b") | F.contains("b", "a")
-    score = F.when(inside, 0.65 + 0.35 * F.least(la, lb) / F.greatest(la, lb)).otherwise(2.0 * F.col("common") / F.greatest(F.lit(1), la + lb - 2))
-    return both.select(F.col("id").alias("left_id"), F.col("other").alias("right_id"), F.round(score, 6).alias("score"))
-
-
-def best_by_margin(scored: DataFrame, key: str, other: str, score: str, least: float = 0.78, lead: float = 0.1) -> DataFrame:
+    cut = rows.withColumn("_left", bigrams(F.col(a))).withColumn("_right", bigrams(F.col(b)))
+    shared = F.array_intersect("_left", "_right")
+    count = lambda grams, g: F.size(F.filter(grams, lambda x: x == g))
+    common = F.aggregate(shared, F.lit(0), lambda s, g: s + F.least(count("_left", g), count("_right", g)))
+    la, lb = F.length(a), F.length(b)
+    inside = F.contains(a, b) | F.contains(b, a)
+    score = F.when((la == 0) | (lb == 0), 0.0).when(inside, 0.65 + 0.35 * F.least(la, lb) / F.greatest(la, lb))
+    score = F.round(score.otherwise(2.0 * common / F.greatest(F.lit(1), la + lb - 2)), 6)
+    return cut.withColumn(name, score).drop("_left", "_right")
+
+
+def best_by_margin(scored: DataFrame, keys: list[str], other: str, score: str, least: float = 0.78, lead: float = 0.1) -> DataFrame:
     """The best row of each key with the runner-up's score; accepted if good enough and far enough ahead."""
-    order = W.partitionBy(key).orderBy(F.desc(score), other)
+    order = W.partitionBy(*keys).orderBy(F.desc(score), other)
     ranked = scored.withColumn("_k", F.row_number().over(order)).withColumn("second", F.coalesce(F.lead(score).over(order), F.lit(0.0)))
     accepted = (F.col(score) >= least) & (F.round(F.col(score) - F.col("second"), 6) >= lead)
-    return ranked.where("_k = 1").select(key, other, score, "second", accepted.alias("accepted"))
+    return ranked.where("_k = 1").select(*keys, other, score, "second", accepted.alias("accepted"))
 
 
 def position_penalty(translated: Column, selected: Column, source: Column, candidate: Column) -> Column:

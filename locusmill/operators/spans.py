@@ -14,27 +14,52 @@ from pyspark.sql import functions as F
 ANCHOR = 4
 
 
-def _literal(phrase: str) -> str:
-    return "\\Q" + phrase.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+def _literal(phrase: Column) -> Column:
+    return F.concat(F.lit("\\Q"), F.replace(phrase, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
 
-def occurrences(rows: DataFrame, key: str, text: str, phrase: str, overlapping: bool = False) -> DataFrame:
-    """``key`` and offset of each occurrence of a non-empty phrase; null texts hold none.
+def _sums(lengths: Column, skip: int = 0) -> Column:
+    """The sums of all entries before each entry, but for the first ``skip``."""
+    start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.expr("cast(array() as array<bigint>)").alias("before"))
+    step = lambda s, n: F.struct((s["sum"] + n).alias("sum"), F.concat(s["before"], F.array(s["sum"])).alias("before"))
+    return F.aggregate(lengths, start, step, lambda s: F.slice(s["before"], F.lit(skip + 1), F.size(s["before"])))
 
-    The text is cut at the phrase and the lengths of its pieces are summed up. Overlapping ones
-    are cut in front of, so that the next may begin inside.
+
+def offsets_of(text: Column, phrase: Column, overlapping: bool = False) -> Column:
+    """An array of the offsets of a non-empty phrase in a text, both columns of one row; nothing leaves the row.
+
+    The text is cut at the phrase and the lengths of the pieces are summed up. Overlapping ones are
+    cut in front of, so that the next may begin inside. Null or empty: no offset.
     """
-    cut = f"(?={_literal(phrase)})" if overlapping else _literal(phrase)
-    step = 0 if overlapping else len(phrase)
-    pieces = rows.select(key, text, F.posexplode(F.split(text, cut, -1)).alias("_i", "_piece"))
-    before = W.partitionBy(key).orderBy("_i").rowsBetween(W.unboundedPreceding, -1)
-    at = F.sum(F.length("_piece") + step).over(before) - step
-    found = pieces.withColumn("offset", F.coalesce(at, F.lit(0)).cast("bigint"))
-    # A cut in front of the phrase at a text's very start leaves no empty piece.
-    hit = F.col("_i") > 0
+    pieces = F.split(text, F.concat(F.lit("(?="), _literal(phrase), F.lit(")")) if overlapping else _literal(phrase), F.lit(-1))
+    step = F.lit(0) if overlapping else F.length(phrase)
+    # The piece before each place ends there; a cut in front of the phrase at a text's very start leaves no empty piece.
+    places = F.transform(_sums(F.transform(pieces, lambda p: (F.length(p) + step).cast("bigint")), skip=1), lambda p: p - step)
     if overlapping:
-        hit |= F.startswith(text, F.lit(phrase))
-    return found.where(hit).select(key, "offset")
+        places = F.when(F.startswith(text, phrase), F.concat(F.array(F.lit(0).cast("bigint")), places)).otherwise(places)
+    return F.coalesce(F.when(F.length(phrase) > 0, places), F.expr("cast(array() as array<bigint>)"))
+
+
+def occurrences(rows: DataFrame, key: str, text: str, phrase: str | Column, overlapping: bool = False) -> DataFrame:
+    """``key`` and offset of each occurrence of a non-empty phrase; null texts hold none, and rows of one key are apart."""
+    phrase = F.lit(phrase) if isinstance(phrase, str) else phrase
+    return rows.select(key, F.explode(offsets_of(F.col(text), phrase, overlapping)).alias("offset"))
+
+
+def split_bounds(rows: DataFrame, key: str, pieces: Column, index: str, gap: int = 1) -> DataFrame:
+    """``key``, ``index``, start and end of each piece of a row's array of texts, ``gap`` code points apart. No shuffle."""
+    cut = rows.select(key, pieces.alias("_pieces"))
+    cut = cut.select(key, "_pieces", _sums(F.transform("_pieces", lambda p: (F.length(p) + gap).cast("bigint"))).alias("_before"))
+    each = cut.select(key, F.posexplode(F.arrays_zip("_pieces", "_before")).alias(index, "_p"))
+    return each.select(key, index, F.col("_p._before").alias("start"), (F.col("_p._before") + F.length("_p._pieces")).alias("end"))
+
+
+def page_slices(rows: DataFrame, key: str, text: str, counts: str) -> DataFrame:
+    """``key``, page and text of a text cut by an array of character counts; what is left over goes to the last page (SRC-20)."""
+    before = _sums(F.transform(counts, lambda c: F.coalesce(c, F.lit(0)).cast("bigint")))
+    cut = rows.select(key, F.col(text).alias("_text"), F.size(counts).alias("_n"), F.posexplode(F.arrays_zip(F.col(counts).alias("n"), before.alias("at"))).alias("page", "_p"))
+    length = F.when(F.col("page") == F.col("_n") - 1, F.length("_text")).otherwise(F.coalesce(F.col("_p.n"), F.lit(0)))
+    return cut.select(key, "page", F.substring(F.col("_text"), (F.col("_p.at") + 1).cast("int"), length.cast("int")).alias("text"))
 
 
 def page_bounds(lines: DataFrame, key: str, index: str, text: str, gap: int = 1) -> DataFrame:
@@ -89,6 +114,20 @@ def band_matches(selectors: DataFrame, pages: DataFrame, least: int = 12, slack:
     return near.groupBy("selector_id", "doc_id", F.col("start").alias("first")).agg((F.min("tail") + F.first("k") - 1).alias("last"))
 
 
+def article_matches(selectors: DataFrame, pages: DataFrame, article: str = "the", least: int = 8, slack: int = 2) -> DataFrame:
+    """selector_id, doc_id, first and last token of runs that equal a quote but for its articles (JN-10).
+
+    Quotes of at least ``least`` other tokens; what the run is longer or shorter is at most ``slack``.
+    """
+    other = F.filter(F.transform("tokens", lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda s: s["t"] != article)
+    bare = lambda df, key: df.select(key, F.size("tokens").alias("n"), other.alias("_o"))
+    asked = bare(selectors, "selector_id").where(F.size("_o") >= least).select("selector_id", "n", F.col("_o.t").alias("tokens"))
+    held = bare(pages, "doc_id").select("doc_id", F.col("_o.t").alias("tokens"), F.col("_o.i").alias("places"))
+    met = token_starts(asked, held).join(asked.select("selector_id", "n", F.size("tokens").alias("k")), "selector_id").join(held.select("doc_id", "places"), "doc_id")
+    first, last = F.get("places", F.col("start")), F.get("places", F.col("start") + F.col("k") - 1)
+    return met.where(F.abs(last - first + 1 - F.col("n")) <= slack).select("selector_id", "doc_id", first.alias("first"), last.alias("last"))
+
+
 def islands(rows: DataFrame, keys: list[str], left: str, right: str, gap: Column) -> DataFrame:
     """Intervals of each key, in order of their left edge, joined where the gap isn't greater than ``gap``."""
     order = W.partitionBy(*keys).orderBy(left, right)

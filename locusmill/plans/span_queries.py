@@ -29,11 +29,13 @@ def occurrence_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT item_id, i AS "offset" FROM (SELECT item_id, text, unnest(range(length(text))) AS i FROM benchmark) WHERE substr(text, i + 1, 2) = 'nn' OR substr(text, i + 1, 3) = 'ere'
+WITH e AS (SELECT doc_id, text, unnest(['nn', 'ere', 'tt']) AS phrase FROM documents),
+i AS (SELECT doc_id, phrase, text, unnest(range(length(text))) AS i FROM e WHERE contains(text, phrase))
+SELECT doc_id, phrase, i AS "offset" FROM i WHERE substr(text, i + 1, length(phrase)) = phrase
 """)
 def occurrence_positions_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark")
-    return spans.occurrences(items, "item_id", "text", "nn", overlapping=True).union(spans.occurrences(items, "item_id", "text", "ere", overlapping=True))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.array(*map(F.lit, ("nn", "ere", "tt")))).alias("phrase"))
+    return docs.select("doc_id", "phrase", F.explode(spans.offsets_of(F.col("text"), F.col("phrase"), overlapping=True)).alias("offset"))
 
 
 _LINES = """
@@ -43,8 +45,7 @@ b AS (SELECT doc_id, page, line, CAST(coalesce(sum(length(line) + 1) OVER (PARTI
 
 
 def _bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("page", "line"))
-    return spans.page_bounds(lines, "doc_id", "page", "line")
+    return spans.split_bounds(table(spark, sf_dir, "documents"), "doc_id", F.split("text", "\n", -1), "page")
 
 
 @query(f"""WITH {_LINES} SELECT doc_id, page, "start", "start" + length(line) AS "end" FROM b""")
