@@ -1,10 +1,11 @@
 """Chat formatting from an event log.
 
 The log of a conversation is dealt to one partition and sorted by turn and sequence, then folded
-as a stream: only the events of one turn are held at a time, however long the conversation is.
+as a stream: only the message that is being written is held, however long the conversation is.
 ``start`` opens a message, ``delta`` appends to the message its turn opened last, ``edit`` replaces
 that message's text, and ``regenerate`` voids every earlier event of its own and of all later
-turns and opens a message anew. The folded messages are rendered to ChatML-like turns:
+turns and opens a message anew; what is void is left out before the fold. The folded messages are
+rendered to ChatML-like turns:
 
     <|im_start|>role\\ntext<|im_end|>\\n
 
@@ -15,25 +16,29 @@ messages, as code-point offsets into the rendered part.
 Defined cases: a null text, role or kind counts as empty, empty and ``start``; null turns and
 sequences sort first; events that tie sort by kind, role and text; a delta or edit without a
 message opens one; a null conversation id is a conversation of its own; repeated ``start`` rows
-are turns of their own; an empty log gives no rows; other columns are never read.
+are turns of their own; an empty log gives no rows; texts of any length are taken whole; other
+columns are never read. Parts that are missing or out of order are an error when reading back.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import groupby
+from itertools import count, groupby
 from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from locusmill.llm.scratch import in_arrow
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 LEARNED = "assistant"
-PART_SCHEMA = "conv_id bigint, part bigint, formatted string, loss array<struct<start:bigint,stop:bigint>>"
+PART_SCHEMA = "conv_id bigint, part bigint, formatted string, loss array<struct<start:bigint,stop:bigint>>, last boolean"
 READ_SCHEMA = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
 BATCH_CHARS = 4_000_000
 
@@ -58,24 +63,20 @@ def _role_in(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
-def fold_turn(events: list[dict], void_before: int | None) -> tuple[list[tuple[str, str]], int | None]:
-    """The messages of one turn, and the sequence before which later turns' events are void.
-
-    ``events`` are sorted; ``void_before`` comes from the turns before.
-    """
-    cuts = [e["seq"] for e in events if e["kind"] == "regenerate"]
-    cut = max([*cuts, *([] if void_before is None else [void_before])], default=None)
-    messages: list[tuple[str, list[str]]] = []
+def fold_turn(events: Iterable[dict]) -> Iterator[tuple[str, str]]:
+    """The messages of one turn from its sorted events, none of them void, one by one."""
+    role, texts = "", None
     for e in events:
-        if cut is not None and e["seq"] < cut:
-            continue
-        if e["kind"] in ("start", "regenerate") or not messages:
-            messages.append((e["role"], [e["text"]]))
+        if e["kind"] in ("start", "regenerate") or texts is None:
+            if texts is not None:
+                yield role, "".join(texts)
+            role, texts = e["role"], [e["text"]]
         elif e["kind"] == "edit":
-            messages[-1] = (messages[-1][0], [e["text"]])
+            texts = [e["text"]]
         else:
-            messages[-1][1].append(e["text"])
-    return [(role, "".join(texts)) for role, texts in messages], cut
+            texts.append(e["text"])
+    if texts is not None:
+        yield role, "".join(texts)
 
 
 def render(role: str, text: str) -> tuple[str, list[dict]]:
@@ -93,19 +94,20 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 def _fold_and_render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema(
         [("conv_id", pa.int64()), ("part", pa.int64()), ("formatted", pa.large_string()),
-         ("loss", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))]
+         ("loss", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("last", pa.bool_())]
     )
     out: list[dict] = []
     chars = 0
     for conv, log in groupby(_rows(batches), key=itemgetter("conv_id")):
-        part, cut = 0, None
-        for _, events in groupby(log, key=itemgetter("turn")):
-            messages, cut = fold_turn(list(events), cut)
-            for role, text in messages:
-                formatted, loss = render(role, text)
-                out.append({"conv_id": conv, "part": part, "formatted": formatted, "loss": loss})
-                part += 1
-                chars += len(formatted)
+        messages = (m for _, events in groupby(log, key=itemgetter("turn")) for m in fold_turn(events))
+        held = next(messages, None)
+        for part in count():
+            if held is None:
+                break
+            formatted, loss = render(*held)
+            held = next(messages, None)
+            out.append({"conv_id": conv, "part": part, "formatted": formatted, "loss": loss, "last": held is None})
+            chars += len(formatted)
             if chars > BATCH_CHARS:
                 yield pa.RecordBatch.from_pylist(out, schema)
                 out, chars = [], 0
@@ -113,7 +115,7 @@ def _fold_and_render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def format_conversations(events: DataFrame) -> DataFrame:
-    """One row per message, in the order of the conversation: conv_id, part, formatted, loss.
+    """One row per message, in the order of the conversation: conv_id, part, formatted, loss and last.
 
     ``events`` has conv_id, turn, seq, kind, role and text. Rows of a conversation stay together
     and in order; its whole text is its parts joined.
@@ -123,8 +125,11 @@ def format_conversations(events: DataFrame) -> DataFrame:
         F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), F.coalesce(F.col("seq").cast("bigint"), F.lit(-1)).alias("seq"),
         empty("kind", "start"), empty("role"), empty("text"),
     )
-    log = log.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "seq", "kind", "role", "text")
-    return log.mapInArrow(_fold_and_render, PART_SCHEMA)
+    # The window's shuffle by conversation is also the fold's; it spills where a conversation is long.
+    so_far = W.partitionBy("conv_id").orderBy("turn").rangeBetween(W.unboundedPreceding, W.currentRow)
+    cut = F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).over(so_far)
+    log = log.withColumn("_cut", cut).where("_cut is null or seq >= _cut").drop("_cut")
+    return in_arrow(log.sortWithinPartitions("conv_id", "turn", "seq", "kind", "role", "text"), _fold_and_render, PART_SCHEMA)
 
 
 def parse(formatted: str) -> Iterator[tuple[str, str]]:
@@ -169,9 +174,14 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
 
     for conv, parts in groupby(_rows(batches), key=itemgetter("conv_id")):
-        read = _Reading()
-        for row in parts:
+        read, ended = _Reading(), False
+        for place, row in enumerate(parts):
+            if ended or row["part"] != place:
+                raise ValueError(f"conversation {conv}: part {row['part']} in place of part {place}; read with in_order=False")
             read.add(row["formatted"], row["loss"])
+            ended = row["last"]
+        if not ended:
+            raise ValueError(f"conversation {conv}: its last part is missing; read with in_order=False")
         out.append((conv, read.n_turns, read.turns.hexdigest(), read.loss_chars, read.loss.hexdigest(), read.chars))
         if len(out) >= 10_000:
             yield batch()
@@ -179,14 +189,41 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch()
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of every conversation as its rendered parts give them.
+def read_back(formatted: DataFrame, in_order: bool = False) -> DataFrame:
+    """Digests of every conversation as its rendered parts give them; an error where parts are missing or repeated.
 
-    Takes the parts as ``format_conversations`` leaves them, partition by partition.
+    ``in_order`` says that the parts lie as ``format_conversations`` leaves them, partition by
+    partition, which saves dealing and sorting them again.
     """
-    return formatted.mapInArrow(_read_back, READ_SCHEMA)
+    if not in_order:
+        formatted = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    return in_arrow(formatted, _read_back, READ_SCHEMA)
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
     """A table of finished messages as a log: each row starts its message."""
     return conversations.select("conv_id", "turn", F.lit(0).alias("seq"), F.lit("start").alias("kind"), "role", "text")
+
+
+def as_streamed(conversations: DataFrame) -> DataFrame:
+    """A table of finished messages as the log of how they may have come: in deltas, edited, and generated again.
+
+    Of three messages of a conversation one is started whole, one comes in two deltas, and one is
+    started otherwise and edited. A last message that is alone in its turn is first written
+    otherwise and then generated again. The fold gives the messages back.
+    """
+    rows = conversations.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("role", "text")))
+    order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
+    at, first = F.row_number().over(order), F.lag(F.struct("turn")).over(order)
+    alone_last = F.lead(F.lit(1)).over(order).isNull() & ~F.coalesce(first.eqNullSafe(F.struct("turn")), F.lit(False))
+    rows = rows.withColumn("at", at.cast("bigint")).withColumn("again", alone_last)
+    half = F.floor(F.length("text") / 2).cast("int")
+    head, tail = F.substring(F.col("text"), F.lit(1), half), F.substring(F.col("text"), half + 1, F.length("text"))
+    event = lambda i, kind, text: F.struct((F.col("at") * 4 + i).alias("seq"), F.lit(kind).alias("kind"), (F.lit(text) if isinstance(text, str) else text).alias("text"))
+    events = (
+        F.when(F.col("again"), F.array(event(0, "start", "not "), event(1, "delta", "this"), event(2, "regenerate", head), event(3, "delta", tail)))
+        .when(F.col("at") % 3 == 1, F.array(event(0, "start", F.col("text"))))
+        .when(F.col("at") % 3 == 2, F.array(event(0, "start", ""), event(1, "delta", head), event(2, "delta", tail)))
+        .otherwise(F.array(event(0, "start", "not "), event(1, "delta", "this"), event(2, "edit", F.col("text"))))
+    )
+    return rows.select("conv_id", "turn", "role", F.inline(events)).select("conv_id", "turn", "seq", "kind", "role", "text")

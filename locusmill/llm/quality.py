@@ -6,8 +6,9 @@ its distinct words, hashed, weighted by their damped share, and statistics of it
 and words. The metadata of a document (id, language, source, labels) is never an input.
 
 The model is fitted on at most ``MOST_LABELLED`` labelled rows, those with the smallest hash of
-their id, whose crc32 isn't held out. That sample's features are computed on the executors and
-brought to the driver (bounded), and the weights (fixed size) are broadcast for scoring.
+their id, whose crc32 isn't held out, and one text of each. That sample's features are computed on
+the executors and brought to the driver (bounded), and the weights (fixed size) are broadcast for
+scoring. Words are remembered up to ``WORDS_REMEMBERED``, which never changes a score.
 
 Defined cases: a null text counts as empty and is scored; ids with several labels count with the
 largest; null labels teach nothing; without both classes the score is the share of label 1 with
@@ -176,7 +177,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     known = known.groupBy(F.col(key).alias("_id")).agg(F.max(label).cast("int").alias("label"))
     sample = known.orderBy(F.xxhash64("_id"), "_id").limit(most)  # at most ``most`` rows are broadcast
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.join(F.broadcast(sample), F.col("key") == F.col("_id")).select("key", "text", "label")
+    rows = rows.join(F.broadcast(sample), F.col("key") == F.col("_id"))
+    # One row for each sampled id, however often it is repeated: that with the least mark of its text.
+    rows = rows.groupBy("key").agg(F.min(F.struct(text_mark("text").alias("mark"), "text", "label")).alias("one")).select("key", "one.text", "one.label")
     kind = rows.schema["key"].dataType.simpleString()
     made = in_arrow(rows, _features, f"key {kind}, label int, index binary, values binary").toArrow().sort_by("key")
     index = [np.frombuffer(b, np.int32) for b in made.column("index").to_pylist()]

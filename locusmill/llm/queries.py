@@ -54,7 +54,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
     logs = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return chat_format.read_back(chat_format.format_conversations(chat_format.as_events(logs)))
+    return chat_format.read_back(chat_format.format_conversations(chat_format.as_streamed(logs)), in_order=True)
 
 
 def op10_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

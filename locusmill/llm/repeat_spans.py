@@ -7,15 +7,18 @@ those that are still undecided are looked at again, on a sample of the suffixes:
 
 1. Every ``LENGTH``-byte window names an anchor, the leftmost least hash of its ``GRAM``-byte
    grams. Equal windows name the same anchor at the same offset. Consecutive windows that name
-   one anchor are a run, a row of anchor, place and a hash of the run's bytes.
-2. Runs of equal bytes are a block. A block of two or more is repeated throughout, and one run
-   stands for it from here on. An anchor with a single block is decided.
+   one anchor are a run, a row of anchor, place and a hash of the run's bytes. In periodic text
+   equal runs follow each other; they are one row, with the number of times.
+2. Runs of equal bytes (two independent 64-bit hashes) are a block. A block of two or more is
+   repeated throughout, and one run stands for it from here on. An anchor with a single block is
+   decided.
 3. Where an anchor has several blocks, the bytes of one run of each are brought together and
    their windows compared; anchors of more than ``MOST_BLOCKS`` blocks compare through a shuffle.
 
-Rows grow with the bytes divided by half a window, whatever repeats how often; counts are
-aggregated before the shuffle, and joins are such that Spark splits their large partitions. Texts
-of any length are taken in segments of ``SEGMENT`` bytes that overlap by a window.
+Rows grow with the bytes divided by half a window, whatever repeats how often. Counts are aggregated
+before the shuffle; keys that hold more than one row in ``HOT`` of all are at most ``HOT`` many and
+are joined by broadcast, so that no task gets the rows of one. Texts of any length are taken in
+segments of ``SEGMENT`` bytes that overlap by a window.
 
 Defined cases: a null text is empty; texts shorter than a window keep all their bytes; matches
 never cross documents; overlapping repeats inside one text count; rows that repeat a text (and a
@@ -34,11 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from locusmill.llm.scratch import saved
+from locusmill.llm.scratch import in_arrow, saved
 
 LENGTH = 200
 GRAM = 32
-SEGMENT = 1 << 22
+SEGMENT = 1 << 20
+#: A key with more than one in so many rows is settled where its rows are read.
+HOT = 1000
 #: Blocks of an anchor that one task compares at once; the windows of larger ones go through a shuffle.
 MOST_BLOCKS = 4096
 BATCH_BYTES = 4 << 20
@@ -84,7 +89,7 @@ def _segments(data: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]
 
 
 def runs_of(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Of each run: its first window's start, how many windows, anchor hash, hash of its bytes."""
+    """Of each run: its first window's start, how many windows, how often it follows itself, anchor hash, hash of its bytes."""
     parts = []
     for base, piece in _segments(data, length):
         hashes = gram_hashes(piece, {gram, length})
@@ -99,9 +104,13 @@ def runs_of(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
         first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
         count = np.diff(np.append(first, len(place)))
         block = _joined(windows[first], windows[first + count - 1], 28) + count.astype(np.uint64)
-        parts.append((first + base, count, grams[place[first]], _joined(block, block, 29)))
+        block, anchor = _joined(block, block, 29), grams[place[first]]
+        # Equal neighbours, as periodic text has them, are one row.
+        new = np.append(True, (block[1:] != block[:-1]) | (anchor[1:] != anchor[:-1]) | (count[1:] != count[:-1]))
+        at = np.flatnonzero(new)
+        parts.append((first[at] + base, count[at], np.diff(np.append(at, len(first))), anchor[at], block[at]))
     if not parts:
-        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
@@ -120,7 +129,7 @@ def _packed(texts: DataFrame) -> DataFrame:
             small = pa.array([press.compress(t.encode()) for t in batch.column(2).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), small], ["_key", "_same", "_packed"])
 
-    return texts.mapInArrow(run, f"_key {texts.schema['_key'].dataType.simpleString()}, _same int, _packed binary")
+    return in_arrow(texts, run, f"_key {texts.schema['_key'].dataType.simpleString()}, _same int, _packed binary")
 
 
 def _runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
@@ -132,16 +141,16 @@ def _runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 continue
             found = [runs_of(np.frombuffer(t.encode(), np.uint8), length, gram) for t in batch.column(2).to_pylist()]
             owner = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
-            at, count, anchor, block = (np.concatenate([f[i] for f in found]) for i in range(4))
+            at, count, times, anchor, block = (np.concatenate([f[i] for f in found]) for i in range(5))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(owner), batch.column(1).take(owner), pa.array(at, pa.int32()), pa.array(count, pa.int16()),
+                    batch.column(0).take(owner), batch.column(1).take(owner), pa.array(at, pa.int32()), pa.array(count, pa.int16()), pa.array(times, pa.int32()),
                     pa.array(anchor.view(np.int64)), pa.array(block.view(np.int64)),
                 ],
-                ["_key", "_same", "at", "count", "anchor", "block"],
+                ["_key", "_same", "at", "count", "times", "anchor", "block"],
             )
 
-    return texts.mapInArrow(run, f"_key {key_type}, _same int, at int, count smallint, anchor bigint, block bigint")
+    return in_arrow(texts, run, f"_key {key_type}, _same int, at int, count smallint, times int, anchor bigint, block bigint")
 
 
 def _with_texts(found: DataFrame, packed: DataFrame, how: str = "inner") -> DataFrame:
@@ -171,7 +180,7 @@ def _contexts(contested: DataFrame, packed: DataFrame, length: int) -> DataFrame
                 yield pa.RecordBatch.from_arrays([anchor, wide, *own, at, alone, pa.array(cut, pa.binary())], names)
 
     rows = _with_texts(by_text, packed).select("_key", "_same", "_packed", "runs")
-    return rows.mapInArrow(run, f"anchor bigint, wide boolean, _key {key_type}, _same int, at int, alone boolean, bytes binary")
+    return in_arrow(rows, run, f"anchor bigint, wide boolean, _key {key_type}, _same int, at int, alone boolean, bytes binary")
 
 
 def _window_hashes(contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -203,7 +212,7 @@ def _compared(contexts: DataFrame, length: int) -> DataFrame:
         of = [rows[i] for i in owner[starts]]
         at = np.array([r[3] for r in of], np.int32) + place[starts].astype(np.int32) if of else np.empty(0, np.int32)
         return pa.RecordBatch.from_arrays(
-            [pa.array([r[1] for r in of], to_arrow_type(kind)), pa.array([r[2] for r in of], pa.int32()), pa.array(at), pa.array((stops - starts + 1).astype(np.int16))],
+            [pa.array([r[1] for r in of], to_arrow_type(kind)), pa.array([r[2] for r in of], pa.int32()), pa.array(at), pa.array((stops - starts + 1).astype(np.int32))],
             ["_key", "_same", "at", "count"],
         )
 
@@ -225,7 +234,7 @@ def _compared(contexts: DataFrame, length: int) -> DataFrame:
             yield compare(whole + open_)
 
     dealt = contexts.select(*columns).repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(run, f"_key {kind.simpleString()}, _same int, at int, count smallint")
+    return in_arrow(dealt, run, f"_key {kind.simpleString()}, _same int, at int, count int")
 
 
 def _shuffled(contexts: DataFrame, length: int) -> DataFrame:
@@ -240,24 +249,28 @@ def _shuffled(contexts: DataFrame, length: int) -> DataFrame:
             own = pa.array(owner)
             at = batch.column(2).take(own).to_numpy() + place.astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(own), batch.column(1).take(own), pa.array(at, pa.int32()), batch.column(3).take(own), pa.array(hashes.view(np.int64))],
-                ["_key", "_same", "at", "alone", "hash"],
+                [batch.column(0).take(own), batch.column(1).take(own), pa.array(at, pa.int32()), batch.column(3).take(own), pa.array(hashes.view(np.int64)), batch.column(5).take(own)],
+                ["_key", "_same", "at", "alone", "hash", "anchor"],
             )
 
-    windows = contexts.select("_key", "_same", "at", "alone", "bytes").mapInArrow(run, f"_key {kind}, _same int, at int, alone boolean, hash bigint")
+    columns = contexts.select("_key", "_same", "at", "alone", "bytes", "anchor")
+    windows = in_arrow(columns, run, f"_key {kind}, _same int, at int, alone boolean, hash bigint, anchor bigint")
     windows = saved(windows, "repeat-windows")
-    twice = windows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    return windows.where("alone").join(twice, "hash", "left_semi").select("_key", "_same", "at", F.lit(1).cast("smallint").alias("count"))
+    twice = windows.groupBy("anchor", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", "hash")
+    return windows.where("alone").join(twice, ["anchor", "hash"], "left_semi").select("_key", "_same", "at", F.lit(1).alias("count"))
 
 
 def _repeated(texts: DataFrame, packed: DataFrame, length: int, gram: int, most_blocks: int) -> DataFrame:
     """_key, _same, at, count: starts of repeated windows, ``count`` of them from ``at``."""
     runs = saved(_runs(texts, length, gram), "repeat-runs")
-    twice = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    runs = saved(runs.join(twice, "anchor", "left_semi"), "repeat-shared")
+    most = runs.count() // HOT
+    rows, windows = F.count(F.lit(1)).alias("rows"), F.sum("times").alias("n")
+    twice = saved(runs.groupBy("anchor").agg(rows, windows).where("n > 1").select("anchor", "rows"), "repeat-anchors")
+    runs = saved(_of_keys(runs, twice, ["anchor"], most), "repeat-shared")
     rep = F.min(F.struct("_key", "_same", "at", "count")).alias("rep")
-    blocks = saved(runs.groupBy("anchor", "block").agg(F.count(F.lit(1)).alias("n"), rep), "repeat-blocks")
-    whole = runs.join(blocks.where("n > 1").select("anchor", "block"), ["anchor", "block"], "left_semi").select("_key", "_same", "at", "count")
+    blocks = saved(runs.groupBy("anchor", "block").agg(rows, windows, rep), "repeat-blocks")
+    whole = _of_keys(runs, blocks.where("n > 1").select("anchor", "block", "rows"), ["anchor", "block"], most)
+    whole = whole.select("_key", "_same", "at", (F.col("count") * F.col("times")).alias("count"))
     several = blocks.groupBy("anchor").agg(F.count(F.lit(1)).alias("blocks")).where("blocks > 1")
     contested = blocks.join(several, "anchor").select("anchor", (F.col("blocks") > most_blocks).alias("wide"), "rep.*", (F.col("n") == 1).alias("alone"))
     contexts = saved(_contexts(contested, packed, length), "repeat-contexts")
@@ -265,6 +278,14 @@ def _repeated(texts: DataFrame, packed: DataFrame, length: int, gram: int, most_
     return whole.unionByName(single)
 
 
+def _of_keys(rows: DataFrame, keys: DataFrame, names: list[str], most: int) -> DataFrame:
+    """Rows whose key is among ``keys`` (with the number of rows each has); keys of more than ``most`` rows by broadcast."""
+    hot = saved(keys.where(F.col("rows") > most).select(*names), "repeat-hot")  # at most HOT keys have so many
+    settled = rows.join(F.broadcast(hot), names, "left_semi")
+    rest = rows.join(F.broadcast(hot), names, "left_anti").join(keys.where(F.col("rows") <= most).select(*names), names, "left_semi")
+    return settled.unionByName(rest)
+
+
 def merged_spans(at: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of bytes under windows: starts and exclusive stops."""
     order = np.argsort(at, kind="stable")
@@ -297,7 +318,7 @@ def _apply(found: DataFrame, packed: DataFrame, length: int, texts_too: bool) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
 
     kind = packed.schema["_key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_key {kind}, n_bytes bigint, spans array<struct<start:int,stop:int>>, kept_sha256 string, kept binary")
+    return in_arrow(rows, run, f"_key {kind}, n_bytes bigint, spans array<struct<start:int,stop:int>>, kept_sha256 string, kept binary")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, texts_too: bool = True, most_blocks: int = MOST_BLOCKS) -> DataFrame:

@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusmill.llm.scratch import saved
+from locusmill.llm.scratch import in_arrow, saved
 
 #: Fixed values of the format.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -262,7 +262,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
         kinds = (pa.string(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], k) for i, k in enumerate(kinds)], ["path", "records", "bytes"])
 
-    return saved(records.mapInArrow(write, "path string, records bigint, bytes bigint"), "warc-manifest")
+    return saved(in_arrow(records, write, "path string, records bigint, bytes bigint"), "warc-manifest")
 
 
 def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
@@ -289,4 +289,4 @@ def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
 
     ddl = ", ".join(f"{n} {({pa.int64(): 'bigint', pa.string(): 'string', pa.binary(): 'binary'})[k]}" for n, k in fields)
     archives = max(1, manifest.count())
-    return manifest.select("path", "records").repartition(min(archives, 10_000)).mapInArrow(read, ddl)
+    return in_arrow(manifest.select("path", "records").repartition(min(archives, 10_000)), read, ddl)
