@@ -7,8 +7,9 @@ those that are still undecided are looked at again, on a sample of the suffixes:
 
 1. Every ``LENGTH``-byte window names an anchor, the leftmost least hash of its ``GRAM``-byte
    grams. Equal windows name the same anchor at the same offset. Consecutive windows that name
-   one anchor are a run, a row of anchor, place and a hash of the run's bytes. In periodic text
-   equal runs follow each other; they are one row, with the number of times.
+   one anchor are a run, a row of anchor, place and a hash of the run's bytes. Runs that a text
+   has more than once, as periodic text does, are one row with the number of times; where they
+   lie is settled at once, and neighbours among them are one row, too.
 2. Runs of equal bytes (two independent 64-bit hashes) are a block. A block of two or more is
    repeated throughout, and one run stands for it from here on. An anchor with a single block is
    decided.
@@ -89,7 +90,7 @@ def _segments(data: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]
 
 
 def runs_of(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Of each run: its first window's start, how many windows, how often it follows itself, anchor hash, hash of its bytes."""
+    """Of each run: its first window's start, how many windows, anchor hash, hash of its bytes."""
     parts = []
     for base, piece in _segments(data, length):
         hashes = gram_hashes(piece, {gram, length})
@@ -104,16 +105,29 @@ def runs_of(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
         first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
         count = np.diff(np.append(first, len(place)))
         block = _joined(windows[first], windows[first + count - 1], 28) + count.astype(np.uint64)
-        block, anchor = _joined(block, block, 29), grams[place[first]]
-        # Equal neighbours, as periodic text has them, are one row.
-        new = np.append(True, (block[1:] != block[:-1]) | (anchor[1:] != anchor[:-1]) | (count[1:] != count[:-1]))
-        at = np.flatnonzero(new)
-        parts.append((first[at] + base, count[at], np.diff(np.append(at, len(first))), anchor[at], block[at]))
+        parts.append((first + base, count, grams[place[first]], _joined(block, block, 29)))
     if not parts:
-        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
     return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
+def distinct_runs(at: np.ndarray, count: np.ndarray, anchor: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, ...]:
+    """at, count, times, anchor and block of rows for one text: each different run once, with its number of times, then spans
+    of windows that the text itself repeats, with 0 times."""
+    order = np.lexsort((block, anchor))
+    new = np.append(True, (anchor[order][1:] != anchor[order][:-1]) | (block[order][1:] != block[order][:-1]))[: len(at)]
+    first = np.flatnonzero(new)
+    times = np.diff(np.append(first, len(at)))
+    twice = np.zeros(len(at) + 2, bool)  # by place, with an end on either side
+    twice[1:-1][order] = np.repeat(times > 1, times)
+    start, stop = np.flatnonzero(twice[1:-1] & ~twice[:-2]), np.flatnonzero(twice[1:-1] & ~twice[2:])
+    own, none = order[first], np.zeros(len(start), np.uint64)
+    return (
+        np.concatenate([at[own], at[start]]), np.concatenate([count[own], at[stop] + count[stop] - at[start]]), np.concatenate([times, np.zeros(len(start), np.int64)]),
+        np.concatenate([anchor[own], none]), np.concatenate([block[own], none]),
+    )
+
+
 def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """_key, _same (hash of the text, to tell rows of one key apart) and _text."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -139,18 +153,18 @@ def _runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            found = [runs_of(np.frombuffer(t.encode(), np.uint8), length, gram) for t in batch.column(2).to_pylist()]
+            found = [distinct_runs(*runs_of(np.frombuffer(t.encode(), np.uint8), length, gram)) for t in batch.column(2).to_pylist()]
             owner = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
             at, count, times, anchor, block = (np.concatenate([f[i] for f in found]) for i in range(5))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(owner), batch.column(1).take(owner), pa.array(at, pa.int32()), pa.array(count, pa.int16()), pa.array(times, pa.int32()),
+                    batch.column(0).take(owner), batch.column(1).take(owner), pa.array(at, pa.int32()), pa.array(count, pa.int32()), pa.array(times, pa.int32()),
                     pa.array(anchor.view(np.int64)), pa.array(block.view(np.int64)),
                 ],
                 ["_key", "_same", "at", "count", "times", "anchor", "block"],
             )
 
-    return in_arrow(texts, run, f"_key {key_type}, _same int, at int, count smallint, times int, anchor bigint, block bigint")
+    return in_arrow(texts, run, f"_key {key_type}, _same int, at int, count int, times int, anchor bigint, block bigint")
 
 
 def _with_texts(found: DataFrame, packed: DataFrame, how: str = "inner") -> DataFrame:
@@ -262,7 +276,8 @@ def _shuffled(contexts: DataFrame, length: int) -> DataFrame:
 
 def _repeated(texts: DataFrame, packed: DataFrame, length: int, gram: int, most_blocks: int) -> DataFrame:
     """_key, _same, at, count: starts of repeated windows, ``count`` of them from ``at``."""
-    runs = saved(_runs(texts, length, gram), "repeat-runs")
+    all_runs = saved(_runs(texts, length, gram), "repeat-runs")
+    runs, settled = all_runs.where("times > 0"), all_runs.where("times = 0").select("_key", "_same", "at", "count")
     most = runs.count() // HOT
     rows, windows = F.count(F.lit(1)).alias("rows"), F.sum("times").alias("n")
     twice = saved(runs.groupBy("anchor").agg(rows, windows).where("n > 1").select("anchor", "rows"), "repeat-anchors")
@@ -270,7 +285,7 @@ def _repeated(texts: DataFrame, packed: DataFrame, length: int, gram: int, most_
     rep = F.min(F.struct("_key", "_same", "at", "count")).alias("rep")
     blocks = saved(runs.groupBy("anchor", "block").agg(rows, windows, rep), "repeat-blocks")
     whole = _of_keys(runs, blocks.where("n > 1").select("anchor", "block", "rows"), ["anchor", "block"], most)
-    whole = whole.select("_key", "_same", "at", (F.col("count") * F.col("times")).alias("count"))
+    whole = whole.select("_key", "_same", "at", "count").unionByName(settled)
     several = blocks.groupBy("anchor").agg(F.count(F.lit(1)).alias("blocks")).where("blocks > 1")
     contested = blocks.join(several, "anchor").select("anchor", (F.col("blocks") > most_blocks).alias("wide"), "rep.*", (F.col("n") == 1).alias("alone"))
     contexts = saved(_contexts(contested, packed, length), "repeat-contexts")
