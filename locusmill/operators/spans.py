@@ -18,7 +18,7 @@ def _literal(phrase: Column) -> Column:
     return F.concat(F.lit("\\Q"), F.replace(phrase, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
 
-def _sums(lengths: Column, skip: int = 0) -> Column:
+def sums_of(lengths: Column, skip: int = 0) -> Column:
     """The sums of all entries before each entry, but for the first ``skip``."""
     start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.expr("cast(array() as array<bigint>)").alias("before"))
     step = lambda s, n: F.struct((s["sum"] + n).alias("sum"), F.concat(s["before"], F.array(s["sum"])).alias("before"))
@@ -34,7 +34,7 @@ def offsets_of(text: Column, phrase: Column, overlapping: bool = False) -> Colum
     pieces = F.split(text, F.concat(F.lit("(?="), _literal(phrase), F.lit(")")) if overlapping else _literal(phrase), F.lit(-1))
     step = F.lit(0) if overlapping else F.length(phrase)
     # The piece before each place ends there; a cut in front of the phrase at a text's very start leaves no empty piece.
-    places = F.transform(_sums(F.transform(pieces, lambda p: (F.length(p) + step).cast("bigint")), skip=1), lambda p: p - step)
+    places = F.transform(sums_of(F.transform(pieces, lambda p: (F.length(p) + step).cast("bigint")), skip=1), lambda p: p - step)
     if overlapping:
         places = F.when(F.startswith(text, phrase), F.concat(F.array(F.lit(0).cast("bigint")), places)).otherwise(places)
     return F.coalesce(F.when(F.length(phrase) > 0, places), F.expr("cast(array() as array<bigint>)"))
@@ -49,14 +49,14 @@ def occurrences(rows: DataFrame, key: str, text: str, phrase: str | Column, over
 def split_bounds(rows: DataFrame, key: str, pieces: Column, index: str, gap: int = 1) -> DataFrame:
     """``key``, ``index``, start and end of each piece of a row's array of texts, ``gap`` code points apart. No shuffle."""
     cut = rows.select(key, pieces.alias("_pieces"))
-    cut = cut.select(key, "_pieces", _sums(F.transform("_pieces", lambda p: (F.length(p) + gap).cast("bigint"))).alias("_before"))
+    cut = cut.select(key, "_pieces", sums_of(F.transform("_pieces", lambda p: (F.length(p) + gap).cast("bigint"))).alias("_before"))
     each = cut.select(key, F.posexplode(F.arrays_zip("_pieces", "_before")).alias(index, "_p"))
     return each.select(key, index, F.col("_p._before").alias("start"), (F.col("_p._before") + F.length("_p._pieces")).alias("end"))
 
 
 def page_slices(rows: DataFrame, key: str, text: str, counts: str) -> DataFrame:
     """``key``, page and text of a text cut by an array of character counts; what is left over goes to the last page (SRC-20)."""
-    before = _sums(F.transform(counts, lambda c: F.coalesce(c, F.lit(0)).cast("bigint")))
+    before = sums_of(F.transform(counts, lambda c: F.coalesce(c, F.lit(0)).cast("bigint")))
     cut = rows.select(key, F.col(text).alias("_text"), F.size(counts).alias("_n"), F.posexplode(F.arrays_zip(F.col(counts).alias("n"), before.alias("at"))).alias("page", "_p"))
     length = F.when(F.col("page") == F.col("_n") - 1, F.length("_text")).otherwise(F.coalesce(F.col("_p.n"), F.lit(0)))
     return cut.select(key, "page", F.substring(F.col("_text"), (F.col("_p.at") + 1).cast("int"), length.cast("int")).alias("text"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from locusmill.functions import segment as S
 from locusmill.functions import text as T
-from locusmill.operators import geometry
+from locusmill.operators import alignment, geometry
 from locusmill.plans.registry import query, table
 from locusmill.plans.text_queries import _READABLE
 
@@ -160,3 +160,47 @@ def quote_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = page_words(spark)
     held = geometry.distinct_places(geometry.page_candidates(_selectors(spark).where("selector_id = 'exact'"), words))
     return geometry.rectangles(held, words, ["selector_id"]).drop("selector_id")
+
+
+_URL = "https://x.org/a"
+_SOURCES = [(p, _URL, f"{p}{i}", i, 20 * (i - 1), 20 * i - 1, f"Sentence {i} of {p}.") for p, n in (("p", 3), ("q", 2), ("r", 3), ("s", 2), ("t", 2)) for i in range(1, n + 1)]
+_FRAGMENTS = [
+    # In order, one sentence in two pieces, with a reference between.
+    ("p", 0, "p1", "第一句话在这里", False), ("p", 1, None, "[1]", True), ("p", 2, "p1", "结束了。", False), ("p", 3, "p2", "第二句话说完了。", False), ("p", 4, "p3", "第三句话也说完了。", False),
+    # Pieces of the first sentence inside the second: votes decide.
+    ("q", 0, "q1", "这是很长很长的第一句话的开头，", False), ("q", 1, "q2", "外", False), ("q", 2, "q1", "到此为止。", False), ("q", 3, "q2", "这里是同样很长很长的第二句话。", False),
+    # Source order is broken, and votes can't mend it.
+    ("r", 0, "r2", "先说第二句很长的话在前面。", False), ("r", 1, "r1", "再说第一句很长的话在后面。", False), ("r", 2, "r3", "最后一句。", False),
+    # A piece without a key; a key of another paragraph; a key that nothing has.
+    ("s", 0, "s1", "有标记的句子。", False), ("s", 1, None, "没有标记的句子。", False), ("s", 2, "s2", "又有标记的句子。", False),
+    ("t", 0, "t1", "自己的句子。", False), ("t", 1, "s1", "别人的句子。", False), ("u", 0, "zz", "无主的句子。", False), ("v", 0, None, "什么都没有。", False),
+]
+
+
+def _aligned(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    rows = [(p, _URL + "#part", i, k, t, r) for p, i, k, t, r in _FRAGMENTS]
+    fragments = spark.createDataFrame(rows, "paragraph_id string, url string, frag_idx int, sentence_key string, text string, is_reference boolean")
+    return fragments, spark.createDataFrame(_SOURCES, "paragraph_id string, url string, sentence_key string, ordinal int, start int, stop int, text string")
+
+
+@query(_values([("p", "grouped", True, 3), ("q", "noncontiguous-key", True, 4), ("r", "source-order", True, 3), ("s", "unmarked-content", True, 3), ("t", "foreign-owner", False, 2), ("u", "unknown-key", True, 1), ("v", "unmarked-content", True, 1)], "paragraph_id, reason, complete, groups").replace("SELECT *", 'SELECT paragraph_id, reason, complete, CAST("groups" AS BIGINT) AS "groups"').replace("complete, groups)", 'complete, "groups")'))
+def alignment_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-19, WIN-10, AGG-15: whether a paragraph's fragments fall into one group for each sentence, and why not."""
+    return alignment.paragraph_verdicts(*_aligned(spark))
+
+
+_SELECTIONS = [("whole", "p", 0, 31), ("first", "p", 0, 14), ("two", "p", 14, 31), ("first and second", "p", 0, 22), ("half", "p", 0, 5), ("mark", "p", 7, 10), ("repaired", "q", 0, 21), ("broken", "r", 0, 10), ("unmarked", "s", 0, 15), ("marked", "s", 0, 7), ("foreign", "t", 0, 6), ("none", "v", 0, 3), ("nowhere", "zz", 0, 3)]
+_REASONS = [
+    ("whole", "captured", "Sentence 1 of p. Sentence 2 of p. Sentence 3 of p.", "complete-validated-paragraph"), ("first", "captured", "Sentence 1 of p.", "complete-captured-sentence-sequence"),
+    ("two", "captured", "Sentence 2 of p. Sentence 3 of p.", "complete-captured-sentence-sequence"), ("first and second", "captured", "Sentence 1 of p. Sentence 2 of p.", "complete-captured-sentence-sequence"),
+    ("half", "partial-sentence-boundary", None, None), ("mark", "no-selected-sentence", None, None), ("repaired", "captured", "Sentence 1 of q.", "sentence-text-marker-consensus"),
+    ("broken", "invalid-sentence-fragment-groups", None, None), ("unmarked", "uncovered-selection-text", None, None), ("marked", "captured", "Sentence 1 of s.", "complete-captured-sentence-sequence"),
+    ("foreign", "invalid-sentence-fragment-groups", None, None), ("none", "no-sentence-anchors", None, None), ("nowhere", "no-sentence-anchors", None, None),
+]
+
+
+@query(_values(_REASONS, "selection_id, reason, source, evidence"))
+def alignment_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ALN-03, JN-20, JN-21, WIN-12: the source text of selections in a translation, or the reason why there is none."""
+    selections = spark.createDataFrame(_SELECTIONS, "selection_id string, paragraph_id string, start int, stop int")
+    return alignment.captured(selections, *_aligned(spark))
