@@ -43,7 +43,8 @@ def candidates(selectors: DataFrame, pages: DataFrame, most_broadcast: int = MOS
     """selector_id, doc_id of pages that may hold a selector: those with its key."""
     words = F.split("text", " ", -1)
     n = F.size(words)
-    kind = F.when(n > 1, F.concat(F.lit("w"), F.least(n - 2, F.lit(GRAM)))).otherwise(F.concat(F.lit("c"), F.least(F.length("text"), F.lit(3))))
+    # Spaces at an end of a quote have no word beside them; such a quote is keyed by its characters, too.
+    kind = F.when((n > 1) & ~F.regexp_like("text", F.lit(r"^ | \z")), F.concat(F.lit("w"), F.least(n - 2, F.lit(GRAM)))).otherwise(F.concat(F.lit("c"), F.least(F.length("text"), F.lit(3))))
     asked = selectors.where(F.length("text") > 0).select("selector_id", "text", words.alias("_words"), kind.alias("kind"))
     cut = pages.select("doc_id", "text", words.alias("_words"))
     found = None
