@@ -244,10 +244,14 @@ def html_paragraphs(column: str | Column) -> Column:
     return F.array_join(F.transform(F.split(text, "\n", -1), line), "")
 
 
+def halves_up(value: Column, digits: int) -> Column:
+    """Rounded to some decimals, halves upwards, by arithmetic alone: engines differ in how their own functions see halves."""
+    return F.floor(value * 10.0**digits + 0.5) / 10.0**digits
+
+
 def rounded(column: str | Column) -> Column:
     """Three decimals, halves upwards."""
-    value = F.col(column) if isinstance(column, str) else column
-    return F.floor(value * 1000 + 0.5) / 1000
+    return halves_up(F.col(column) if isinstance(column, str) else column, 3)
 
 
 def figure_keys(column: str | Column) -> Column:

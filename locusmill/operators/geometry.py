@@ -36,6 +36,9 @@ LEAST_CHARS = 24
 ARTICLE = "the"
 LEAST_CONTENT = 8
 
+# What a figure's heading and its panel letters, scale bars, statistics and closing marks look like (FLT-07, WIN-05).
+FIGURE_HEADING = r"(?i)^(?:extended\s+data\s+)?fig(?:ure)?\.?\s*\d+(?![A-Za-z0-9_])"
+PANEL, SCALE_BAR, STATISTIC, CLOSED = r"^(?:[a-z]\s*){1,4}\z", r"(?<![A-Za-z0-9_])\d+\s*[µμ]m(?![A-Za-z0-9_])", r"^P\s*[=<]", r"[.!?。！？]\s*\z"
 _CITATION = regex.compile(NUMERIC_CITATION)
 _BRITISH = regex.compile(rf"(?<![A-Za-z0-9_])(?:{'|'.join(SPELLINGS)})(?![A-Za-z0-9_])")
 #: What compact text keeps: letters, digits, comparators, signs before digits, decimal points not behind a label (FLT-06).
@@ -171,7 +174,7 @@ def _tolerant(both: DataFrame) -> DataFrame:
 
 def _asked(selectors: DataFrame) -> DataFrame:
     """Selectors with their tokens and compact texts, contexts and heading as they are compared."""
-    heading = F.regexp_like(F.trim(text_of("heading")), F.lit(r"(?i)^(?:extended\s+data\s+)?fig(?:ure)?\.?\s*\d+(?![A-Za-z0-9_])"))
+    heading = F.regexp_like(F.trim(text_of("heading")), F.lit(FIGURE_HEADING))
     compact = lambda c: compact_science(c)
     return selectors.select(
         "selector_id", "doc_id", science_tokens("exact").alias("quote"), science_tokens("prefix").alias("prefix_tokens"), science_tokens("suffix").alias("suffix_tokens"),
@@ -246,8 +249,8 @@ def label_pages(words: DataFrame) -> DataFrame:
     trimmed = F.trim("line")
     facts = lines.groupBy("doc_id", "page_index").agg(
         F.count(F.lit(1)).alias("lines"), F.max("n").alias("longest"), F.sum("n").alias("total"), F.count_if(F.col("n") <= 3).alias("short"),
-        F.max((F.col("n") >= 3) & F.regexp_like("line", F.lit(r"[.!?。！？]\s*\z"))).alias("sentence"), F.count_if(F.regexp_like(trimmed, F.lit(r"^(?:[a-z]\s*){1,4}\z"))).alias("panels"),
-        F.max(F.regexp_like("line", F.lit(r"(?<![A-Za-z0-9_])\d+\s*[µμ]m(?![A-Za-z0-9_])"))).alias("scale"), F.count_if(F.regexp_like(trimmed, F.lit(r"^P\s*[=<]"))).alias("tests"),
+        F.max((F.col("n") >= 3) & F.regexp_like("line", F.lit(CLOSED))).alias("sentence"), F.count_if(F.regexp_like(trimmed, F.lit(PANEL))).alias("panels"),
+        F.max(F.regexp_like("line", F.lit(SCALE_BAR))).alias("scale"), F.count_if(F.regexp_like(trimmed, F.lit(STATISTIC))).alias("tests"),
     )
     most = F.when((F.col("panels") >= 4) & F.col("scale") & (F.col("tests") >= 4), 400).otherwise(160)
     labels = (F.col("lines") >= 8) & (F.col("longest") <= 6) & (F.col("total") <= most) & (F.col("short") >= 0.8 * F.col("lines")) & ~F.col("sentence")

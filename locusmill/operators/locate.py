@@ -56,7 +56,7 @@ def candidates(selectors: DataFrame, pages: DataFrame, most_broadcast: int = MOS
         met = made.join(F.broadcast(keys) if few else keys, "key").select("selector_id", "doc_id")
         found = met if found is None else found.union(met)
     if found is None:
-        return selectors.limit(0).crossJoin(pages.limit(0)).select("selector_id", "doc_id")
+        return selectors.select("selector_id", F.lit(None).cast(pages.schema["doc_id"].dataType).alias("doc_id")).where("false")
     return found.distinct()
 
 

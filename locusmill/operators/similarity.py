@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from locusmill.functions.text import halves_up
 from locusmill.functions.tokens import bigrams
 
 
@@ -22,7 +23,7 @@ def bigram_scored(rows: DataFrame, a: str, b: str, name: str = "score") -> DataF
     la, lb = F.length(a), F.length(b)
     inside = F.contains(a, b) | F.contains(b, a)
     score = F.when((la == 0) | (lb == 0), 0.0).when(inside, 0.65 + 0.35 * F.least(la, lb) / F.greatest(la, lb))
-    score = F.round(score.otherwise(2.0 * common / F.greatest(F.lit(1), la + lb - 2)), 6)
+    score = halves_up(score.otherwise(2.0 * common / F.greatest(F.lit(1), la + lb - 2)), 6)
     return cut.withColumn(name, score).drop("_left", "_right")
 
 

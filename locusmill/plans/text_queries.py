@@ -140,8 +140,8 @@ def whole_sentence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SHORTLIST = f"""
 {_LINES}, s AS (SELECT doc_id, line, {_READABLE} AS p, {_ALL_SENTENCES} AS s FROM l),
 c AS (SELECT DISTINCT doc_id, line, p, s[2] AS chosen, unnest(s) AS cand FROM s WHERE len(s) >= 3),
-r AS (SELECT doc_id, line, chosen, cand, round(2 * abs((strpos(p, cand) - 1 + length(cand) / 2.0) / length(p) - (strpos(p, chosen) - 1 + length(chosen) / 2.0) / length(p))
-    + 0.35 * abs(length(cand) - greatest(24, length(chosen))) / greatest(24, length(chosen)), 9) AS penalty FROM c),
+r AS (SELECT doc_id, line, chosen, cand, floor((2 * abs((strpos(p, cand) - 1 + length(cand) / 2.0) / length(p) - (strpos(p, chosen) - 1 + length(chosen) / 2.0) / length(p))
+    + 0.35 * abs(length(cand) - greatest(24, length(chosen))) / greatest(24, length(chosen))) * 1e9 + 0.5) / 1e9 AS penalty FROM c),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY penalty, cand) AS place FROM r),
 top AS (SELECT doc_id, CAST(line AS INTEGER) AS line, CAST(place AS INTEGER) AS place, chosen, cand AS candidate, penalty FROM k WHERE place <= 6)
 """
@@ -159,7 +159,7 @@ def _shortlisted(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs.select("doc_id", "line", "p", F.col("s")[1].alias("chosen"), F.explode(F.array_distinct("s")).alias("cand"))
     penalty = similarity.position_penalty(F.col("p"), F.col("chosen"), F.col("p"), F.col("cand"))
     order = W.partitionBy("doc_id", "line").orderBy("penalty", "cand")
-    ranked = docs.select("doc_id", "line", "chosen", "cand", F.round(penalty, 9).alias("penalty")).withColumn("place", F.row_number().over(order))
+    ranked = docs.select("doc_id", "line", "chosen", "cand", T.halves_up(penalty, 9).alias("penalty")).withColumn("place", F.row_number().over(order))
     return ranked.where("place <= 6").select("doc_id", "line", "place", "chosen", F.col("cand").alias("candidate"), "penalty")
 
 
@@ -168,9 +168,9 @@ _DICE = rf"""
 ga AS (SELECT doc_id, line, place, gram, count(*) AS n FROM (SELECT doc_id, line, place, unnest(list_transform(range(1, length(a)), lambda i: a[i : i + 1])) AS gram FROM k2) GROUP BY ALL),
 gb AS (SELECT doc_id, line, place, gram, count(*) AS n FROM (SELECT doc_id, line, place, unnest(list_transform(range(1, length(b)), lambda i: b[i : i + 1])) AS gram FROM k2) GROUP BY ALL),
 o AS (SELECT doc_id, line, place, sum(least(ga.n, gb.n)) AS o FROM ga JOIN gb USING (doc_id, line, place, gram) GROUP BY ALL),
-dice AS (SELECT doc_id, line, place, round(CASE WHEN a = '' OR b = '' THEN 0
+dice AS (SELECT doc_id, line, place, floor((CASE WHEN a = '' OR b = '' THEN 0
     WHEN contains(a, b) OR contains(b, a) THEN 0.65 + 0.35 * least(length(a), length(b)) / greatest(length(a), length(b))
-    ELSE 2.0 * coalesce(o, 0) / greatest(1, length(a) + length(b) - 2) END, 6) AS score FROM k2 LEFT JOIN o USING (doc_id, line, place))
+    ELSE 2.0 * coalesce(o, 0) / greatest(1, length(a) + length(b) - 2) END) * 1e6 + 0.5) / 1e6 AS score FROM k2 LEFT JOIN o USING (doc_id, line, place))
 """
 
 
@@ -198,8 +198,8 @@ c AS (SELECT doc_id, string_split(regexp_replace(x, '([,;]\s+)((?:which|where|wh
 i AS (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM c),
 j AS (SELECT doc_id, c, i, unnest(range(i, len(c) + 1)) AS j FROM i),
 a AS (SELECT doc_id, p AS cand FROM s UNION SELECT doc_id, unnest(s) FROM s UNION SELECT doc_id, trim(array_to_string(c[i:j], '')) FROM j UNION SELECT doc_id, text FROM runs),
-r AS (SELECT doc_id, cand, round(2 * abs((greatest(strpos(p, cand) - 1, 0) + length(cand) / 2.0) / length(p) - (strpos(p, chosen) - 1 + length(chosen) / 2.0) / length(p))
-    + 0.35 * abs(length(cand) - greatest(24, length(chosen))) / greatest(24, length(chosen)), 9) AS penalty
+r AS (SELECT doc_id, cand, floor((2 * abs((greatest(strpos(p, cand) - 1, 0) + length(cand) / 2.0) / length(p) - (strpos(p, chosen) - 1 + length(chosen) / 2.0) / length(p))
+    + 0.35 * abs(length(cand) - greatest(24, length(chosen))) / greatest(24, length(chosen))) * 1e9 + 0.5) / 1e9 AS penalty
   FROM (SELECT doc_id, p, s[2] AS chosen, cand FROM s JOIN a USING (doc_id) WHERE len(s) >= 3 AND length(cand) >= 8)),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY penalty, cand) AS place FROM r)
 SELECT doc_id, CAST(place AS INTEGER) AS place, cand AS candidate, penalty FROM k WHERE place <= 6
@@ -210,7 +210,7 @@ def whole_mapping_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def ranked(candidate: Column) -> Column:
         penalty = similarity.position_penalty(F.col("p"), F.col("s")[1], F.col("p"), candidate)
-        return F.struct(F.round(penalty, 9).alias("penalty"), candidate.alias("candidate"))
+        return F.struct(T.halves_up(penalty, 9).alias("penalty"), candidate.alias("candidate"))
 
     # Ranked inside the row: candidates are many times the text, and only the first six leave it.
     best = F.slice(F.array_sort(F.transform(K.mapping_candidates(F.col("p"), F.col("s")), ranked)), 1, 6)

@@ -1,5 +1,6 @@
 """Queries over sentences take every sentence of a document, by brute force."""
 
+import math
 import re
 
 import pytest
@@ -49,7 +50,7 @@ def test_shortlist_ranks_clauses_windows_and_paragraph(spark, long_dir):
     chosen, every = said[1], {text, *said, *(c for s in said for c in clauses(s)), *(r[2] for r in runs(said))}
     center = lambda part: (text.index(part) + len(part) / 2) / len(text)
     wanted = max(24, len(chosen))
-    penalty = lambda c: round(2 * abs(center(c) - center(chosen)) + 0.35 * abs(len(c) - wanted) / wanted, 9)
+    penalty = lambda c: math.floor((2 * abs(center(c) - center(chosen)) + 0.35 * abs(len(c) - wanted) / wanted) * 1e9 + 0.5) / 1e9
     expected = sorted((penalty(c), c) for c in every if len(c) >= 8)[:6]
     rows = QUERIES["whole_mapping_shortlist"](spark, path).orderBy("place").collect()
     assert [(r.penalty, r.candidate) for r in rows] == expected
