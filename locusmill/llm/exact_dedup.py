@@ -94,7 +94,7 @@ def drop_exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text")
     Rows with the same key and different texts are judged apart.
     """
     gone = duplicate_groups(docs, key, text).where("not kept").select(F.col(key).alias("_gone_key"), F.col("text_sha256").alias("_gone_text"))
-    # What goes is less than what stays, and mostly few enough to leave the texts where they are.
-    gone = saved(gone.distinct(), "exact-gone")
+    # What goes is less than what stays, but grows with the table: it meets the texts by a sorted join at every size.
+    gone = saved(gone.distinct(), "exact-gone").hint("merge")
     same = docs[key].eqNullSafe(gone["_gone_key"]) & (F.sha2(normalised(docs[text]), 256) == gone["_gone_text"])
     return docs.join(gone, same, "left_anti")
