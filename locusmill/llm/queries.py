@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locusmill.llm import byte_bpe, chat_format, decontaminate, exact_dedup, near_dedup, quality, repeat_spans, secret_scan, sharding, warc_zstd
+from locusmill.llm import byte_bpe, chat_format, decontaminate, exact_dedup, line_dedup, merkle, near_dedup, periodic_runs, quality, repeat_spans, secret_scan, sharding, warc_zstd
 from locusmill.llm.scratch import fresh_path
 
 
@@ -61,6 +61,18 @@ def op10_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
 
+def op11_bloom_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.summary(line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.summary(periodic_runs.find_runs(periodic_runs.looped(_table(spark, sf_dir, "documents"))))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.summary(merkle.manifest(_table(spark, sf_dir, "documents"), merkle.lower_cased_third()))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_minmax_near_dedup,
@@ -73,6 +85,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_quality_machine,
         op9_chat_format,
         op10_lookup_sharding,
+        op11_bloom_line_dedup,
+        op12_periodic_runs,
+        op13_merkle_manifest,
     )
     return {f.__name__: f for f in own}
 
