@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from locusmill.functions import projection
 from locusmill.functions.tokens import char_grams, run_hashes
 from locusmill.operators.spans import band_matches, offsets_of
 
@@ -76,6 +77,18 @@ def located(selectors: DataFrame, pages: DataFrame, most_broadcast: int = MOST_B
     return both.select("selector_id", "doc_id", (F.instr(F.col("text"), F.col("quote")) - 1).alias("first_at"), n.cast("int").alias("n_found"))
 
 
+def places(selectors: DataFrame, pages: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """selector_id, doc_id, at and length of every exact place; ``selectors`` and ``pages`` as for ``located``."""
+    both = _holding(selectors.select("selector_id", "text"), pages, most_broadcast)
+    return both.select("selector_id", "doc_id", F.explode(offsets_of(F.col("text"), F.col("quote"))).alias("at"), F.length("quote").alias("length"))
+
+
+def raw_places(found: DataFrame, projected: DataFrame) -> DataFrame:
+    """``places`` with start and stop in the raw text, which ``projected`` (doc_id, raw, projection) has beside its projection; and raw."""
+    ranges = found.join(projected, "doc_id").withColumn("_r", projection.back(F.col("projection.maps"), F.col("at"), F.col("at") + F.col("length")))
+    return ranges.select(*found.columns, "_r.start", "_r.stop", "raw")
+
+
 def verdicts(selectors: DataFrame, found: DataFrame) -> DataFrame:
     """selector_id, status, n_places and doc_id; only a unique place is named."""
     places = found.groupBy("selector_id").agg(F.sum("n_found").alias("n"), F.min("doc_id").alias("at"))

@@ -18,11 +18,33 @@ def _literal(phrase: Column) -> Column:
     return F.concat(F.lit("\\Q"), F.replace(phrase, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
 
-def sums_of(lengths: Column, skip: int = 0) -> Column:
-    """The sums of all entries before each entry, but for the first ``skip``."""
+def _few_sums(lengths: Column) -> Column:
+    """The sums before each entry of a short array; the array grows entry by entry."""
     start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.expr("cast(array() as array<bigint>)").alias("before"))
     step = lambda s, n: F.struct((s["sum"] + n).alias("sum"), F.concat(s["before"], F.array(s["sum"])).alias("before"))
-    return F.aggregate(lengths, start, step, lambda s: F.slice(s["before"], F.lit(skip + 1), F.size(s["before"])))
+    return F.aggregate(lengths, start, step, lambda s: s["before"])
+
+
+def sums_of(lengths: Column, skip: int = 0) -> Column:
+    """The sums of all entries before each entry, but for the first ``skip``; ``lengths`` are bigint.
+
+    Sums are taken in runs of the root of the array's size, so an array is copied as often as a run is long.
+    """
+    total = lambda run: F.aggregate(run, F.lit(0).cast("bigint"), lambda s, n: s + n)
+
+    def by_runs(entries: Column, long: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(entries), F.lit(1)), long)
+        runs = F.transform(starts, lambda i: F.slice(entries, i, long))
+        sums = lambda runs: F.zip_with(runs, _few_sums(F.transform(runs, total)), lambda run, base: F.transform(_few_sums(run), lambda x: x + base))
+        return F.flatten(once(runs, sums))
+
+    all_ = once(lengths, lambda entries: by_runs(entries, F.greatest(F.ceil(F.sqrt(F.size(entries))).cast("int"), F.lit(1))))
+    return once(all_, lambda sums: F.slice(sums, F.lit(skip + 1), F.size(sums))) if skip else all_
+
+
+def once(value: Column, use) -> Column:
+    """``use(value)``, with the value worked out once however often it is named; null for a null."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def offsets_of(text: Column, phrase: Column, overlapping: bool = False) -> Column:
@@ -62,18 +84,25 @@ def page_slices(rows: DataFrame, key: str, text: str, counts: str) -> DataFrame:
     return cut.select(key, "page", F.substring(F.col("_text"), (F.col("_p.at") + 1).cast("int"), length.cast("int")).alias("text"))
 
 
-def page_bounds(lines: DataFrame, key: str, index: str, text: str, gap: int = 1) -> DataFrame:
-    """``key``, ``index``, start and end of each page in its document; ``gap`` code points lie between pages."""
-    before = W.partitionBy(key).orderBy(index).rowsBetween(W.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length(text) + gap).over(before), F.lit(0)).cast("bigint")
-    return lines.select(key, index, start.alias("start"), (start + F.length(text)).alias("end"))
+#: Steps that find a place among fewer than 2^26 entries.
+_STEPS = [1 << i for i in range(25, -1, -1)]
+
+
+def count_up_to(entries: Column, x: Column, value=lambda e: e, strict: bool = False) -> Column:
+    """How many entries of a sorted array are at most ``x`` (``strict``: less), by bisection."""
+
+    def further(n: Column, step: Column) -> Column:
+        entry = value(F.get(entries, n + step - 1))
+        return F.when((entry < x) if strict else (entry <= x), n + step).otherwise(n)
+
+    return F.aggregate(F.filter(F.array(*map(F.lit, _STEPS)), lambda s: s <= F.size(entries)), F.lit(0), further)
 
 
 def pages_of(offsets: DataFrame, bounds: DataFrame, key: str, index: str) -> DataFrame:
-    """Offsets (``key``, offset) with the page that ends behind them first; null past the end."""
-    both = offsets.join(bounds, key, "left")
-    behind = F.min(F.when(F.col("offset") < F.col("end"), F.col(index)))
-    return both.groupBy(key, "offset").agg(behind.alias(index))
+    """Offsets (``key``, offset) with the page that ends behind them first; null past the end. Pages of a key are in order of ``index``."""
+    ends = bounds.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(index).alias("_i"), F.col("end").alias("_end")))).alias("_ends"))
+    page = F.get("_ends", count_up_to(F.col("_ends"), F.col("offset"), lambda e: e["_end"]))["_i"]
+    return offsets.select(key, "offset").distinct().join(ends, key, "left").select(key, "offset", page.alias(index))
 
 
 def token_starts(selectors: DataFrame, pages: DataFrame) -> DataFrame:
