@@ -38,26 +38,32 @@ def lookup_table(spark: SparkSession, shards: tuple[str, ...] = SHARDS, size: in
     if not shards or len(set(shards)) != len(shards):
         raise ValueError("shards must be named, each once")
     names = F.array(*map(F.lit, shards))
-    slots = F.sequence(F.lit(0), F.lit(size - 1))
-
-    def order(name: Column) -> Column:
-        start, step = _hash(name, "offset:") % size, _hash(name, "skip:") % (size - 1) + 1
-        return F.transform(slots, lambda j: ((start + j.cast("bigint") * step) % size).cast("int"))
-
-    one = spark.range(1).select(names.alias("names")).select("names", F.transform("names", order).alias("orders"))
-
-    def turn(state: Column, t: Column) -> Column:
-        taken = state["orders"][t % len(shards)][0]
-        return F.struct(
-            F.transform(state["orders"], lambda free: F.array_remove(free, taken)).alias("orders"),
-            F.concat(state["claims"], F.array(taken)).alias("claims"),
-        )
-
-    start = F.struct(F.col("orders").alias("orders"), F.expr("cast(array() as array<int>)").alias("claims"))
-    claims = one.select("names", F.aggregate(slots, start, turn, lambda s: s["claims"]).alias("claims"))
-    return claims.select("names", F.posexplode("claims").alias("turn", "slot")).select(
-        "slot", F.col("names")[F.col("turn") % len(shards)].alias("shard")
-    )
+    offsets = F.transform(names, lambda name: _hash(name, "offset:") % size)
+    skips = F.transform(names, lambda name: _hash(name, "skip:") % (size - 1) + 1)
+    one = spark.range(1).select(names.alias("names"), offsets.alias("offsets"), skips.alias("skips"))
+    n = len(shards)
+
+    def step(state: Column, _: Column) -> Column:
+        """The shard whose turn it is looks at the slot under its cursor: it claims a free one, or moves on."""
+        own = state["turn"] % n
+        slot = ((F.get("offsets", own) + state["at"] * F.get("skips", own)) % size).cast("int")
+        free = F.substring(state["taken"], slot + 1, F.lit(1)) == F.lit(b"\0")
+        moved = F.concat(F.slice(state["cursors"], F.lit(1), own), F.array(state["at"] + 1), F.slice(state["cursors"], own + 2, F.lit(n)))
+        claimed = F.struct(
+            (state["turn"] + 1).alias("turn"), F.get(moved, (state["turn"] + 1) % n).alias("at"), moved.alias("cursors"),
+            F.overlay(state["taken"], F.lit(b"\1"), slot + 1, F.lit(1)).alias("taken"), F.concat(state["claims"], F.array(slot)).alias("claims"),
+        )
+        passed = state.withField("at", state["at"] + 1)
+        return F.when(state["turn"] >= size, state).when(free, claimed).otherwise(passed)
+
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(
+        F.lit(0).alias("turn"), zero.alias("at"), F.array_repeat(zero, n).alias("cursors"),
+        F.unhex(F.repeat(F.lit("00"), F.lit(size))).alias("taken"), F.expr("cast(array() as array<int>)").alias("claims"),
+    )
+    # No cursor passes more than all slots; once all are claimed, a step does nothing.
+    claims = one.select("names", F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.lit(n * size).cast("bigint")), start, step, lambda s: s["claims"]).alias("claims"))
+    return claims.select("names", F.posexplode("claims").alias("turn", "slot")).select("slot", F.get("names", F.col("turn") % n).alias("shard"))
 
 
 def place(rows: DataFrame, key: str, shards: tuple[str, ...] = SHARDS, size: int = SIZE) -> DataFrame:
