@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusmill.llm.scratch import saved, text_mark
+from locusmill.operators.spans import count_up_to, sums_of
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: kind: pattern, group that holds the value, its least length (of the whole match for group 0).
@@ -43,25 +44,33 @@ def _found(text: str, pattern: str, group: int, least: int, kind: str, rank: int
 
 
 def _positions(name: str, least: int, kind: str, rank: int) -> Column:
-    """Spans from the lengths of pieces and matches, which alternate."""
-    rows = F.arrays_zip(F.col(f"_{name}_pieces").alias("piece"), F.col(f"_{name}_all").alias("all"), F.col(f"_{name}_value").alias("value"))
-
-    def step(state: Column, row: Column) -> Column:
-        start = state["at"] + F.length(row["piece"])
-        stop = start + F.coalesce(F.length(row["all"]), F.lit(0))
-        span = F.struct(
-            start.alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"),
+    """Spans from the lengths of pieces and matches, which alternate; in the order of the text, and disjoint."""
+    sized = lambda c: F.coalesce(F.length(c), F.lit(0)).cast("bigint")
+    before = sums_of(F.zip_with(f"_{name}_pieces", f"_{name}_all", lambda piece, match: sized(piece) + sized(match)))
+    rows = F.arrays_zip(F.col(f"_{name}_pieces").alias("piece"), F.col(f"_{name}_all").alias("all"), F.col(f"_{name}_value").alias("value"), before.alias("at"))
+
+    def span(row: Column) -> Column:
+        start = (row["at"] + F.length(row["piece"])).cast("int")
+        return F.struct(
+            start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(row["all"])).alias("stop"),
             F.lit(kind).alias("kind"), F.xxhash64(row["value"]).alias("hash"),
         )
-        fits = F.coalesce(F.length(row["value"]) >= least, F.lit(False))
-        if kind == "owned":
-            fits &= F.regexp_like(row["value"], F.lit("[0-9]")) & F.regexp_like(row["value"], F.lit("[A-Za-z]"))
-        return F.struct(stop.alias("at"), F.when(fits, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
 
-    empty = F.expr(f"cast(array() as {_SPANS})")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    spans = F.aggregate(rows, start, step, lambda s: s["out"])
-    return F.when(F.size(f"_{name}_all") > 0, spans).otherwise(empty)
+    def fits(row: Column) -> Column:
+        long = F.coalesce(F.length(row["value"]) >= least, F.lit(False))
+        return long & F.regexp_like(row["value"], F.lit("[0-9]")) & F.regexp_like(row["value"], F.lit("[A-Za-z]")) if kind == "owned" else long
+
+    return F.when(F.size(f"_{name}_all") > 0, F.transform(F.filter(rows, fits), span)).otherwise(F.expr(f"cast(array() as {_SPANS})"))
+
+
+def _apart_from(spans: str):
+    """Whether a span overlaps none of ``spans``, which are sorted and disjoint: the last that starts before its stop is found by bisection."""
+
+    def apart(s: Column) -> Column:
+        n = count_up_to(F.col(spans), s["stop"], lambda e: e["start"], strict=True)
+        return F.coalesce(F.get(F.col(spans), n - 1)["stop"] <= s["start"], F.lit(True))
+
+    return apart
 
 
 def _listed(spans: str | Column) -> Column:
@@ -87,8 +96,10 @@ def candidate_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", ow
     spans = {kind: _positions(kind, least, kind, rank) for rank, (kind, (_, _, least)) in enumerate(kinds.items())}
     rows = rows.select("_row", "_key", "_owner", "_mark", *(c.alias(f"_{k}") for k, c in spans.items()))
     base = F.array_sort(F.concat(*(F.col(f"_{k}") for k in BASE_KINDS)))
-    clear = lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-    return rows.withColumn("base", base).select("_row", "_key", "_owner", "_mark", "base", F.filter("_owned", clear).alias("loose"))
+    clear = F.col("_owned")
+    for kind in BASE_KINDS:
+        clear = F.when(F.size(f"_{kind}") > 0, F.filter(clear, _apart_from(f"_{kind}"))).otherwise(clear)
+    return rows.select("_row", "_key", "_owner", "_mark", base.alias("base"), clear.alias("loose"))
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
