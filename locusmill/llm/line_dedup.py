@@ -51,8 +51,10 @@ _TO_LOWER = str.maketrans(UPPER, LOWER)
 def long_keys(text: str, least: int = LEAST_CHARS) -> Column:
     """The distinct keys of a text's lines that have at least ``least`` code points."""
     lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x: F.length(x) >= least)
-    keys = F.transform(lines, lambda x: F.translate(F.btrim(x, F.lit(SPACE)), UPPER, LOWER))
-    return F.array_distinct(F.filter(keys, lambda x: F.length(x) >= least))
+    # Trimming by a set of characters reads all of a line, so lines without white space at an end pass by it.
+    loose = lambda x: F.left(x, F.lit(1)).isin(*SPACE) | F.right(x, F.lit(1)).isin(*SPACE)
+    trimmed = F.transform(lines, lambda x: F.when(loose(x), F.btrim(x, F.lit(SPACE))).otherwise(x))
+    return F.array_distinct(F.transform(F.filter(trimmed, lambda x: F.length(x) >= least), lambda x: F.translate(x, UPPER, LOWER)))
 
 
 def _places(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -136,7 +138,9 @@ def bits_for(keys: int) -> int:
 def repeated_keys(docs: DataFrame, scratch: Scratch, least_chars: int, least_docs: int, bits: int | None) -> DataFrame:
     """_key, _mark and _digest: the digests of the keys that each row of ``docs`` (_key, _mark, _text) loses."""
     keys = long_keys("_text", least_chars)
-    bits = bits or bits_for(docs.agg(F.coalesce(F.sum(F.size(keys)), F.lit(0))).first()[0])
+    if bits is None:
+        long_lines = F.size(F.filter(F.split("_text", "\n", -1), lambda x: F.length(x) >= least_chars))
+        bits = bits_for(docs.agg(F.coalesce(F.sum(long_lines), F.lit(0))).first()[0])
     each = docs.select("_key", "_mark", F.explode(keys).alias("_line")).withColumn("_hash", F.xxhash64("_line"))
     known = scratch.saved(filters(each.select("_hash"), bits), "line-filter")
     suspects = maybe_in(each, "_hash", known, "twice", bits).where("_maybe")
