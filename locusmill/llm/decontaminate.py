@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from locusmill.llm.bloom import drop_rows
 from locusmill.llm.scratch import saved, text_mark
 
 WINDOW = 10
@@ -190,5 +191,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", te
     """The documents without those that hold a window of the benchmark; columns stay as they are."""
     base = docs.select(_row(key, text).alias("_row"), F.col(key).alias("_key"), words(text).alias("_words"))
     _, found = _found(base, items, "item_id", "text", WINDOW, GRAM, MOST_BROADCAST)
-    hit = saved(found.select(F.col("_row").alias("_hit_row")).distinct(), "bench-found")
-    return docs.join(hit, _row(key, text) == hit["_hit_row"], "left_anti")
+    hit = saved(found.select(F.col("_row").alias("_mark")).distinct(), "bench-found")
+    return drop_rows(docs, {"_mark": _row(key, text)}, hit)

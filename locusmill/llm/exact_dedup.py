@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from locusmill.llm.bloom import drop_rows
 from locusmill.llm.scratch import in_arrow, saved
 
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -93,8 +94,5 @@ def drop_exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
     Rows with the same key and different texts are judged apart.
     """
-    gone = duplicate_groups(docs, key, text).where("not kept").select(F.col(key).alias("_gone_key"), F.col("text_sha256").alias("_gone_text"))
-    # What goes is less than what stays, but grows with the table: it meets the texts by a sorted join at every size.
-    gone = saved(gone.distinct(), "exact-gone").hint("merge")
-    same = docs[key].eqNullSafe(gone["_gone_key"]) & (F.sha2(normalised(docs[text]), 256) == gone["_gone_text"])
-    return docs.join(gone, same, "left_anti")
+    gone = duplicate_groups(docs, key, text).where("not kept").select(F.col(key).alias("_key"), F.col("text_sha256").alias("_text")).distinct()
+    return drop_rows(docs, {"_key": docs[key], "_text": F.sha2(normalised(docs[text]), 256)}, saved(gone, "exact-gone"))

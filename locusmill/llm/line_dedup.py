@@ -13,7 +13,7 @@ the confirmed ones (the ``FREQUENT`` most frequent by broadcast, so that no dige
 task). A once-seen filter of the documents that lose lines then keeps all other documents, with
 their texts, out of the last shuffle.
 
-The filters have eight bits for each key, counted beforehand, up to ``MOST_BITS`` (128 MB), which
+The filters have eight bits for each key, counted beforehand, up to ``bloom.MOST_BITS`` (128 MB), which
 bounds the broadcast. Beyond some 10^8 keys more lines are suspected in vain and shuffled as
 digests; the result stays the same.
 
@@ -28,21 +28,16 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from locusmill.llm.bloom import bits_for, filters, maybe_among, maybe_in
 from locusmill.llm.scratch import Scratch, in_arrow, saved, text_mark
 
 LEAST_CHARS = 40
 LEAST_DOCS = 5
-BLOCK_BITS = 1 << 15
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30
-BITS_PER_KEY = 8
 FREQUENT = 1000
-#: Places that a task holds before it folds them into pieces.
-HELD = 1 << 22
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TO_LOWER = str.maketrans(UPPER, LOWER)
@@ -57,84 +52,6 @@ def long_keys(text: str, least: int = LEAST_CHARS) -> Column:
     return F.array_distinct(F.transform(F.filter(trimmed, lambda x: F.length(x) >= least), lambda x: F.translate(x, UPPER, LOWER)))
 
 
-def _places(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Two places for each hash, in the block that its high bits name."""
-    h = hashes.view(np.uint64)
-    block = (h >> np.uint64(34)) % np.uint64(bits // BLOCK_BITS) * np.uint64(BLOCK_BITS)
-    low = np.uint64(BLOCK_BITS - 1)
-    return np.concatenate([block + (h & low), block + ((h >> np.uint64(15)) & low)])
-
-
-def _block_and_bits(h: str, bits: int) -> tuple[Column, list[Column]]:
-    block = F.shiftrightunsigned(h, 34) % F.lit(bits // BLOCK_BITS)
-    return block, [F.col(h).bitwiseAND(BLOCK_BITS - 1), F.shiftrightunsigned(h, 15).bitwiseAND(BLOCK_BITS - 1)]
-
-
-PIECES = pa.schema([("block", pa.int64()), ("once", pa.binary()), ("twice", pa.binary())])
-
-
-def _pieces(places: np.ndarray) -> pa.RecordBatch:
-    """One row for each block that holds a place: its places, and those met more than once."""
-    found, counts = np.unique(places, return_counts=True)
-    block, inner = found // BLOCK_BITS, (found % BLOCK_BITS).astype("<u2")
-    starts = np.flatnonzero(np.diff(block, prepend=np.uint64(2**63)))
-    ends = [*starts[1:], len(found)]
-    again = counts > 1
-    once = [inner[a:b].tobytes() for a, b in zip(starts, ends)]
-    twice = [inner[a:b][again[a:b]].tobytes() for a, b in zip(starts, ends)]
-    return pa.RecordBatch.from_arrays([pa.array(block[starts].astype(np.int64)), pa.array(once, pa.binary()), pa.array(twice, pa.binary())], schema=PIECES)
-
-
-def filters(hashes: DataFrame, bits: int, held: int = HELD) -> DataFrame:
-    """block, once and twice (arrays of 64-bit words) of the filter of a one-column table of 64-bit hashes."""
-
-    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[np.ndarray] = []
-        size = 0
-        for batch in batches:
-            waiting.append(_places(batch.column(0).to_numpy(zero_copy_only=False), bits))
-            size += len(waiting[-1])
-            if size >= held:
-                yield _pieces(np.concatenate(waiting))
-                waiting, size = [], 0
-        if size:
-            yield _pieces(np.concatenate(waiting))
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            for block, once, twice in zip(*(column.to_pylist() for column in batch.columns)):
-                if block not in known:
-                    known[block] = np.zeros(BLOCK_BITS, bool), np.zeros(BLOCK_BITS, bool)
-                seen, again = known[block]
-                new = np.frombuffer(once, "<u2")
-                again[new[seen[new]]] = True
-                again[np.frombuffer(twice, "<u2")] = True
-                seen[new] = True
-        blocks = sorted(known)
-        for at in range(0, len(blocks), 64):
-            some = blocks[at : at + 64]
-            words = [[np.packbits(known[b][i], bitorder="little").view("<i8").tolist() for b in some] for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *(pa.array(w, pa.list_(pa.int64())) for w in words)], ["block", "once", "twice"])
-
-    pieces = in_arrow(hashes, reduce, "block bigint, once binary, twice binary")
-    return in_arrow(pieces.repartition("block"), fold, "block bigint, once array<bigint>, twice array<bigint>")
-
-
-def maybe_in(df: DataFrame, h: str, known: DataFrame, words: str, bits: int, how: str = "inner") -> DataFrame:
-    """``df`` with a column _maybe: whether the hash ``h`` may be in the broadcast filter. At most ``bits`` / 8 bytes are broadcast."""
-    block, places = _block_and_bits(h, bits)
-    blocks = known.select(F.col("block").alias("_block"), F.col(words).alias("_words"))
-    joined = df.withColumn("_at", block).join(F.broadcast(blocks), F.col("_at") == F.col("_block"), how)
-    held = [F.getbit(F.element_at("_words", (F.shiftright(p, 6) + 1).cast("int")), p.bitwiseAND(63).cast("int")) == 1 for p in places]
-    return joined.withColumn("_maybe", F.coalesce(held[0] & held[1], F.lit(False))).drop("_at", "_block", "_words")
-
-
-def bits_for(keys: int) -> int:
-    """A power of two with room for so many keys."""
-    return min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_KEY * keys).bit_length()))
-
-
 def repeated_keys(docs: DataFrame, scratch: Scratch, least_chars: int, least_docs: int, bits: int | None) -> DataFrame:
     """_key, _mark and _digest: the digests of the keys that each row of ``docs`` (_key, _mark, _text) loses."""
     keys = long_keys("_text", least_chars)
@@ -179,10 +96,7 @@ def drop_repeated_lines(
     with Scratch(spark) as scratch:
         gone = repeated_keys(rows, scratch, least_chars, least_docs, bits)
         gone = saved(gone.groupBy("_key", "_mark").agg(F.collect_set("_digest").alias("_gone")), "line-gone")
-    losers = gone.select(F.xxhash64("_key", "_mark").alias("_row"))
-    row_bits = bits_for(losers.count())
-    known = saved(filters(losers, row_bits), "line-losers")
-    rows = maybe_in(rows.withColumn("_row", F.xxhash64("_key", "_mark")), "_row", known, "once", row_bits, "left")
+    rows = maybe_among(rows, ["_key", "_mark"], gone)
     whole = rows.where(~F.col("_maybe")).select("_key", F.size(F.split("_text", "\n", -1)).cast("bigint").alias("n_lines"), F.lit(0).cast("bigint").alias("n_dropped"), F.col("_text").alias("kept"))
     theirs = gone.withColumnsRenamed({"_key": "_gone_key", "_mark": "_gone_mark"})
     cut = rows.where("_maybe").join(theirs, F.col("_key").eqNullSafe(F.col("_gone_key")) & (F.col("_mark") == F.col("_gone_mark")), "left")

@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from locusmill.llm.bloom import drop_rows
 from locusmill.llm.components import components
 from locusmill.llm.scratch import Scratch, in_arrow, saved, text_mark, worker_memo
 
@@ -290,7 +291,6 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     first = each.join(named, "set").where(F.col("_key").eqNullSafe(F.col("component_id")))
     first = first.groupBy("root").agg(F.min(F.struct("_key", "mark")).alias("kept")).select("kept._key", "kept.mark")
     kept = first.union(each.where("set is null").select("_key", "mark")).distinct().toDF("_kept_key", "_kept_mark")
-    # What goes is less than what stays, and mostly few enough to leave the texts where they are.
     same = each["_key"].eqNullSafe(kept["_kept_key"]) & (each["mark"] == kept["_kept_mark"])
-    gone = saved(each.join(kept, same, "left_anti").select(F.col("_key").alias("_gone_key"), F.col("mark").alias("_gone_mark")).distinct(), "near-gone")
-    return docs.join(gone, docs[key].eqNullSafe(gone["_gone_key"]) & (text_mark(text) == gone["_gone_mark"]), "left_anti")
+    gone = saved(each.join(kept, same, "left_anti").select("_key", F.col("mark").alias("_mark")).distinct(), "near-gone")
+    return drop_rows(docs, {"_key": docs[key], "_mark": text_mark(text)}, gone)

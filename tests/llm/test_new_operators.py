@@ -11,7 +11,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from locusmill.llm import line_dedup, merkle, periodic_runs
+from locusmill.llm import bloom, line_dedup, merkle, periodic_runs
 from locusmill.llm.queries import op12_periodic_runs
 
 
@@ -65,9 +65,9 @@ def test_filters_hold_what_was_met_once_and_twice(spark):
     once, twice = [rng.randrange(-(2**63), 2**63) for _ in range(3000)], [rng.randrange(-(2**63), 2**63) for _ in range(500)]
     met = spark.createDataFrame([(h,) for h in once + twice * 2], "h bigint").repartition(6)
     bits = 1 << 20
-    known = line_dedup.filters(met, bits, held=100).cache()
+    known = bloom.filters(met, bits, held=100).cache()
     probes = spark.createDataFrame([(h, i) for i, part in enumerate((once, twice, [rng.randrange(-(2**63), 2**63) for _ in range(3000)])) for h in part], "h bigint, part int")
-    counts = {(w, r.part): r.n for w in ("once", "twice") for r in line_dedup.maybe_in(probes, "h", known, w, bits, "left").where("_maybe").groupBy("part").agg(F.count("*").alias("n")).collect()}
+    counts = {(w, r.part): r.n for w in ("once", "twice") for r in bloom.maybe_in(probes, "h", known, w, bits, "left").where("_maybe").groupBy("part").agg(F.count("*").alias("n")).collect()}
     assert counts["once", 0] == 3000 and counts["once", 1] == counts["twice", 1] == 500
     assert counts.get(("twice", 0), 0) < 60 and counts.get(("once", 2), 0) < 60
 
@@ -224,3 +224,15 @@ def test_new_operators_on_an_empty_table(spark, nothing):
     assert line_dedup.summary(line_dedup.drop_repeated_lines(nothing)).count() == 0
     assert periodic_runs.summary(periodic_runs.find_runs(periodic_runs.looped(nothing))).count() == 0
     assert merkle.summary(merkle.manifest(nothing)).count() == 0
+
+
+def test_rows_that_go_by_their_marks(spark):
+    rows = [(None if i % 7 == 0 else i % 40, f"t{i % 60}", i) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, _row int").repartition(5)
+    gone = [(None, "t7"), (3, "t3"), (5, "t5"), (99, "t1"), (12, "t52")]
+    left = bloom.drop_rows(docs, {"_key": docs["doc_id"], "_mark": docs["text"]}, spark.createDataFrame(gone, "_key int, _mark string"))
+    assert left.columns == docs.columns
+    assert sorted(map(tuple, left.collect()), key=repr) == sorted((r for r in rows if r[:2] not in gone), key=repr)
+    # Most rows need no shuffle: the filter is sure of them.
+    flagged = bloom.maybe_among(docs.withColumnsRenamed({"doc_id": "_key", "text": "_mark"}), ["_key", "_mark"], spark.createDataFrame(gone, "_key int, _mark string"))
+    assert flagged.where("_maybe").count() == sum(r[:2] in gone for r in rows)
