@@ -6,8 +6,9 @@ bytes since then spell this node of the token trie". Reading a byte moves every
 tokens that end there, exactly one may follow its thread's last token (two tokens may be
 neighbours if merging their joined bytes gives them back), and it starts a new thread. The set of
 live threads, without positions, is a state; states and their moves are made when first met and
-kept. Tokens that every live thread shares are emitted at once, so the lookahead is bounded by
-the longest token. Cuts already met are taken from a bounded memo first.
+kept, as numbers. Every ``LOOK_BACK`` bytes the tokens that the traces of all live threads share are emitted; traces
+from threads of one state, which began within the longest token, meet again soon, so that bounds the
+lookahead, whatever the length of a cut. Cuts already met are taken from a bounded memo first.
 
 Decoding joins token bytes and hands out text as soon as characters are whole, through an
 incremental UTF-8 state machine that carries at most three bytes from one piece to the next.
@@ -24,6 +25,7 @@ import gc
 import re
 import sys
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from functools import cache
@@ -39,12 +41,14 @@ from locusmill.llm.scratch import in_arrow, worker_memo
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bounds of what a worker remembers; beyond them it forgets everything and starts over.
-MEMO_CUTS = 200_000
-MEMO_MOVES = 300_000
+MEMO_CUTS = 150_000
+MEMO_MOVES = 200_000
 MEMO_PAIRS = 30_000
 NODE_BITS = 24
 NODE = (1 << NODE_BITS) - 1
-#: Fewer bytes than this are traced at once.
+TOKEN_BITS = 24
+TOKEN = (1 << TOKEN_BITS) - 1
+#: After so many bytes what is certain is emitted; a shorter cut is traced at once.
 LOOK_BACK = 256
 #: Tokens that the decoding stream is fed at once.
 DECODED = 1000
@@ -92,15 +96,17 @@ class BytePairTransducer:
         self._children: dict[int, int] = {}
         self._lengths = [0] * len(self.names)
         self._token: list[int] = [-1]
+        self._depths = array("H", [0])
         for name, token in ranks.items():
             self.names[token], self._lengths[token] = name, len(name)
             node = 0
-            for byte in name:
+            for depth, byte in enumerate(name, 1):
                 move = node << 8 | byte
                 node = self._children.get(move, 0)
                 if not node:
                     node = self._children[move] = len(self._token)
                     self._token.append(-1)
+                    self._depths.append(depth)
             self._token[node] = token
         # A thread ends at a node from which no longer token can be spelt; the last bit says which do not.
         inner = {move >> 8 for move in self._children}
@@ -164,25 +170,26 @@ class BytePairTransducer:
                 right_used, right = right, self._split(right)[0]
 
     def _forget_states(self) -> None:
-        """Starts over. States point at each other, so only the garbage collector can free them."""
-        for state in getattr(self, "_states", {}).values():
-            state.clear()
-        self._states: dict[tuple, dict] = {}
-        self._moves = 0
-        self._start = self._state((0,))
-
-    def _state(self, threads: tuple) -> dict:
-        """A state maps bytes to (next state, token that ends there); under -1 it has its threads."""
+        """Starts over, with the state of the start as 0."""
+        self._states: dict[bytes, int] = {}
+        #: Threads of each state, eight bytes each.
+        self._threads: list[bytes] = []
+        #: By state and byte: the next state, and the token that ends there, plus one.
+        self._moves: dict[int, int] = {}
+        self._state(bytes(8))
+
+    def _state(self, threads: bytes) -> int:
         found = self._states.get(threads)
         if found is None:
-            found = self._states[threads] = {-1: threads}
+            found = self._states[threads] = len(self._threads)
+            self._threads.append(threads)
         return found
 
-    def _move(self, state: dict, byte: int) -> tuple[dict, int]:
+    def _move(self, state: int, byte: int) -> int:
         """Makes the move of a state at a byte, and remembers it."""
-        threads, ended = [], -1
+        threads, ended = array("Q"), -1
         child_of, token_at = self._children.get, self._token
-        for thread in state[-1]:
+        for thread in memoryview(self._threads[state]).cast("Q"):
             child = child_of((thread & NODE) << 8 | byte)
             if child is not None:
                 if child & 1:
@@ -192,29 +199,42 @@ class BytePairTransducer:
                     if token >= 0 and self.follows((thread >> NODE_BITS) - 1, token):
                         ended = token
         threads.append(ended + 1 << NODE_BITS)
-        move = state[byte] = self._state(tuple(threads)), ended
-        self._moves += 1
+        move = self._moves[state << 8 | byte] = self._state(threads.tobytes()) << TOKEN_BITS | ended + 1
         return move
 
     def stream(self, data: Iterable[int]) -> Iterator[int]:
         """Tokens of the bytes, each as soon as no byte to come can change it."""
-        state, ends = self._start, []
+        state, ends, look = 0, [], LOOK_BACK
         for byte in data:
-            move = state.get(byte) or self._move(state, byte)
-            state = move[0]
-            ends.append(move[1])
-            if len(ends) >= LOOK_BACK and len(state[-1]) == 1:
-                yield from self._between(ends)
-                ends = []
+            move = self._moves.get(state << 8 | byte) or self._move(state, byte)
+            state = move >> TOKEN_BITS
+            ends.append((move & TOKEN) - 1)
+            if len(ends) >= look:
+                threads = self._threads[state]
+                certain = self._shared(ends, threads)
+                yield from self._between(ends[:certain])
+                del ends[:certain]
+                look = len(ends) + LOOK_BACK
+                if len(self._moves) >= MEMO_MOVES:
+                    self._forget_states()
+                    state = self._state(threads)
         yield from self._between(ends)
 
+    def _shared(self, ends: list[int], threads: bytes) -> int:
+        """The last place that the traces of all threads have in common: from the places where they began, the furthest goes back token by token."""
+        places = {len(ends) - self._depths[thread & NODE] for thread in memoryview(threads).cast("Q")}
+        while len(places) > 1:
+            places.remove(last := max(places))
+            places.add(last - self._lengths[ends[last - 1]])
+        return places.pop()
+
     def _at_once(self, data: bytes) -> list[int]:
         """``stream`` for a short cut."""
-        state, ends = self._start, []
+        state, ends, known = 0, [], self._moves.get
         for byte in data:
-            move = state.get(byte) or self._move(state, byte)
-            state = move[0]
-            ends.append(move[1])
+            move = known(state << 8 | byte) or self._move(state, byte)
+            state = move >> TOKEN_BITS
+            ends.append((move & TOKEN) - 1)
         return self._between(ends)
 
     def _between(self, ends: list[int]) -> list[int]:
@@ -234,7 +254,7 @@ class BytePairTransducer:
             if data in self.ranks:
                 known = [self.ranks[data]]
             else:
-                if self._moves >= MEMO_MOVES:
+                if len(self._moves) >= MEMO_MOVES:
                     self._forget_states()
                 known = self._at_once(data) if len(data) <= LOOK_BACK else list(self.stream(data))
             if len(self._cuts) >= MEMO_CUTS:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable
+from contextlib import suppress
 from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame
@@ -27,6 +29,9 @@ def worker_memo(name: object, make: Callable[[], Memo]) -> Memo:
     if name not in _memo:
         _memo.clear()
         gc.collect()
+        # What was freed goes back to the system, where the C library can do that.
+        with suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
         _memo[name] = make()
     return _memo[name]  # type: ignore[return-value]
 

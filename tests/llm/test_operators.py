@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import struct
 from collections import Counter, defaultdict
@@ -269,3 +270,39 @@ def test_pipeline_stages(spark, sf_dir):
     assert len(names) == 5 and len(set(names)) == 5
     quality_kept = corpus_pipeline.STAGES[0][1](spark, docs, sf_dir).count()
     assert corpus_pipeline.run(spark, sf_dir).count() <= quality_kept <= docs.count()
+
+
+@pytest.mark.parametrize("unit", [b"a", b" ", b"ab", b"-", b"0", b"xq", "é".encode(), b"the cat ", b"\x00", b"=-"])
+def test_tokens_come_after_bounded_lookahead(encoding, unit):
+    """No token of a cut of 100,000 bytes comes more than 2,000 bytes after its own last byte; states stay bounded; ids are the library's."""
+    import public_tokenizers
+
+    transducer = byte_bpe.BytePairTransducer(byte_bpe.ranks_of(public_tokenizers.path(byte_bpe.VOCABULARY)))
+    data, read = (unit * 100_000)[:100_000], 0
+
+    def bytes_read():
+        nonlocal read
+        for byte in data:
+            read += 1
+            yield byte
+
+    upto, ids, most = 0, [], 0
+    for token in transducer.stream(bytes_read()):
+        ids.append(token)
+        upto += len(transducer.names[token])
+        most = max(most, read - upto)
+    assert b"".join(transducer.names[t] for t in ids) == data and most < 2_000
+    assert ids[:50] == transducer.merge(data[:1000])[:50]
+
+
+def test_states_are_bounded_in_one_long_cut(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(byte_bpe, "MEMO_MOVES", 2_000)
+    transducer = byte_bpe.BytePairTransducer(byte_bpe.ranks_of(public_tokenizers.path(byte_bpe.VOCABULARY)))
+    data = bytes(random.Random(1).choices(range(97, 123), k=60_000))
+    ids, most = [], 0
+    for token in transducer.stream(data):
+        ids.append(token)
+        most = max(most, len(transducer._moves))
+    assert b"".join(transducer.names[t] for t in ids) == data and most < 2_000 + 2 * byte_bpe.LOOK_BACK
