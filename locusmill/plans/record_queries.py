@@ -9,7 +9,6 @@ from locusmill.functions import text as T
 from locusmill.operators import locate, records
 from locusmill.plans.locate_queries import _FOUND, _sides
 from locusmill.plans.registry import query, table
-from locusmill.streaming import tickets
 from locusmill.streaming.snapshots import run_to_end
 
 
@@ -201,14 +200,3 @@ def stream_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-03 as state: the first row of a key passes, later ones don't; the state holds keys alone."""
     first = lambda s: s.dropDuplicates(["user_id", "event_type"]).select("user_id", "event_type")
     return run_to_end(spark, f"{sf_dir}/events*.parquet", first, mode="append")
-
-
-@query("""
-SELECT p.event_id, p.user_id, arg_max(s.event_id, (s.ts, s.event_id)) AS ticket FROM events p
-LEFT JOIN events s ON s.event_type = 'signup' AND s.user_id = p.user_id AND (s.ts, s.event_id) < (p.ts, p.event_id) AND s.ts > p.ts - INTERVAL 1 DAY
-WHERE p.event_type = 'purchase' GROUP BY p.event_id, p.user_id
-""")
-def stream_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-11, JN-29: purchases redeem the newest signup of their user that is less than a day old."""
-    plan = lambda s: tickets.redeemed(s.withColumnRenamed("event_type", "kind"), "user_id", "signup", "purchase", 86_400, 50)
-    return run_to_end(spark, f"{sf_dir}/events*.parquet", plan, mode="append")

@@ -9,16 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from locusmill.sources.tables import fresh_path
 
 
-def run_to_end(spark: SparkSession, source: str, plan: Callable[[DataFrame], DataFrame], mode: str = "complete") -> DataFrame:
-    """The output of a stream over the Parquet files of ``source``.
+def run_to_end(spark: SparkSession, source: str, plan: Callable[[DataFrame], DataFrame], mode: str = "complete", files: int | None = None) -> DataFrame:
+    """The output of a stream over the Parquet files of ``source``, at most ``files`` of them in a micro-batch.
 
     State and output live in the folder that the cluster shares. In ``complete`` mode each batch
     replaces the table; in ``append`` and ``update`` mode each batch has a folder of its own, so a
     batch that is run again after a loss replaces its own rows alone.
     """
     base = fresh_path(spark, "stream")
-    schema = spark.read.parquet(source).schema
-    stream = plan(spark.readStream.schema(schema).parquet(source))
+    reader = spark.readStream.schema(spark.read.parquet(source).schema)
+    stream = plan((reader if files is None else reader.option("maxFilesPerTrigger", files)).parquet(source))
 
     def write(batch: DataFrame, number: int) -> None:
         folder = f"{base}/table" if mode == "complete" else f"{base}/table/batch={number}"
@@ -28,3 +28,11 @@ def run_to_end(spark: SparkSession, source: str, plan: Callable[[DataFrame], Dat
     started.awaitTermination()
     found = spark.read.schema(stream.schema).parquet(f"{base}/table")
     return found.select(*stream.columns)
+
+
+def feed(spark: SparkSession, parts: list[DataFrame]) -> str:
+    """A folder with one Parquet file for each part, in the order in which a stream over it takes them."""
+    path = fresh_path(spark, "feed")
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(path)
+    return path

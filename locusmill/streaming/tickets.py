@@ -2,47 +2,47 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
+from locusmill.streaming.in_order import in_order
 
-def redeemed(events: DataFrame, key: str, issues: str, redeems: str, ttl_seconds: int, capacity: int, late: str = "0 seconds") -> DataFrame:
-    """event_id, ``key`` and ticket of each event of kind ``redeems``: the newest live ticket of its key, or null.
+
+@dataclass
+class Tickets:
+    """The live tickets of a key, oldest first; times are microseconds."""
+
+    issues: str
+    redeems: str
+    ttl: int
+    capacity: int
+    state = StructType([StructField("issued", ArrayType(LongType())), StructField("tickets", ArrayType(LongType()))])
+
+    def take(self, held, at, event, kind):
+        pairs = list(zip(*held, strict=True)) if held else []
+        if kind == self.redeems:
+            return held, [(event, pairs[-1][1] if pairs else None)]
+        if kind != self.issues:
+            return held, []
+        pairs = [*pairs, (at, event)][-self.capacity :]
+        return ([t for t, _ in pairs], [e for _, e in pairs]), []
+
+    def due(self, held):
+        return held[0][0] + self.ttl
+
+    def lapse(self, held):
+        issued, tickets = held[0][1:], held[1][1:]
+        return ((issued, tickets) if issued else None), []
+
+
+def redeemed(events: DataFrame, key: str, issues: str, redeems: str, ttl_seconds: int, capacity: int, delay: str) -> DataFrame:
+    """``key``, event_id and ticket of each event of kind ``redeems``: the newest live ticket of its key, or null.
 
     ``events`` is a stream of event_id, ``key``, ts and kind. An event of kind ``issues`` is a
     ticket; it lives for ``ttl_seconds``, and of a key at most ``capacity`` are held, the oldest go
-    first. Nothing else is held: the state of a key is dropped once the watermark has passed its
-    newest ticket. Events of a micro-batch are taken in the order of their times, ties by event_id.
+    first. A key whose tickets are all dead holds nothing.
     """
-    kinds = events.select(F.col(key).alias("_key"), "event_id", F.col("ts").cast("timestamp").alias("ts"), "kind").where(F.col("kind").isin(issues, redeems))
-    ttl = ttl_seconds * 1_000_000
-
-    def step(group: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = list(zip(*state.get, strict=True)) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        found = []
-        for event, moment, kind in zip(rows["event_id"].tolist(), rows["ts"].astype("int64").tolist(), rows["kind"].tolist(), strict=True):
-            moment //= 1000
-            held = [(at, ticket) for at, ticket in held if at > moment - ttl]
-            if kind == issues:
-                held = [*held, (moment, event)][-capacity:]
-            else:
-                found.append((event, group[0], held[-1][1] if held else None))
-        if held:
-            state.update(([at for at, _ in held], [ticket for _, ticket in held]))
-            state.setTimeoutTimestamp(max(held[-1][0] + ttl, (state.getCurrentWatermarkMs() + 1) * 1000) // 1000 + 1)
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(found, columns=["event_id", key, "ticket"]).astype({"ticket": "Int64"})
-
-    kind = kinds.schema["_key"].dataType.simpleString()
-    return kinds.withWatermark("ts", late).groupBy("_key").applyInPandasWithState(
-        step, f"event_id bigint, {key} {kind}, ticket bigint", "issued array<bigint>, tickets array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    answer = StructType([StructField("event_id", LongType()), StructField("ticket", LongType())])
+    return in_order(events, key, Tickets(issues, redeems, ttl_seconds * 1_000_000, capacity), answer, delay)
