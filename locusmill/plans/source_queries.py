@@ -6,25 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusmill.operators import issues
-from locusmill.plans.fixture_queries import _values
 from locusmill.plans.registry import query, table
 from locusmill.sources import html
 
-_PAGE = """<html><head><title>x</title></head><body><header><p>menu</p></header><h2>First &amp; part</h2><div><p id="a">One <i>small</i>
-text<a href="#ref-3">[3]</a>.</p><div id="b">flat <b>box</b></div></div><ul><li>item<br>two</li></ul><script>var p = "<p>no</p>"</script>
-<h3>Second</h3><p>unclosed<p id="c">last <a href="/x">link</a> <sup><a role="doc-noteref" href="#n">4</a></sup><button>press</button></p><footer><div>end</div></footer></body>"""
-_BLOCKS = [
-    (0, "h2", None, "First & part", None), (1, "p", "a", "One small text.", "First & part"), (2, "div", "b", "flat box", "First & part"), (3, "li", None, "item two", "First & part"),
-    (4, "h3", None, "Second", None), (5, "p", None, "unclosed", "Second"), (6, "p", "c", "last link", "Second"),
-]
-
-
-@query(_values(_BLOCKS, "place, tag, id, text, heading"))
-def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-06, SRC-10, FLT-02, FLT-08, FLT-21 on a page that has every case."""
-    return spark.createDataFrame([(_PAGE,), (None,), ("",)], "html string").select(F.inline(html.text_blocks("html")))
-
-
 @query(r"""
 SELECT page_id, replace(replace(replace(trim(regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS heading, CAST(len(regexp_extract_all(html, '<h1>')) AS INTEGER) AS n FROM pages WHERE contains(html, '<h1>')
 """)

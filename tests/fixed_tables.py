@@ -1,7 +1,4 @@
-"""Queries over small fixed tables, for operators that need scientific text or laid-out pages, which the driver's tables don't hold.
-
-Their SQL lists the expected rows.
-"""
+"""Small fixed tables of scientific text, laid-out pages and translated fragments, with the rows that operators give for them, as SQL."""
 
 from __future__ import annotations
 
@@ -9,10 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusmill.functions import segment as S
-from locusmill.functions import text as T
 from locusmill.operators import alignment, geometry
-from locusmill.plans.registry import query, table
-from locusmill.plans.text_queries import _READABLE
+from locusmill.sources import html
+
+#: Function and the SQL of its rows.
+FIXED = {}
+
+
+def query(sql):
+    def register(function):
+        FIXED[function.__name__] = function, sql
+        return function
+
+    return register
+
 
 WORDS = "doc_id string, page_index int, page_w double, page_h double, line_index int, word_index int, text string, x0 double, y0 double, x1 double, y1 double, space_after boolean"
 SELECTORS = "selector_id string, doc_id string, exact string, prefix string, suffix string, heading string"
@@ -57,23 +64,14 @@ def _values(rows: list[tuple], names: str) -> str:
 
 
 @query(_values([(n, i, s) for n, said in SENTENCE_CASES.items() for i, s in enumerate(said)], "name, ordinal, sentence"))
-def sentence_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sentence_cases(spark: SparkSession) -> DataFrame:
     """ARR-05 to ARR-08 on abbreviations, references and numbers."""
     cases = spark.createDataFrame([(n, " ".join(said)) for n, said in SENTENCE_CASES.items()], "name string, raw string")
     return cases.select("name", F.posexplode(S.sentence_spans("raw")).alias("ordinal", "s")).select("name", "ordinal", F.col("s.text").alias("sentence"))
 
 
-@query(f"SELECT doc_id, {_READABLE} AS joined, true AS whole FROM documents")
-def segmented_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sentences of every document, joined again: nothing is lost, and each is where it says."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.readable("text").alias("t"))
-    docs = docs.select("doc_id", "t", S.english_sentences("t").alias("s"))
-    whole = F.forall("s", lambda x: F.substring(F.col("t"), x["start"] + 1, x["stop"] - x["start"]) == x["text"])
-    return docs.select("doc_id", F.array_join(F.transform("s", lambda x: x["text"]), "").alias("joined"), whole.alias("whole"))
-
-
 @query(_values([("The end.", True), ("The end (of it).\"", True), ("The end", False), ("It rose.12", True), ("It rose. [3, 4]", True), ("It was 1.25", False), ("see E14.5.13", True), ("step B.6", False), ("Really? 3", True), ("", False)], "text, ends"))
-def sentence_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sentence_ends(spark: SparkSession) -> DataFrame:
     """FLT-09, FLT-10."""
     texts = ["The end.", "The end (of it).\"", "The end", "It rose.12", "It rose. [3, 4]", "It was 1.25", "see E14.5.13", "step B.6", "Really? 3", ""]
     return spark.createDataFrame([(t,) for t in texts], "text string").select("text", S.ends_sentence("text").alias("ends"))
@@ -135,19 +133,19 @@ _EXPECTED = _values([(c[0], c[6], c[7], c[8], c[9], c[10], c[11]) for c in CASES
 
 
 @query(f"SELECT selector_id, status, CAST(n_places AS BIGINT) AS n_places, CAST(page_index AS INTEGER) AS page_index, CAST(next_page AS INTEGER) AS next_page, CAST(score AS DOUBLE) AS score, method FROM ({_EXPECTED})")
-def geometry_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
+def geometry_locate(spark: SparkSession) -> DataFrame:
     """JN-08 to JN-13: verdicts over laid-out pages, with changes that must not match."""
     return geometry.geometry_verdicts(_selectors(spark), page_words(spark))
 
 
 @query(_values([("one", 0, False), ("one", 1, False), ("one", 2, True), ("one", 3, False), ("two", 0, False), ("two", 1, False), ("two", 2, False)], "doc_id, page_index, labels_only"))
-def figure_page_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+def figure_page_flag(spark: SparkSession) -> DataFrame:
     """FLT-07."""
     return geometry.label_pages(page_words(spark))
 
 
 @query(_values([("two", 0, "left starts a of strength −5 [3–5] crosses the one ends for")], "doc_id, page_index, every_second_word"))
-def column_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+def column_order(spark: SparkSession) -> DataFrame:
     """WIN-03: the reading order of a page of two columns, every second word of it."""
     pages = geometry.pages_of(page_words(spark)).where("order = 'column' and doc_id = 'two' and page_index = 0")
     second = F.filter(F.transform("words", lambda w, i: F.when(i % 2 == 0, w["text"])), lambda t: t.isNotNull())
@@ -155,7 +153,7 @@ def column_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_values([(0, 0, 1, 50.0, 690.0, 360.0, 700.0), (0, 1, 1, 50.0, 670.0, 350.0, 680.0)], "page_index, line_index, segment, x0, y0, x1, y1").replace("SELECT *", "SELECT CAST(page_index AS INTEGER) AS page_index, CAST(line_index AS INTEGER) AS line_index, CAST(segment AS BIGINT) AS segment, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1"))
-def quote_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def quote_rectangles(spark: SparkSession) -> DataFrame:
     """WIN-02, AGG-06: the rectangles around a quote's words."""
     words = page_words(spark)
     held = geometry.distinct_places(geometry.page_candidates(_selectors(spark).where("selector_id = 'exact'"), words))
@@ -184,7 +182,7 @@ def _aligned(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 
 
 @query(_values([("p", "grouped", True, 3), ("q", "noncontiguous-key", True, 4), ("r", "source-order", True, 3), ("s", "unmarked-content", True, 3), ("t", "foreign-owner", False, 2), ("u", "unknown-key", True, 1), ("v", "unmarked-content", True, 1)], "paragraph_id, reason, complete, groups").replace("SELECT *", 'SELECT paragraph_id, reason, complete, CAST("groups" AS BIGINT) AS "groups"').replace("complete, groups)", 'complete, "groups")'))
-def alignment_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+def alignment_groups(spark: SparkSession) -> DataFrame:
     """JN-19, WIN-10, AGG-15: whether a paragraph's fragments fall into one group for each sentence, and why not."""
     return alignment.paragraph_verdicts(*_aligned(spark))
 
@@ -200,7 +198,22 @@ _REASONS = [
 
 
 @query(_values(_REASONS, "selection_id, reason, source, evidence"))
-def alignment_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+def alignment_reasons(spark: SparkSession) -> DataFrame:
     """ALN-03, JN-20, JN-21, WIN-12: the source text of selections in a translation, or the reason why there is none."""
     selections = spark.createDataFrame(_SELECTIONS, "selection_id string, paragraph_id string, start int, stop int")
     return alignment.captured(selections, *_aligned(spark))
+
+
+_PAGE = """<html><head><title>x</title></head><body><header><p>menu</p></header><h2>First &amp; part</h2><div><p id="a">One <i>small</i>
+text<a href="#ref-3">[3]</a>.</p><div id="b">flat <b>box</b></div></div><ul><li>item<br>two</li></ul><script>var p = "<p>no</p>"</script>
+<h3>Second</h3><p>unclosed<p id="c">last <a href="/x">link</a> <sup><a role="doc-noteref" href="#n">4</a></sup><button>press</button></p><footer><div>end</div></footer></body>"""
+_BLOCKS = [
+    (0, "h2", None, "First & part", None), (1, "p", "a", "One small text.", "First & part"), (2, "div", "b", "flat box", "First & part"), (3, "li", None, "item two", "First & part"),
+    (4, "h3", None, "Second", None), (5, "p", None, "unclosed", "Second"), (6, "p", "c", "last link", "Second"),
+]
+
+
+@query(_values(_BLOCKS, "place, tag, id, text, heading"))
+def html_blocks(spark: SparkSession) -> DataFrame:
+    """SRC-06, SRC-10, FLT-02, FLT-08, FLT-21 on a page that has every case."""
+    return spark.createDataFrame([(_PAGE,), (None,), ("",)], "html string").select(F.inline(html.text_blocks("html")))
