@@ -3,7 +3,7 @@
 
 Selectors and pages meet through an equi-join on a key that every page with the quote must hold:
 up to ``GRAM`` inner words of the quote, the last character before and the first character behind
-them. A quote of two words has no inner word and is keyed by the characters around its space, one
+them; of all such runs of a quote the one that fewest pages hold. A quote of two words has no inner word and is keyed by the characters around its space, one
 of a single word by its first characters. No quote is held against every page, and each text is
 cut into words once.
 
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from locusmill.functions import projection
 from locusmill.functions.tokens import char_grams, run_hashes
 from locusmill.operators.spans import band_matches, offsets_of
+from locusmill.sources.tables import saved
 
 GRAM = 3
 #: Keys that may be broadcast; beyond them the join is left to shuffle.
@@ -41,24 +42,33 @@ def _keys(words: Column, text: Column, kind: str) -> Column:
 
 
 def candidates(selectors: DataFrame, pages: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """selector_id, doc_id of pages that may hold a selector: those with its key."""
+    """selector_id, doc_id of pages that may hold a selector: those with the rarest of its keys.
+
+    One pass over the pages makes the keys of all kinds in use and keeps those that a selector has.
+    """
     words = F.split("text", " ", -1)
     n = F.size(words)
     # Spaces at an end of a quote have no word beside them; such a quote is keyed by its characters, too.
     kind = F.when((n > 1) & ~F.regexp_like("text", F.lit(r"^ | \z")), F.concat(F.lit("w"), F.least(n - 2, F.lit(GRAM)))).otherwise(F.concat(F.lit("c"), F.least(F.length("text"), F.lit(3))))
     asked = selectors.where(F.length("text") > 0).select("selector_id", "text", words.alias("_words"), kind.alias("kind"))
-    cut = pages.select("doc_id", "text", words.alias("_words"))
-    found = None
-    for (name,) in sorted(asked.select("kind").distinct().collect()):  # seven kinds at most
-        keys = asked.where(F.col("kind") == name).select("selector_id", _keys(F.col("_words"), F.col("text"), name)[0].alias("key"))
-        few = keys.limit(most_broadcast + 1).count() <= most_broadcast
-        # An outer explode: from a plain one a filter on the array's size is inferred and the array made twice.
-        made = cut.select("doc_id", F.explode_outer(F.array_distinct(_keys(F.col("_words"), F.col("text"), name))).alias("key"))
-        met = made.join(F.broadcast(keys) if few else keys, "key").select("selector_id", "doc_id")
-        found = met if found is None else found.union(met)
-    if found is None:
+    used = sorted(name for (name,) in asked.select("kind").distinct().collect())  # seven kinds at most
+    if not used:
         return selectors.select("selector_id", F.lit(None).cast(pages.schema["doc_id"].dataType).alias("doc_id")).where("false")
-    return found.distinct()
+
+    def keyed(name: str) -> Column:
+        return F.transform(_keys(F.col("_words"), F.col("text"), name), lambda k: F.xxhash64(F.lit(name), k))
+
+    own = F.coalesce(*(F.when(F.col("kind") == name, keyed(name)) for name in used))
+    keys = saved(asked.select("selector_id", F.explode(F.array_distinct(own)).alias("key")), "locate-keys")
+    wanted = keys.select("key").distinct()
+    few = wanted.limit(most_broadcast + 1).count() <= most_broadcast
+    # An outer explode: from a plain one a filter on the array's size is inferred and the array made twice.
+    made = pages.select("doc_id", "text", words.alias("_words")).select("doc_id", F.explode_outer(F.array_distinct(F.concat(*map(keyed, used)))).alias("key"))
+    met = saved(made.join(F.broadcast(wanted) if few else wanted, "key", "left_semi"), "locate-met")
+    # A page with the quote holds all of its keys, so one that no page has says that none holds the quote.
+    counted = keys.join(met.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key", "left")
+    rarest = counted.groupBy("selector_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("_k"))
+    return rarest.select("selector_id", F.col("_k.key").alias("key")).join(met, "key").select("selector_id", "doc_id").distinct()
 
 
 def _holding(selectors: DataFrame, pages: DataFrame, most_broadcast: int) -> DataFrame:

@@ -165,8 +165,11 @@ def quote_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUOTED = f"""
 b AS (SELECT item_id, list_slice(regexp_extract_all(lower(text), '[a-z]+'), 1, 15) AS q FROM benchmark),
 c AS (SELECT item_id, q, doc_id, w FROM (SELECT * FROM b WHERE len(q) = 15) b JOIN v ON contains(' ' || array_to_string(w, ' ') || ' ', ' ' || array_to_string(q, ' ') || ' ')),
-o AS (SELECT item_id, doc_id, q, w, unnest(range(0, len(w) - 14)) AS i FROM c), m AS (SELECT item_id, doc_id, i FROM o WHERE w[i + 1 : i + 15] = q),
-s AS (SELECT item_id, doc_id, count(*) FILTER (i // {A_PAGE} = (i + 14) // {A_PAGE}) AS n, min(i // {A_PAGE}) FILTER (i // {A_PAGE} = (i + 14) // {A_PAGE}) AS page FROM m GROUP BY ALL),
+o AS (SELECT item_id, doc_id, q, w, unnest(range(0, len(w) - 14)) AS i FROM c), m AS (SELECT item_id, doc_id, i // {A_PAGE} AS page, i % {A_PAGE} // {A_LINE} AS top, (i + 14) % {A_PAGE} // {A_LINE} AS bottom, least({A_PAGE}, len(w) - i // {A_PAGE} * {A_PAGE}) AS size
+  FROM o WHERE w[i + 1 : i + 15] = q AND i // {A_PAGE} = (i + 14) // {A_PAGE}),
+-- Where lines of the other column lie between in the order given, only compact text in the order of columns holds the quote.
+s AS (SELECT c.item_id, c.doc_id, count(page) AS n, min(page) AS page, bool_and(c.doc_id % 2 = 0 OR (bottom < 15 AND size <= (top + 15) * {A_LINE})) AS plain
+  FROM c LEFT JOIN m ON m.item_id = c.item_id AND m.doc_id = c.doc_id GROUP BY ALL),
 k AS (SELECT *, unnest(['exact', 'joined', 'foreign']) AS kind FROM s)
 """
 
@@ -175,7 +178,7 @@ k AS (SELECT *, unnest(['exact', 'joined', 'foreign']) AS kind FROM s)
 WITH {_PLACED}, {_QUOTED}
 SELECT item_id || ':' || doc_id || ':' || kind AS selector_id, CASE WHEN kind = 'foreign' OR n = 0 THEN 'not-found' WHEN n = 1 THEN 'unique' ELSE 'ambiguous' END AS status,
   CASE WHEN kind = 'foreign' THEN 0 ELSE n END AS n_places, CAST(CASE WHEN kind <> 'foreign' AND n = 1 THEN page END AS INTEGER) AS page_index, CAST(NULL AS INTEGER) AS next_page,
-  CASE WHEN kind <> 'foreign' AND n = 1 THEN CASE kind WHEN 'exact' THEN 1.0 ELSE 0.97 END END AS score, CASE WHEN kind <> 'foreign' AND n = 1 THEN CASE kind WHEN 'exact' THEN 'exact-tokens' ELSE 'compact-text' END END AS method
+  CASE WHEN kind <> 'foreign' AND n = 1 THEN CASE WHEN kind = 'exact' AND plain THEN 1.0 ELSE 0.97 END END AS score, CASE WHEN kind <> 'foreign' AND n = 1 THEN CASE WHEN kind = 'exact' AND plain THEN 'exact-tokens' ELSE 'compact-text' END END AS method
 FROM k
 """)
 def geometry_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
