@@ -21,6 +21,8 @@ DOI = r"(?i)10\.\d{4,9}/[-._;()/:A-Z0-9]+"
 NUMERIC_CITATION = r"\[\s*\d+(?:\s*[,–−-]\s*\d+)*\s*\]"
 FIGURE = r"(?i)(?:fig(?:ure)?s?\.?|图)\s*([sS]?\d+[a-z]?(?:\s*[-–—]\s*(?:[sS]?\d+)?[a-z])?)"
 DEFAULT_COLOUR = "#ffd400"
+#: A run of reference numbers behind a word.
+CITED_RUN = re.compile(r"(?<=[a-z)])\s*(\d{1,3}(?:\s*[,–-]\s*\d{1,3})+)(?!\d|\.\d)(?=[,.;:]|\s*[a-z])")
 SECRET_NAME = r"(?i)token|password|credential|authorization|cookie|api.?key|pairing"
 
 #: British spellings and the American ones that count as equal.
@@ -128,8 +130,6 @@ def american(column: str | Column) -> Column:
     return F.when(F.regexp_like(text, F.lit(word)), changed).otherwise(text)
 
 
-CITED_RUN = re.compile(r"(?<=[a-z)])\s*(\d{1,3}(?:\s*[,–-]\s*\d{1,3})+)(?!\d|\.\d)(?=[,.;:]|\s*[a-z])")
-
 
 def expand_run(run: str) -> str | None:
     """``3,54–56`` as ``3,54,55,56``; None where a range has spaces inside, runs backwards or over 20."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from locusmill.functions.text import normal_prose, same_dashes
 
 WORD = r"[\p{L}\p{N}]+"
+# Scientific tokens, clause cuts and Chinese sentences (ARR-02, ARR-09, ARR-10).
 SCIENCE = r"[\p{L}][\p{L}\p{N}]*|[+-]?(?:\d+(?:\.\d+)?|\.\d+)(?:e[+-]?\d+)?|[<>=≤≥≠±]"
 CLAUSE_CUT = r"(?i)[,;]\s+(?=(?:which|where|whereas|however|these|this|they|it|although|while|but|and)\b)"
 CJK_SENTENCE = r"[^。！？]+[。！？][”’」』）)\]]*"

@@ -1,4 +1,4 @@
-"""Translated fragments and the source sentences they stand for (JN-17 to JN-21, WIN-08, WIN-10, WIN-12, AGG-04, AGG-11, AGG-15, ALN-02, ALN-03, ALN-11).
+"""Translated fragments and the source sentences they stand for (JN-17, JN-19 to JN-21, WIN-10, WIN-12, AGG-04, AGG-15, ALN-02, ALN-03).
 
 ``sentences`` has paragraph_id, url, sentence_key, ordinal, start, stop and text: a paragraph of the
 source. ``fragments`` has paragraph_id, url, frag_idx, sentence_key, text and is_reference: its

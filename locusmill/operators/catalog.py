@@ -1,4 +1,4 @@
-"""Items, notes and requests against a catalogue (JN-14, JN-16, JN-26, JN-29, JN-30, FLT-17 to FLT-20, SNK-03, SNK-04, SET-03, SET-04, SRT-05, AGG-15, AGG-16).
+"""Items, notes and requests against a catalogue (JN-14, JN-26, JN-29, FLT-17 to FLT-20, SNK-03, SNK-04, SET-03, SET-04, SRT-05, AGG-15, AGG-16).
 
 Every tier is an equi-join; titles meet through the keys of ``locate``. Defined cases: null fields
 count as empty and match nothing; a request that nothing fits is kept, with no item; requests that

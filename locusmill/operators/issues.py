@@ -1,4 +1,4 @@
-"""The store of reported issues: what is kept of a report, exports and imports (ARR-11, ARR-12, SRC-13, SRC-14, SNK-05, SET-07, FLT-15).
+"""The store of reported issues: what is kept of a report, exports and imports (ARR-11, ARR-12, SRC-13, SRC-14, SNK-05, SET-07).
 
 Defined cases: texts that are no JSON object give null; an envelope of another format or with too
 many records gives none; an issue that is known already is left out; equal incoming ones count once.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from locusmill.functions import segment as S
 from locusmill.functions import text as T
-from locusmill.operators import alignment, geometry
+from locusmill.operators import alignment, geometry, sampling
 from locusmill.operators.spans import sums_of
 from locusmill.plans.registry import query, table
 from locusmill.plans.text_queries import _READABLE
@@ -64,14 +64,16 @@ def _word_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select((F.col("doc_id") * 100000 + F.col("n")).alias("row_id"), (F.col("doc_id") + F.col("n")).alias("kind"), words.alias("w")).where("size(w) >= 3")
 
 
+_SAID = f"s AS (SELECT row_id, CASE kind % {len(SENTENCES)} {' '.join(f'WHEN {i} THEN [' + ', '.join(map(_filled_sql, said)) + ']' for i, said in enumerate(SENTENCES))} END AS s FROM x)"
+
+
 @query(f"""
-WITH {_LINES}, s AS (SELECT row_id, CASE kind % {len(SENTENCES)} {" ".join(f"WHEN {i} THEN [{', '.join(map(_filled_sql, said))}]" for i, said in enumerate(SENTENCES))} END AS s FROM x)
+WITH {_LINES}, {_SAID}
 SELECT row_id, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS ordinal, unnest(s) AS sentence FROM s
 """)
 def sentence_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ARR-05 to ARR-08 on abbreviations, references and numbers among the words of every line."""
-    said = F.array(*(F.array(*map(_filled, s)) for s in SENTENCES))
-    rows = _word_lines(spark, sf_dir).select("row_id", F.array_join(F.get(said, (F.col("kind") % len(SENTENCES)).cast("int")), " ").alias("raw"))
+    rows = _said(spark, sf_dir)
     return rows.select("row_id", F.posexplode(S.sentence_spans("raw")).alias("ordinal", "s")).select("row_id", "ordinal", F.col("s.text").alias("sentence"))
 
 
@@ -84,6 +86,51 @@ def sentence_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _word_lines(spark, sf_dir).select("row_id", S.ends_sentence(form).alias("ends"))
 
 
+_SAID_PLACES = f"""
+{_SAID}, e AS (SELECT row_id, len(s) AS n, unnest(s) AS text, generate_subscripts(s, 1) AS ordinal FROM s),
+b AS (SELECT *, sum(length(text) + 1) OVER (PARTITION BY row_id ORDER BY ordinal) AS stop FROM e)
+"""
+
+
+def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.array(*(F.array(*map(_filled, s)) for s in SENTENCES))
+    return _word_lines(spark, sf_dir).select("row_id", F.array_join(F.get(said, (F.col("kind") % len(SENTENCES)).cast("int")), " ").alias("raw"))
+
+
+@query(f"""
+WITH {_LINES}, {_SAID_PLACES}
+SELECT row_id AS paragraph_id, 'https://x.org/' || row_id AS url, left(sha256('https://x.org/' || row_id || '|' || row_id || '|' || ordinal), 16) AS sentence_key, CAST(ordinal AS INTEGER) AS ordinal,
+  CAST(stop - length(text) - 1 AS INTEGER) AS "start", CAST(stop - CASE WHEN ordinal = n THEN 1 ELSE 0 END AS INTEGER) AS stop, text FROM b
+""")
+def keyed_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ALN-02: the sentences of paragraphs under keys of address, paragraph and ordinal."""
+    rows = _said(spark, sf_dir).select(F.col("row_id").alias("paragraph_id"), F.concat(F.lit("https://x.org/"), F.col("row_id").cast("string")).alias("url"), S.sentence_spans("raw").alias("spans"))
+    return alignment.sentence_keys(rows, F.col("spans"))
+
+
+@query(f"""
+WITH {_LINES}, {_SAID_PLACES}
+SELECT row_id, CAST(ordinal AS INTEGER) AS ordinal, CAST(stop - length(text) - 1 AS INTEGER) AS "start", CAST(stop - CASE WHEN ordinal = n THEN 1 ELSE 0 END AS INTEGER) AS stop FROM b WHERE n <= 2
+""")
+def sentence_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ARR-08: ordinal and place of each sentence, of paragraphs with no more than two."""
+    rows = _said(spark, sf_dir).select("row_id", S.sentence_spans("raw").alias("spans"))
+    return rows.select("row_id", F.explode(S.descriptors(F.col("spans"), most=2)).alias("d")).select("row_id", "d.*")
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS b FROM documents WHERE text IS NOT NULL),
+k AS (SELECT doc_id, list_transform(b, lambda x: regexp_replace(lower(x), '[^\p{L}\p{N}]', '', 'g')) AS b, doc_id % len(b) AS own FROM d),
+h AS (SELECT doc_id, b[own + 1] AS key, list_filter(range(0, len(b)), lambda i: contains(b[i + 1], b[own + 1])) AS hits FROM k)
+SELECT doc_id, CAST(CASE WHEN key <> '' AND len(hits) = 1 THEN hits[1] END AS INTEGER) AS place FROM h
+""")
+def block_of_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-25: one line of each document among all of its lines, compared by letters and digits; named where only one holds it."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.split("text", "\n", -1).alias("b"))
+    own = F.get("b", (F.col("doc_id") % F.size("b")).cast("int"))
+    return docs.select("doc_id", sampling.ground_truth(own, F.col("b")).cast("int").alias("place"))
+
+
 #: Pages of plain words: eight to a line, thirty lines to a page, in documents of odd id in two columns of fifteen lines.
 A_LINE, A_PAGE = 8, 240
 WIDTH, HEIGHT = 600.0, 800.0

@@ -1,4 +1,4 @@
-"""Text blocks, headings and metadata of HTML pages (SRC-06, SRC-07, SRC-09, SRC-10, SRC-17, FLT-02, FLT-08, FLT-21).
+"""Text blocks, headings and metadata of HTML pages (SRC-06, SRC-09, SRC-10, SRC-17, FLT-02, FLT-08, FLT-21).
 
 A block is the text of an element that holds text and no other block. What lies in navigation,
 headers, footers, scripts, buttons and the like is left out, and links to references are left out
