@@ -1,7 +1,7 @@
 """Keyed record operators: roll-ups, upserts, compare-and-set, anti-joins, runs and retries.
 
 Cross-references: AGG-03, AGG-04, JN-15, JN-17, JN-23, SET-06, SET-07, SNK-01, SNK-02, FLT-16,
-SRT-09, SRT-10, STR-06, STR-10, STR-11, STR-15, STR-18, STR-19, WIN-10. Every order has a tie-break,
+FLT-15, SRT-09, SRT-10, STR-06, STR-10, STR-11, STR-15, STR-18, STR-19, WIN-10. Every order has a tie-break,
 so results don't depend on how rows are dealt.
 """
 
@@ -109,3 +109,15 @@ def vote(rows: DataFrame, key: str, choice: str, weight: Column, share: float =
 def covers_all(rows: DataFrame, key: str, value: str, wanted: list[str]) -> DataFrame:
     """Keys that have every wanted value."""
     return rows.where(F.col(value).isin(wanted)).groupBy(key).agg(F.count_distinct(value).alias("_n")).where(F.col("_n") == len(wanted)).select(key)
+
+
+def archived(entries: DataFrame, group: str, reason: str, legacy: str, order: list[str], most: int) -> DataFrame:
+    """``entries`` with fate: those whose reason holds ``legacy`` leave the outbox, and the last ``most`` of each group are kept in its archive (FLT-15).
+
+    fate is waiting, archived or forgotten; a null reason counts as empty. Only rows that leave are ranked.
+    """
+    leaves = F.contains(F.coalesce(reason, F.lit("")), F.lit(legacy))
+    gone = entries.where(leaves)
+    place = F.row_number().over(W.partitionBy(group).orderBy(*(F.desc(c) for c in order)))
+    fate = F.when(place <= most, "archived").otherwise("forgotten")
+    return entries.where(~leaves).withColumn("fate", F.lit("waiting")).unionByName(gone.withColumn("fate", fate))

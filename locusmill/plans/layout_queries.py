@@ -13,7 +13,7 @@ from locusmill.operators import alignment, geometry, sampling
 from locusmill.operators.spans import sums_of
 from locusmill.plans.registry import query, table
 from locusmill.plans.text_queries import _READABLE
-from locusmill.sources import html
+from locusmill.sources import html, recognised
 
 
 @query(f"SELECT doc_id, {_READABLE} AS joined, true AS whole FROM documents")
@@ -329,3 +329,32 @@ def alignment_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ALN-03, JN-20, JN-21, WIN-12: the source text of selections in a translation, or the reason why there is none, for each document."""
     fragments, sources, chosen = _aligned(spark, sf_dir)
     return alignment.captured(chosen, fragments, sources)
+
+
+# Pages as a recogniser writes them; of their words some have no width or a number for a text, and every fifth line is none.
+_RECOGNISED = f"""
+{_PLACED}, r AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id, page_index ORDER BY line_index) - 1 AS n FROM q),
+f AS (SELECT doc_id, page_index, n, word_index, word, word_index % 3 > 0 AS space FROM r WHERE word_index % 11 <> 3 AND word_index % 7 <> 5 AND n % 5 <> 4),
+o AS (SELECT *, row_number() OVER w - 1 AS k, coalesce(sum(length(word) + CAST(space AS INTEGER)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_ FROM f
+  WINDOW w AS (PARTITION BY doc_id, page_index ORDER BY word_index))
+"""
+
+
+@query(f"""
+WITH {_RECOGNISED}
+SELECT doc_id, page_index, count(*) AS n_words, md5(string_agg(concat_ws(':', n, k, word, CAST(at_ AS BIGINT), CAST(space AS INTEGER)), ',' ORDER BY k)) AS words_md5 FROM o GROUP BY doc_id, page_index
+""")
+def recognised_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-04, FLT-05: words with their offsets from the raw JSON of every page, malformed ones left out."""
+    words = _page_words(_plain_words(spark, sf_dir))
+    i = F.col("word_index")
+    right = F.when(i % 11 == 3, F.col("x0")).otherwise(F.col("x1"))
+    said = F.when(i % 7 == 5, F.lit("12")).otherwise(F.to_json(F.array("text")).substr(F.lit(2), F.length(F.to_json(F.array("text"))) - 2))
+    raw = F.format_string("[%s,%s,%s,%s,0,%s,0,0,0,0,0,0,0,%s]", F.col("x0"), F.col("y0"), right, F.col("y1"), F.when(i % 3 > 0, 1).otherwise(0), said)
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda s: s["t"]), ",")
+    lines = words.groupBy("doc_id", "page_index", "line_index").agg(joined(F.struct("word_index", raw.alias("t"))).alias("t"))
+    held = lines.groupBy("doc_id", "page_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_index", "t"))), lambda s, n: F.when(n % 5 == 4, "7").otherwise(F.concat(F.lit("[["), s["t"], F.lit("]]")))).alias("lines"))
+    pages = held.select("doc_id", "page_index", F.concat(F.lit("[600,800,[[[[0,0,0,0,["), F.array_join("lines", ","), F.lit("]]]]]]")).alias("page"))
+    row = F.struct("word_index", F.concat_ws(":", "line_index", "word_index", "text", "char_offset", F.col("space_after").cast("int")).alias("t"))
+    found = recognised.page_words(pages).groupBy("doc_id", "page_index").agg(F.count(F.lit(1)).alias("n_words"), F.md5(joined(row)).alias("words_md5"))
+    return found

@@ -200,3 +200,12 @@ def stream_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-03 as state: the first row of a key passes, later ones don't; the state holds keys alone."""
     first = lambda s: s.dropDuplicates(["user_id", "event_type"]).select("user_id", "event_type")
     return run_to_end(spark, f"{sf_dir}/events*.parquet", first, mode="append")
+
+
+@query("""
+WITH m AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY user_id, contains(event_type, 'rr') ORDER BY ts DESC, event_id DESC) AS place FROM events)
+SELECT event_id, CASE WHEN NOT contains(event_type, 'rr') THEN 'waiting' WHEN place <= 5 THEN 'archived' ELSE 'forgotten' END AS fate FROM m
+""")
+def outbox_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-15: errors leave a user's outbox for an archive of the last five."""
+    return records.archived(table(spark, sf_dir, "events"), "user_id", "event_type", "rr", ["ts", "event_id"], 5).select("event_id", "fate")
