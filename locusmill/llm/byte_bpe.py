@@ -41,8 +41,8 @@ from locusmill.llm.scratch import in_arrow, worker_memo
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bounds of what a worker remembers; beyond them it forgets everything and starts over.
-MEMO_CUTS = 150_000
-MEMO_MOVES = 200_000
+MEMO_CUTS = 200_000
+MEMO_MOVES = 350_000
 MEMO_PAIRS = 30_000
 NODE_BITS = 24
 NODE = (1 << NODE_BITS) - 1
@@ -114,6 +114,7 @@ class BytePairTransducer:
         self._splits: list[tuple[int, int] | tuple[()] | None] = [()] * len(self.names)
         self._pairs: dict[int, bool] = {}
         self._cuts: dict[str, list[int]] = {}
+        self._old_cuts: dict[str, list[int]] = {}
         self._forget_states()
 
     def merge(self, data: bytes, stop: int = 1) -> list[int]:
@@ -247,20 +248,26 @@ class BytePairTransducer:
         return tokens
 
     def encode_cut(self, cut: str) -> list[int]:
-        """Tokens of one cut; a cut that is itself a token is that token."""
+        """Tokens of one cut; a cut that is itself a token is that token.
+
+        The memo has two generations: when the younger is full it becomes the older, and what is asked for again moves on.
+        """
         known = self._cuts.get(cut)
+        if known is not None:
+            return known
+        known = self._old_cuts.get(cut)
+        data = cut.encode() if known is None else b""
         if known is None:
-            data = cut.encode()
             if data in self.ranks:
                 known = [self.ranks[data]]
             else:
                 if len(self._moves) >= MEMO_MOVES:
                     self._forget_states()
                 known = self._at_once(data) if len(data) <= LOOK_BACK else list(self.stream(data))
-            if len(self._cuts) >= MEMO_CUTS:
-                self._cuts.clear()
-            if len(data) <= 64:
-                self._cuts[cut] = known
+        if len(data) <= 64:
+            if len(self._cuts) >= MEMO_CUTS // 2:
+                self._old_cuts, self._cuts = self._cuts, {}
+            self._cuts[cut] = known
         return known
 
 
