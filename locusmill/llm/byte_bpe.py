@@ -42,7 +42,7 @@ from locusmill.llm.scratch import in_arrow, worker_memo
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bounds of what a worker remembers; beyond them it forgets everything and starts over.
 MEMO_CUTS = 200_000
-MEMO_MOVES = 350_000
+MEMO_MOVES = 500_000
 MEMO_PAIRS = 30_000
 NODE_BITS = 24
 NODE = (1 << NODE_BITS) - 1
