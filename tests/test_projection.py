@@ -19,7 +19,7 @@ BITS = ["a", "B", "c-\n d", "x- \n\ny", "-\n", "  ", "\n", "\t ", " ", "﻿", "
 @pytest.fixture(scope="module")
 def awkward(spark):
     rng = random.Random(3)
-    texts = [None, "", " ", "  a"] + ["".join(rng.choice(BITS) for _ in range(rng.randrange(1, 25))) for _ in range(150)]
+    texts = [None, "", " ", "  a"] + ["".join(rng.choice(BITS) for _ in range(rng.randrange(1, 25))) for _ in range(60)]
     return spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(3)
 
 
