@@ -29,21 +29,34 @@ def resolved(requests: DataFrame, items: DataFrame) -> DataFrame:
     fold = lambda df, key, *more: df.select(key, F.lower(clean_doi("doi")).alias("doi"), F.lower(F.trim(text_of("title"))).alias("title"), *more)
     asked = fold(requests, "request_id").withColumn("title", F.substring("title", 1, TITLE))
     held = fold(items, "item_id", F.unix_micros(F.col("added").cast("timestamp")).alias("added"))
-    mine, theirs = asked.where("doi <> ''"), held.where("doi <> ''").withColumnRenamed("doi", "its_doi")
-    same = mine.join(theirs, F.col("doi") == F.col("its_doi")).select("request_id", "item_id", "added", F.lit(1).alias("tier"))
-    tails = mine.where(F.length("doi") >= TAIL).withColumn("_tail", F.right("doi", F.lit(TAIL))).join(theirs.withColumn("_tail", F.right("its_doi", F.lit(TAIL))), "_tail")
-    tails = tails.where(F.endswith("its_doi", F.col("doi")) | F.endswith("doi", F.col("its_doi"))).select("request_id", "item_id", "added", F.lit(2).alias("tier"))
-    named = candidates(asked.where("title <> ''").select(F.col("request_id").alias("selector_id"), F.col("title").alias("text")), held.select(F.col("item_id").alias("doc_id"), F.col("title").alias("text")))
-    named = named.toDF("request_id", "item_id").join(asked.select("request_id", F.col("title").alias("its")), "request_id").join(held.select("item_id", "title", "added"), "item_id")
-    named = named.where(F.contains("title", "its")).select("request_id", "item_id", "added", F.lit(3).alias("tier"))
-    found = same.union(tails).union(named)
-    first = found.groupBy("request_id", "tier").agg(F.count(F.lit(1)).alias("candidates"), F.max(F.struct("added", -F.col("item_id"))).alias("newest"))
-    first = first.groupBy("request_id").agg(F.min(F.struct("tier", "candidates", "newest")).alias("best"))
+    # Equal DOIs and equal titles stand as one row with their number and their newest item, so that no request meets items one by one.
+    newest = F.max(F.struct("added", (-F.col("item_id")).alias("item"))).alias("newest")
+    dois, titles = (held.where(f"{c} <> ''").groupBy(c).agg(F.count(F.lit(1)).alias("n"), newest) for c in ("doi", "title"))
+    mine = asked.where(F.length("doi") >= TAIL).select("doi").distinct()
+    theirs = dois.where(F.length("doi") >= TAIL).withColumnRenamed("doi", "its_doi")
+    cut_mine = _ends(theirs, "its_doi", mine, "doi").join(mine.withColumnRenamed("doi", "_end"), "_end").withColumnRenamed("_end", "doi")
+    cut_its = _ends(mine, "doi", theirs, "its_doi").where("_end <> doi").join(theirs.withColumnRenamed("its_doi", "_end"), "_end")
+    of = lambda met, key: met.groupBy(key).agg(F.sum("n").alias("n"), F.max("newest").alias("newest"))
+    tails = of(cut_mine.select("doi", "n", "newest").union(cut_its.select("doi", "n", "newest")), "doi")
+    wanted = asked.where("title <> ''").select("title").distinct()
+    named = candidates(wanted.select(F.col("title").alias("selector_id"), F.col("title").alias("text")), titles.select(F.col("title").alias("doc_id"), F.col("title").alias("text")))
+    named = named.toDF("its", "title").where(F.contains("title", "its")).join(titles, "title")
+    named = of(named.select(F.col("its").alias("title"), "n", "newest"), "title")
+    tier = lambda number, key, met: asked.join(met, key).select("request_id", F.struct(F.lit(number).alias("tier"), "n", "newest").alias("found"))
+    found = tier(1, "doi", dois).union(tier(2, "doi", tails)).union(tier(3, "title", named))
+    first = found.groupBy("request_id").agg(F.min("found").alias("best"))
     return requests.select("request_id").join(first, "request_id", "left").select(
-        "request_id", "best.tier", (-F.col("best.newest.col2")).alias("item_id"), F.coalesce("best.candidates", F.lit(0)).alias("candidates")
+        "request_id", "best.tier", (-F.col("best.newest.item")).alias("item_id"), F.coalesce("best.n", F.lit(0)).alias("candidates")
     )
 
 
+def _ends(rows: DataFrame, text: str, others: DataFrame, other: str) -> DataFrame:
+    """``rows`` with each end (_end) of their text that is as long as some text of ``others``."""
+    sizes = others.select(F.length(other).alias("_n")).distinct().agg(F.array_sort(F.collect_list("_n")).alias("_sizes"))
+    fitting = F.filter("_sizes", lambda n: n <= F.length(text))
+    return rows.crossJoin(F.broadcast(sizes)).withColumn("_end", F.explode(F.transform(fitting, lambda n: F.right(F.col(text), n)))).drop("_sizes")
+
+
 def same_document(doi: Column, other_doi: Column, title: Column, other_title: Column) -> Column:
     """Whether two records are of one document: by DOI where both have one, else by title."""
     a, b = clean_doi(doi), clean_doi(other_doi)

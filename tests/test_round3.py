@@ -28,3 +28,15 @@ def test_pages_of_single_letters_are_text(spark, folder):
 def test_headings_with_cut_references(spark, folder):
     rows = [(1, "<h1>a &amp;&amp;&amp</h1>"), (2, "<h1>&lt;b&gt; &amp;lt; &quot; &copy</h1>"), (3, "<h1>x & y</h1>"), (4, None)]
     held_against_sql(spark, folder(pages=(rows, "page_id bigint, html string")), "page_headings")
+
+
+def test_items_of_one_title_are_met_as_one(spark):
+    from pyspark.sql import functions as F
+
+    from locusmill.operators import catalog
+
+    items = spark.range(20_000).select(F.col("id").alias("item_id"), F.lit("10.5/abcdefg").alias("doi"), F.lit("one title").alias("title"), F.timestamp_seconds(F.col("id") % 50).alias("added"))
+    asked = [(1, "10.5/abcdefg", None), (1, "10.5/abcdefg", None), (2, "cdefg", None), (3, "abcdefg", None), (4, "https://doi.org/10.5/ABCDEFG", None), (5, None, "one")]
+    rows = catalog.resolved(spark.createDataFrame(asked, "request_id bigint, doi string, title string"), items)
+    found = sorted({(r.request_id, r.tier, r.item_id, r.candidates) for r in rows.collect()})
+    assert found == [(1, 1, 49, 20_000), (2, None, None, 0), (3, 2, 49, 20_000), (4, 1, 49, 20_000), (5, 3, 49, 20_000)]
