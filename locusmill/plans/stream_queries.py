@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from locusmill.plans.registry import query, table
+from locusmill.sources.tables import saved
 from locusmill.streaming import answers, jobs, tickets
 from locusmill.streaming.in_order import closing, rocks_state
 from locusmill.streaming.snapshots import feed, run_to_end
@@ -102,11 +103,13 @@ def stream_current_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = asked.unionByName(came)
     late = F.when(F.col("payload") % 7 == 3, 1).otherwise(0)
     part = F.least(F.floor((F.dayofyear("at") - 1) / DAYS) + late, F.lit(FILES - 1))
-    parts = [rows.where(part == i).orderBy(F.desc("payload")) for i in range(FILES)]
+    # Numbered once, not once for every file.
+    rows = saved(rows.withColumn("part", part), "stream-rows")
+    parts = [rows.where(F.col("part") == i).drop("part").orderBy(F.desc("payload")) for i in range(FILES)]
     last = rows.agg(F.max("at").alias("at"))
     for days in (400, 800):
         for kind in (False, True):
-            parts.append(last.select(F.lit(-1).cast("bigint").alias("address"), F.lit(days).cast("bigint").alias("number"), (F.col("at") + F.expr(f"interval {days} days")).alias("at"), F.lit(None).cast("bigint").alias("payload"), F.lit(kind).alias("answer")).select(*rows.columns))
+            parts.append(last.select(F.lit(-1).cast("bigint").alias("address"), F.lit(days).cast("bigint").alias("number"), (F.col("at") + F.expr(f"interval {days} days")).alias("at"), F.lit(None).cast("bigint").alias("payload"), F.lit(kind).alias("answer")).select(*parts[0].columns))
 
     def plan(stream: DataFrame) -> DataFrame:
         requests = stream.where("not answer").select("address", "number", F.col("at").alias("asked_at"))

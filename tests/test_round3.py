@@ -40,3 +40,9 @@ def test_items_of_one_title_are_met_as_one(spark):
     rows = catalog.resolved(spark.createDataFrame(asked, "request_id bigint, doi string, title string"), items)
     found = sorted({(r.request_id, r.tier, r.item_id, r.candidates) for r in rows.collect()})
     assert found == [(1, 1, 49, 20_000), (2, None, None, 0), (3, 2, 49, 20_000), (4, 1, 49, 20_000), (5, 3, 49, 20_000)]
+
+
+def test_state_partitions_follow_the_rows():
+    from locusmill.streaming.snapshots import state_partitions
+
+    assert [state_partitions(n, 12) for n in (0, 10, 30_000, 600_000, 6_000_000, 36_000_000)] == [1, 1, 2, 12, 12, 72]
