@@ -35,10 +35,14 @@ def best_by_margin(scored: DataFrame, keys: list[str], other: str, score: str, l
     return ranked.where("_k = 1").select(*keys, other, score, "second", accepted.alias("accepted"))
 
 
+def center(whole: Column, part: Column, size: Column) -> Column:
+    """Where the middle of the first ``part`` stands in a text of ``size`` characters, as a share; at the start if it isn't there."""
+    return (F.greatest(F.position(part, whole) - 1, F.lit(0)) + F.length(part) / 2.0) / size
+
+
 def position_penalty(translated: Column, selected: Column, source: Column, candidate: Column) -> Column:
     """How far a candidate's place and length in the source are from those of the selection."""
-    at = lambda whole, part: (F.greatest(F.position(part, whole) - 1, F.lit(0)) + F.length(part) / 2.0) / F.length(whole)
-    center = F.when(F.length(translated) > 0, at(translated, selected)).otherwise(0.5)
+    middle = F.when(F.length(translated) > 0, center(translated, selected, F.length(translated))).otherwise(0.5)
     share = F.least(F.lit(1.0), F.length(selected) / F.greatest(F.lit(1), F.length(translated)))
     wanted = F.greatest(F.lit(24), F.floor(F.length(source) * share + 0.5))
-    return 2 * F.abs(at(source, candidate) - center) + 0.35 * F.abs(F.length(candidate) - wanted) / wanted
+    return 2 * F.abs(center(source, candidate, F.length(source)) - middle) + 0.35 * F.abs(F.length(candidate) - wanted) / wanted

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from locusmill.functions import text as T
 from locusmill.functions import tokens as K
 from locusmill.operators import similarity
+from locusmill.operators.spans import sums_of
 from locusmill.plans.registry import query, table
 
 #: The cut of a clause for engines without look-around: the mark and the connective as two groups.
@@ -208,12 +209,29 @@ def whole_mapping_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", T.readable("text").alias("p"))
     docs = docs.select("doc_id", "p", K.plain_sentences(F.col("p")).alias("s")).where(F.size("s") >= 3)
 
+    # What candidates share is a column of its own, measured once a document and not once a candidate.
+    docs = docs.withColumn("size", F.length("p")).withColumn("chosen", F.col("s")[1])
+    docs = docs.withColumn("center", similarity.center(F.col("p"), F.col("chosen"), F.col("size"))).withColumn("wanted", F.greatest(F.lit(24), F.length("chosen")))
+    by_size = lambda c: 0.35 * F.abs(F.length(c) - F.col("wanted")) / F.col("wanted")
+
     def ranked(candidate: Column) -> Column:
-        penalty = similarity.position_penalty(F.col("p"), F.col("s")[1], F.col("p"), candidate)
+        penalty = 2 * F.abs(similarity.center(F.col("p"), candidate, F.col("size")) - F.col("center")) + by_size(candidate)
         return F.struct(T.halves_up(penalty, 9).alias("penalty"), candidate.alias("candidate"))
 
+    # The sixth best of some candidates is a bound: one whose length alone costs more can't be among the best six, and is neither made nor looked for.
+    runs = lambda s: F.transform(K.windows(s), lambda w: w["text"])
+    some = F.filter(F.array_distinct(F.concat(F.array("p"), F.slice("s", 1, 60), runs(F.slice("s", 1, 6)))), lambda c: F.length(c) >= 8)
+    docs = docs.withColumn("some", some).withColumn("most", F.get(F.array_sort(F.transform("some", ranked)), F.lit(5))["penalty"] + 1e-6).drop("some")
+    slack = F.col("wanted") * F.col("most") / 0.35 + 1
+    docs = docs.withColumn("low", F.coalesce(F.col("wanted") - slack, F.lit(0.0))).withColumn("high", F.coalesce(F.col("wanted") + slack, F.col("size") + 1.0))
+    docs = docs.withColumn("pieces", F.transform("s", K.clauses))
+    docs = docs.withColumn("parts", F.transform("pieces", lambda c: F.struct(c.alias("pieces"), sums_of(F.transform(c, lambda x: F.length(x).cast("bigint"))).alias("before")))).drop("pieces")
+    spans = F.flatten(F.transform("parts", lambda c: K.sized_spans(c, F.col("low"), F.col("high"))))
+    fits = lambda c: (F.length(c) >= 8) & F.length(c).between(F.col("low"), F.col("high"))
+    near = F.array_distinct(F.filter(F.concat(F.array("p"), "s", spans, runs(F.col("s"))), fits))
+    docs = docs.withColumn("near", near).select("doc_id", "p", "size", "center", "wanted", "near")
     # Ranked inside the row: candidates are many times the text, and only the first six leave it.
-    best = F.slice(F.array_sort(F.transform(K.mapping_candidates(F.col("p"), F.col("s")), ranked)), 1, 6)
+    best = F.slice(F.array_sort(F.transform("near", ranked)), 1, 6)
     placed = docs.select("doc_id", F.posexplode(best).alias("place", "best"))
     return placed.select("doc_id", (F.col("place") + 1).alias("place"), "best.candidate", "best.penalty")
 

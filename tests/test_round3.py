@@ -46,3 +46,27 @@ def test_state_partitions_follow_the_rows():
     from locusmill.streaming.snapshots import state_partitions
 
     assert [state_partitions(n, 12) for n in (0, 10, 30_000, 600_000, 6_000_000, 36_000_000)] == [1, 1, 2, 12, 12, 72]
+
+
+def test_shortlists_of_few_long_and_repeated_sentences(spark, folder):
+    clause = lambda n, word: "".join(f"{word} {i}, and " for i in range(n))
+    texts = [
+        f"First one here. Second one here. {clause(60, 'long')}end.", f"{clause(60, 'long')}end. Chosen, which is short; but cut. Third one here.", "Same words here. " * 9,
+        f"One of three. {clause(40, 'chosen')}end. Three of three, while it ends.", "Too short. No.", None, "", "a b c d e f. " * 40 + "which, it g. " * 40,
+    ]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    held_against_sql(spark, folder(documents=(rows, "doc_id bigint, text string")), "whole_mapping_shortlist")
+
+
+def test_only_spans_of_a_fitting_size_are_made(spark):
+    from pyspark.sql import functions as F
+
+    from locusmill.functions import tokens as K
+    from locusmill.operators.spans import sums_of
+
+    said = "".join(f"word {i}, and " for i in range(30)) + "end."
+    row = spark.createDataFrame([(said,)], "t string").select("t", K.clauses(F.col("t")).alias("pieces"))
+    parts = row.select("t", F.struct("pieces", sums_of(F.transform("pieces", lambda x: F.length(x).cast("bigint"))).alias("before")).alias("c"))
+    every, some = parts.select(K.clause_spans(F.col("t")), K.sized_spans(F.col("c"), F.lit(40), F.lit(60))).first()
+    assert {s for s in every if 40 <= len(s) <= 60} == {s for s in some if 40 <= len(s) <= 60}
+    assert all(39 <= len(s) <= 62 for s in some) and len(some) < len(every) / 5
