@@ -11,10 +11,7 @@ from typing import TypeVar
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusmill.sources.tables import Scratch, discard, fresh_path, saved, shared_dir  # noqa: F401
-
-BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
-BATCH_BYTES = 8 << 20
+from locusmill.sources.tables import BATCH_BYTES, BATCH_SETTING, Scratch, bounded_batches, discard, fresh_path, saved, shared_dir  # noqa: F401
 
 Memo = TypeVar("Memo")
 _memo: dict[object, object] = {}
@@ -42,12 +39,6 @@ def text_mark(text: str) -> Column:
 
 
 def in_arrow(df: DataFrame, function: Callable, schema: object) -> DataFrame:
-    """``mapInArrow`` in batches of some ``BATCH_BYTES``; every operator of this package goes through it.
-
-    A batch of texts is held several times over, by the JVM, as Arrow and as Python strings. Spark
-    has the size as a setting of the session alone; one that is set already is left alone.
-    """
-    conf = df.sparkSession.conf
-    if BATCH_SETTING not in conf.getAll:
-        conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
+    """``mapInArrow`` in batches of some ``BATCH_BYTES``; every operator of this package goes through it."""
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(function, schema)

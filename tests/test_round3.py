@@ -70,3 +70,18 @@ def test_only_spans_of_a_fitting_size_are_made(spark):
     every, some = parts.select(K.clause_spans(F.col("t")), K.sized_spans(F.col("c"), F.lit(40), F.lit(60))).first()
     assert {s for s in every if 40 <= len(s) <= 60} == {s for s in some if 40 <= len(s) <= 60}
     assert all(39 <= len(s) <= 62 for s in some) and len(some) < len(every) / 5
+
+
+def test_tables_are_read_with_bounded_batches(spark, folder):
+    from locusmill.sources import tables
+
+    path, before = folder(documents=([(1, "a")], "doc_id bigint, text string")), spark.conf.get(tables.BATCH_SETTING, None)
+    try:
+        spark.conf.unset(tables.BATCH_SETTING)
+        tables.table(spark, path, "documents")
+        assert spark.conf.get(tables.BATCH_SETTING) == f"{8 << 20}b"
+        spark.conf.set(tables.BATCH_SETTING, "1m")
+        tables.table(spark, path, "documents")
+        assert spark.conf.get(tables.BATCH_SETTING) == "1m"
+    finally:
+        spark.conf.unset(tables.BATCH_SETTING) if before is None else spark.conf.set(tables.BATCH_SETTING, before)
