@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from locusmill.functions.text import letters_and_digits
+from locusmill.operators.spans import once
 
 
 def words_of(block: Column) -> Column:
@@ -40,11 +41,16 @@ def block_cases(text: Column, most_words: int = 60, least_chars: int = 40) -> Co
 
 def short_cases(block: Column, sizes: tuple[int, ...] = (5, 12, 20), context: int = 96) -> Column:
     """region, size, exact, prefix and suffix of windows at the start, the middle and the end of a block."""
-    words = words_of(block)
+    return once(words_of(block), lambda words: _short_cases(words, sizes, context))
+
+
+def _short_cases(words: Column, sizes: tuple[int, ...], context: int) -> Column:
     n = F.size(words)
 
     def case(region: str, size: int, at: Column) -> Column:
-        before, after = F.array_join(F.slice(words, 1, at), " "), F.array_join(F.slice(words, at + size + 1, n), " ")
+        # As many words as there are characters of context fill it.
+        some = F.least(at, F.lit(context))
+        before, after = F.array_join(F.slice(words, at - some + 1, some), " "), F.array_join(F.slice(words, at + size + 1, F.lit(context)), " ")
         return F.struct(
             F.lit(region).alias("region"), F.lit(size).alias("size"), F.array_join(F.slice(words, at + 1, size), " ").alias("exact"),
             F.right(before, F.lit(context)).alias("prefix"), F.left(after, F.lit(context)).alias("suffix"),

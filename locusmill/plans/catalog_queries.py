@@ -31,7 +31,7 @@ SELECT doc_id, region, CAST(size AS INTEGER) AS size, array_to_string(w[pos + 1
   left(array_to_string(w[pos + size + 1 :], ' '), 96) AS suffix FROM a
 """)
 def short_selections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.inline(sampling.short_cases(F.col("text"))))
+    return table(spark, sf_dir, "documents").select("doc_id", F.inline_outer(sampling.short_cases(F.col("text")))).where("region is not null")
 
 
 @query(f"""
