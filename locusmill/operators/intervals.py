@@ -93,9 +93,9 @@ def sentence_bounds(text: Column, sentences: Column, saved: Column) -> Column:
         put = lambda start: F.struct(start.cast("int").alias("start"), (start + F.length(s["text"])).cast("int").alias("stop"))
         stored = (s["start"] >= 0) & (s["stop"] >= s["start"]) & (F.substring(text, s["start"] + 1, s["stop"] - s["start"]) == s["text"])
         own = F.get(sentences, s["ordinal"])
-        first = F.instr(text, s["text"])
-        only = (first > 0) & (F.position(s["text"], text, first + 1) == 0)
-        held = F.when(stored, put(s["start"])).when((s["ordinal"] >= 0) & (own["text"] == s["text"]), put(own["start"])).when(only, put(first - 1))
+        # Looked for last, and once: each search reads the text.
+        only = once(F.instr(text, s["text"]), lambda first: F.when((first > 0) & (F.position(s["text"], text, first + 1) == 0), put(first - 1)))
+        held = F.when(stored, put(s["start"])).when((s["ordinal"] >= 0) & (own["text"] == s["text"]), put(own["start"])).otherwise(only)
         return F.when(F.length(s["text"]) > 0, held)
 
     return F.transform(saved, at)

@@ -67,7 +67,8 @@ def sentence_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     found = rows.select("doc_id", intervals.sentence_bounds(F.col("text"), F.col("s"), F.transform("s", saved)).alias("b"))
-    return found.select("doc_id", F.posexplode("b").alias("sentence", "_b")).select("doc_id", "sentence", "_b.start", "_b.stop")
+    # An outer explode: from a plain one a filter on the array's size is inferred and the array made twice.
+    return found.select("doc_id", F.posexplode_outer("b").alias("sentence", "_b")).where("sentence is not null").select("doc_id", "sentence", "_b.start", "_b.stop")
 
 
 @query("""
