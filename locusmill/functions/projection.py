@@ -21,6 +21,7 @@ import re
 import unicodedata
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -171,6 +172,35 @@ def back(maps: Column, start: Column, stop: Column) -> Column:
     return F.struct(lead(start, False).alias("start"), lead(stop, True).alias("stop"))
 
 
+def _led_all(at: np.ndarray, raw: np.ndarray, n: np.ndarray, x: np.ndarray, stop: bool) -> np.ndarray:
+    """``_led`` from ``at`` to ``raw`` for many offsets."""
+    k = np.searchsorted(at, x, side="left" if stop else "right")
+    own, next_ = np.maximum(k - 1, 0), np.minimum(k, len(at) - 1)
+    last, behind = k >= len(at), raw[own] + n[own]
+    past = x - at[own]
+    inside = past <= n[own] if stop else (past < n[own]) | last
+    beside = np.where(last, behind, raw[next_]) if stop else behind
+    return np.where(k == 0, 0, np.where(inside, raw[own] + past, beside))
+
+
+@F.pandas_udf(ArrayType(StructType([StructField(n, IntegerType()) for n in ("start", "stop")])))
+def _back_all(at: pd.Series, raw: pd.Series, n: pd.Series, sizes: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
+    def one(at, raw, n, sizes, start, stop) -> list[dict[str, int]]:
+        ends = np.cumsum(sizes)
+        for size, end in zip(sizes[::-1], ends[::-1], strict=True):
+            own = slice(end - size, end)
+            start, stop = (_led_all(at[own], raw[own], n[own], x, is_stop) for x, is_stop in ((start, False), (stop, True)))
+        return [{"start": a, "stop": b} for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
+
+    return pd.Series([one(*row) for row in zip(at, raw, n, sizes, starts, stops, strict=True)])
+
+
+def back_all(maps: Column, starts: Column, stops: Column) -> Column:
+    """``back`` of many ranges, given as two arrays: an array of start and stop. Catalyst has no bisection, and a lambda's costs a microsecond a step."""
+    flat = lambda name: F.transform(F.flatten(maps), lambda s: s[name])
+    return _back_all(flat("at"), flat("raw"), flat("n"), F.transform(maps, lambda m: F.size(m)), starts.cast("array<int>"), stops.cast("array<int>"))
+
+
 def into(maps: Column, start: Column, stop: Column) -> Column:
     """start and stop in the normalised text of a raw range: the inverse of ``back``."""
     lead = lambda x, stop: F.aggregate(maps, x.cast("int"), lambda x, m: _led(m, x, "raw", "at", stop))

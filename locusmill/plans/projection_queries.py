@@ -80,9 +80,8 @@ def readable_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     # One entry for each word: where it begins in the readable text, in which single spaces divide words.
     rows = rows.where(F.col("p.text") != "").withColumn("words", F.split("p.text", " ", -1))
     rows = rows.withColumn("at", sums_of(F.transform("words", lambda w: (F.length(w) + 1).cast("bigint"))))
-    maps = F.col("p.maps")
     place = lambda r: F.concat_ws(":", r["start"].cast("string"), r["stop"].cast("string"))
-    ranges = F.zip_with("at", "words", lambda at, w: place(P.back(maps, at, at + F.length(w))))
+    ranges = F.transform(P.back_all(F.col("p.maps"), F.col("at"), F.zip_with("at", "words", lambda at, w: at + F.length(w))), place)
     return rows.select("doc_id", F.size("words").cast("bigint").alias("n_words"), F.md5(F.array_join(ranges, ",")).alias("places_md5"))
 
 
