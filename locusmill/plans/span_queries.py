@@ -9,7 +9,10 @@ from locusmill.functions import tokens as K
 from locusmill.operators import records, spans
 from locusmill.plans.registry import query, table
 from locusmill.plans.text_queries import _PROSE
+from locusmill.sources.tables import dealt
 
+#: Order lines of a part, which one task sorts.
+LINES_EACH = 200_000
 _WORDS = rf"regexp_extract_all({_PROSE}, '[\p{{L}}\p{{N}}]+')"
 
 
@@ -98,7 +101,8 @@ g AS (SELECT *, CAST(sum(s) OVER (PARTITION BY l_orderkey ORDER BY x0, x1 ROWS U
 SELECT l_orderkey, segment, count(*) AS n, min(x0) AS x0, max(x1) AS x1 FROM g GROUP BY ALL
 """)
 def margin_gap_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    boxes = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_extendedprice").alias("x0"), (F.col("l_extendedprice") + F.col("l_quantity") * 100).alias("x1"))
+    lines = table(spark, sf_dir, "lineitem")
+    boxes = dealt(lines, "l_orderkey", lines.count(), LINES_EACH).select("l_orderkey", F.col("l_extendedprice").alias("x0"), (F.col("l_extendedprice") + F.col("l_quantity") * 100).alias("x1"))
     return spans.islands(boxes, ["l_orderkey"], "x0", "x1", F.lit(1000))
 
 
