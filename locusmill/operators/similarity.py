@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from locusmill.functions.text import halves_up
 from locusmill.functions.tokens import bigrams
+from locusmill.operators.spans import once
 
 
 def bigram_scored(rows: DataFrame, a: str, b: str, name: str = "score") -> DataFrame:
@@ -17,9 +18,9 @@ def bigram_scored(rows: DataFrame, a: str, b: str, name: str = "score") -> DataF
     Nothing leaves its row. The pairs are columns of their own, so each text is cut once.
     """
     cut = rows.withColumn("_left", bigrams(F.col(a))).withColumn("_right", bigrams(F.col(b)))
-    shared = F.array_intersect("_left", "_right")
-    count = lambda grams, g: F.size(F.filter(grams, lambda x: x == g))
-    common = F.aggregate(shared, F.lit(0), lambda s, g: s + F.least(count("_left", g), count("_right", g)))
+    # Equal pairs are told apart by their number among their equals, so that two sets have what the multisets share.
+    numbered = lambda grams: once(F.sort_array(grams), lambda s: F.transform(s, lambda g, i: F.concat(g, (i - F.array_position(s, g)).cast("string"))))
+    common = F.size(F.array_intersect(numbered(F.col("_left")), numbered(F.col("_right"))))
     la, lb = F.length(a), F.length(b)
     inside = F.contains(a, b) | F.contains(b, a)
     score = F.when((la == 0) | (lb == 0), 0.0).when(inside, 0.65 + 0.35 * F.least(la, lb) / F.greatest(la, lb))

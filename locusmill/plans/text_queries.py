@@ -156,8 +156,9 @@ def mapping_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _shortlisted(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _paragraphs(spark, sf_dir).select("doc_id", "line", T.readable("text").alias("p"))
-    docs = docs.select("doc_id", "line", "p", K.plain_sentences(F.col("p")).alias("s")).where(F.size("s") >= 3)
-    docs = docs.select("doc_id", "line", "p", F.col("s")[1].alias("chosen"), F.explode(F.array_distinct("s")).alias("cand"))
+    docs = docs.select("doc_id", "line", "p", K.plain_sentences(F.col("p")).alias("s"))
+    # An outer explode of nothing where there are too few: filters would go below what makes the sentences, and make them again.
+    docs = docs.select("doc_id", "line", "p", F.get("s", F.lit(1)).alias("chosen"), F.explode_outer(F.when(F.size("s") >= 3, F.array_distinct("s"))).alias("cand")).where("cand is not null")
     penalty = similarity.position_penalty(F.col("p"), F.col("chosen"), F.col("p"), F.col("cand"))
     order = W.partitionBy("doc_id", "line").orderBy("penalty", "cand")
     ranked = docs.select("doc_id", "line", "chosen", "cand", T.halves_up(penalty, 9).alias("penalty")).withColumn("place", F.row_number().over(order))
