@@ -75,8 +75,12 @@ def aligned_parts(rows: DataFrame, key: str, translation: str, source: str, sing
     cut = cut.where(F.size("_u.units").between(LEAST_PARTS, MOST_PARTS) & (stripped(F.col("_u.rest")) == "") & (F.size("_pieces") < MOST_CUTS))
     cut = cut.select(key, "_u", "_pieces", F.transform("_u.units", lambda u: figure_keys(u["text"])).alias("_wanted"), F.transform("_pieces", lambda p: figure_keys(p)).alias("_keys"))
     cut = cut.where(~F.exists("_wanted", lambda k: k == "") & (F.size(F.array_distinct("_wanted")) == F.size("_wanted")))
-    found = cut.withColumn("_path", _ways(F.col("_keys"), F.col("_wanted"))).where("_path is not null")
-    begin = lambda i: F.when(i > 0, F.get("_path", i - 1)).otherwise(0)
-    parts = F.transform("_u.units", lambda u, i: F.struct(F.array_join(F.slice("_pieces", begin(i) + 1, F.get("_path", i) - begin(i)), "").alias("source"), u["start"].alias("start"), u["stop"].alias("stop")))
-    each = found.select(key, F.posexplode(parts).alias("part", "_p"))
+
+    def parts(path: Column) -> Column:
+        begin = lambda i: F.when(i > 0, F.get(path, i - 1)).otherwise(0)
+        return F.transform("_u.units", lambda u, i: F.struct(F.array_join(F.slice("_pieces", begin(i) + 1, F.get(path, i) - begin(i)), "").alias("source"), u["start"].alias("start"), u["stop"].alias("stop")))
+
+    # Ways are counted once a row: a filter on the path, or the one that a plain explode infers, would count them again.
+    made = once(_ways(F.col("_keys"), F.col("_wanted")), lambda path: F.when(path.isNotNull(), parts(path)))
+    each = cut.select(key, F.posexplode_outer(made).alias("part", "_p")).where("part is not null")
     return each.select(key, "part", stripped(F.col("_p.source")).alias("source"), "_p.start", "_p.stop")
