@@ -4,7 +4,7 @@
 Selectors and pages meet through an equi-join on a key that every page with the quote must hold:
 up to ``GRAM`` inner words of the quote, the last character before and the first character behind
 them; of all such runs of a quote the one that fewest pages hold. A quote of two words has no inner word and is keyed by the characters around its space, one
-of a single word by its first characters. No quote is held against every page, and each text is
+of a single word by runs of its characters. No quote is held against every page, and each text is
 cut into words once.
 
 Defined cases: a null or empty quote is found nowhere; null contexts count as empty; a null text
@@ -19,11 +19,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locusmill.functions import projection
-from locusmill.functions.tokens import char_grams, run_hashes
+from locusmill.functions.tokens import char_grams, char_run_hashes, run_hashes
 from locusmill.operators.spans import band_matches, offsets_of
 from locusmill.sources.tables import saved
 
 GRAM = 3
+#: Characters of the keys of a long text of one word; three in a row are on nearly every page.
+LONG = 8
 #: Keys that may be broadcast; beyond them the join is left to shuffle.
 MOST_BROADCAST = 200_000
 
@@ -36,9 +38,11 @@ def _word_keys(words: Column, inner: int) -> Column:
 
 
 def _keys(words: Column, text: Column, kind: str) -> Column:
-    """The keys of one kind: ``w0`` to ``w3`` by inner words, ``c1`` to ``c3`` by characters."""
+    """The keys of one kind: ``w0`` to ``w3`` by inner words, ``c1`` to ``c3`` and ``c8`` by characters."""
     size = int(kind[1])
-    return _word_keys(words, size) if kind[0] == "w" else F.transform(char_grams(text, size), lambda g: F.xxhash64(g))
+    if kind[0] == "w":
+        return _word_keys(words, size)
+    return char_run_hashes(text, 3) if size == 8 else F.transform(char_grams(text, size), lambda g: F.xxhash64(g))
 
 
 def candidates(selectors: DataFrame, pages: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
@@ -49,9 +53,9 @@ def candidates(selectors: DataFrame, pages: DataFrame, most_broadcast: int = MOS
     words = F.split("text", " ", -1)
     n = F.size(words)
     # Spaces at an end of a quote have no word beside them; such a quote is keyed by its characters, too.
-    kind = F.when((n > 1) & ~F.regexp_like("text", F.lit(r"^ | \z")), F.concat(F.lit("w"), F.least(n - 2, F.lit(GRAM)))).otherwise(F.concat(F.lit("c"), F.least(F.length("text"), F.lit(3))))
+    kind = F.when((n > 1) & ~F.regexp_like("text", F.lit(r"^ | \z")), F.concat(F.lit("w"), F.least(n - 2, F.lit(GRAM)))).otherwise(F.concat(F.lit("c"), F.when(F.length("text") >= LONG, LONG).otherwise(F.least(F.length("text"), F.lit(3)))))
     asked = selectors.where(F.length("text") > 0).select("selector_id", "text", words.alias("_words"), kind.alias("kind"))
-    used = sorted(name for (name,) in asked.select("kind").distinct().collect())  # seven kinds at most
+    used = sorted(name for (name,) in asked.select("kind").distinct().collect())  # eight kinds at most
     if not used:
         return selectors.select("selector_id", F.lit(None).cast(pages.schema["doc_id"].dataType).alias("doc_id")).where("false")
 
