@@ -5,21 +5,20 @@ source. ``fragments`` has paragraph_id, url, frag_idx, sentence_key, text and is
 translation in pieces, each with the key of the sentence it came from, or none. ``selections`` has
 selection_id, paragraph_id, start and stop: code points of the joined fragments.
 
-All joins are on the paragraph; windows and votes are within one. Defined cases: fragments that are
-references or hold nothing but marks are left out; null texts count as empty; a paragraph without
-fragments gives no row; a selection in no paragraph has no anchors; empty tables give no rows.
+Fragments and sentences are brought together once, as arrays in one row for each paragraph; groups and votes are
+made in that row, and selections meet it by their paragraph. Only keys go elsewhere, to learn whether any paragraph has them.
+Defined cases: fragments that are references or hold nothing but marks are left out; null texts count as empty; a paragraph
+without fragments gives no row; a selection in no paragraph has no anchors; empty tables give no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from locusmill.functions.text import coverage_key, text_of
+from locusmill.functions.text import coverage_key, page_address, text_of
 from locusmill.functions.tokens import cjk_sentences
-from locusmill.operators.records import vote
-from locusmill.operators.spans import sums_of
+from locusmill.operators.spans import once, sums_of
 
 #: Why a paragraph's groups can't be used, the first that holds; ``grouped`` if none does (A.9).
 GROUP_REASONS = ("unknown-key", "foreign-owner", "stale-url", "noncontiguous-key", "source-order", "unmarked-content", "duplicated-translation")
@@ -33,78 +32,105 @@ def sentence_keys(paragraphs: DataFrame, spans: Column) -> DataFrame:
     return each.select("paragraph_id", "url", F.left(key, F.lit(16)).alias("sentence_key"), (F.col("_i") + 1).alias("ordinal"), "_s.start", "_s.stop", "_s.text")
 
 
-def placed(fragments: DataFrame) -> DataFrame:
-    """Fragments with their place (at, end) in the joined text of their paragraph."""
-    before = W.partitionBy("paragraph_id").orderBy("frag_idx").rowsBetween(W.unboundedPreceding, -1)
-    at = F.coalesce(F.sum(F.length(text_of("text"))).over(before), F.lit(0)).cast("int")
-    return fragments.withColumn("at", at).withColumn("end", at + F.length(text_of("text")))
+def _usable() -> Column:
+    return ~F.coalesce("is_reference", F.lit(False)) & (coverage_key("text") != "")
 
 
-def _usable(fragments: DataFrame) -> DataFrame:
-    return fragments.where(~F.coalesce("is_reference", F.lit(False)) & (coverage_key("text") != ""))
+def _of_key(sentences: Column, key: Column) -> Column:
+    return F.filter(sentences, lambda s: s["sentence_key"] == key)
 
 
-def groups(fragments: DataFrame, sentences: DataFrame) -> DataFrame:
-    """Neighbouring fragments of one key: paragraph_id, group, sentence_key, text, ordinal, start, stop and reason (null if none)."""
-    known = sentences.select("paragraph_id", "sentence_key", F.col("url").alias("_url"), "ordinal", "start", "stop")
-    owners = sentences.groupBy("sentence_key").agg(F.lit(True).alias("_somewhere"))
-    order = W.partitionBy("paragraph_id").orderBy("frag_idx")
-    own = _usable(fragments).join(known, ["paragraph_id", "sentence_key"], "left").join(owners, "sentence_key", "left")
-    new = (~F.col("sentence_key").eqNullSafe(F.lag("sentence_key").over(order))) | (F.row_number().over(order) == 1)
-    own = own.withColumn("_new", new.cast("int")).withColumn("group", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    piece = F.struct("frag_idx", text_of("text").alias("t"))
-    made = own.groupBy("paragraph_id", "group").agg(
-        F.first("sentence_key").alias("sentence_key"), F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["t"]), "").alias("text"),
-        *(F.first(c).alias(c) for c in ("ordinal", "start", "stop")), F.first("_somewhere").alias("_somewhere"),
-        F.max(F.substring_index(text_of("url"), "#", 1) != F.substring_index("_url", "#", 1)).alias("_stale"),
-    )
-    by_group, by_key, by_text = W.partitionBy("paragraph_id").orderBy("group"), W.partitionBy("paragraph_id", "sentence_key"), W.partitionBy("paragraph_id", coverage_key("text"))
-    several = F.count(F.lit(1)).over(by_key) > 1
-    marked = F.col("sentence_key").isNotNull()
-    holds = (
-        marked & F.col("ordinal").isNull() & F.col("_somewhere").isNull(), marked & F.col("ordinal").isNull(), F.col("_stale"), marked & several,
-        F.col("start") < F.max("stop").over(by_group.rowsBetween(W.unboundedPreceding, -1)), ~marked, marked & (F.count(F.lit(1)).over(by_text) > 1),
-    )
-    return made.withColumn("reason", F.coalesce(*(F.when(h, r) for h, r in zip(holds, GROUP_REASONS, strict=True)))).drop("_somewhere", "_stale")
+def _distinct(items: Column, value) -> Column:
+    return F.array_distinct(F.transform(items, value))
+
 
+def _voted(unit: Column, pieces: Column) -> Column:
+    """The key that has ``SHARE`` of a unit's characters and leads by ``LEAD``, else null; ties go to the smaller key."""
+    over = lambda p: F.least(p["end"], unit["end"]) - F.greatest(p["at"], unit["at"])
+    weight = lambda met, k: F.aggregate(F.filter(met, lambda p: p["sentence_key"] == k), F.lit(0), lambda n, p: n + over(p))
+    ranked = lambda met: F.array_sort(F.transform(_distinct(met, lambda p: p["sentence_key"]), lambda k: F.struct((-weight(met, k)).alias("w"), k.alias("k"))))
+    total = lambda r: F.aggregate(r, F.lit(0), lambda n, x: n - x["w"])
+    first, second = (lambda r: -F.get(r, F.lit(0))["w"]), (lambda r: F.coalesce(-F.get(r, F.lit(1))["w"], F.lit(0)))
+    won = lambda r: F.when((first(r) >= SHARE * total(r)) & (first(r) - second(r) >= LEAD), F.get(r, F.lit(0))["k"])
+    met = F.filter(pieces, lambda p: p["sentence_key"].isNotNull() & (over(p) > 0))
+    return once(met, lambda m: once(ranked(m), won))
 
-def _first_reason(reason: Column) -> Column:
-    """The reason of lowest rank among those of some rows."""
-    rank = F.array_position(F.array(*map(F.lit, GROUP_REASONS)), reason)
-    return F.get(F.array(*map(F.lit, GROUP_REASONS)), (F.min(F.when(reason.isNotNull(), rank)) - 1).cast("int"))
+
+def _steps(items: Column, holds) -> Column:
+    """Whether ``holds`` is true of some entry and the one before it."""
+    return F.exists(F.zip_with(F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0))), F.slice(items, 1, F.greatest(F.size(items) - 1, F.lit(0))), holds), lambda x: F.coalesce(x, F.lit(False)))
+
+
+def _paragraphs(fragments: DataFrame, sentences: DataFrame) -> DataFrame:
+    """A row for each paragraph of ``fragments``: its sentences, its usable pieces with their places in the joined text, their groups, and what ``GROUP_REASONS`` holds.
+
+    paragraph_id, sentences, text, pieces, groups, wanted (how many keys its sentences have) and reason (null if no group has one).
+    """
+    piece = F.struct("frag_idx", "sentence_key", page_address("url").alias("url"), text_of("text").alias("t"), _usable().alias("usable"))
+    # Keys that no paragraph has.
+    marked = fragments.where(_usable() & F.col("sentence_key").isNotNull()).select("paragraph_id", "sentence_key")
+    strange = marked.join(sentences.select("sentence_key"), "sentence_key", "left_anti").select("paragraph_id", F.lit(True).alias("_unknown"))
+    cut = fragments.select("paragraph_id", piece.alias("_p")).unionByName(strange, allowMissingColumns=True)
+    cut = cut.groupBy("paragraph_id").agg(F.array_sort(F.collect_list("_p")).alias("_f"), F.max("_unknown").alias("_unknown"))
+    at = sums_of(F.transform("_f", lambda p: F.length(p["t"]).cast("bigint")))
+    spot = lambda p, a: F.struct(p["sentence_key"].alias("sentence_key"), p["url"].alias("url"), p["t"].alias("t"), p["usable"].alias("usable"), a.cast("int").alias("at"), (a + F.length(p["t"])).cast("int").alias("end"))
+    cut = cut.select("paragraph_id", "_unknown", F.array_join(F.transform("_f", lambda p: p["t"]), "").alias("text"), F.filter(F.zip_with("_f", at, spot), lambda p: p["usable"]).alias("pieces"))
+    said = F.struct("ordinal", "sentence_key", F.substring_index("url", "#", 1).alias("url"), "start", "stop", "text")
+    known = sentences.groupBy("paragraph_id").agg(F.array_sort(F.collect_list(said)).alias("sentences"))
+    rows = cut.join(known, "paragraph_id", "left")
+    # Neighbouring pieces of one key are a group, which starts where the key changes.
+    new = lambda p, i: (i == 0) | ~p["sentence_key"].eqNullSafe(F.get("pieces", i - 1)["sentence_key"])
+    starts = F.filter(F.transform("pieces", lambda p, i: F.when(new(p, i), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("_starts", starts)
+    own = lambda i: F.get(_of_key(F.col("sentences"), F.get("pieces", i)["sentence_key"]), F.lit(0))
+    stop = lambda g: F.coalesce(F.get("_starts", g + 1), F.size("pieces"))
+    made = F.transform("_starts", lambda i, g: F.struct(
+        F.get("pieces", i)["sentence_key"].alias("sentence_key"), F.slice("pieces", i + 1, stop(g) - i).alias("pieces"), own(i).alias("of"),
+    ))
+    rows = rows.withColumn("groups", made)
+    keys = F.filter(F.transform("groups", lambda g: g["sentence_key"]), lambda k: k.isNotNull())
+    texts = F.transform("groups", lambda g: coverage_key(F.array_join(F.transform(g["pieces"], lambda p: p["t"]), "")))
+    # The last stop of the groups so far, and whether any starts before it.
+    step = lambda s, g: F.struct(F.greatest(s["stop"], g["of"]["stop"]).alias("stop"), (s["back"] | F.coalesce(g["of"]["start"] < s["stop"], F.lit(False))).alias("back"))
+    back = F.aggregate("groups", F.struct(F.lit(None).cast(sentences.schema["stop"].dataType).alias("stop"), F.lit(False).alias("back")), step, lambda s: s["back"])
+    stale = F.exists("groups", lambda g: F.coalesce(F.exists(g["pieces"], lambda p: p["url"] != g["of"]["url"]), F.lit(False)))
+    holds = (
+        F.col("_unknown"), F.exists("groups", lambda g: g["sentence_key"].isNotNull() & g["of"]["ordinal"].isNull()), stale, once(keys, lambda k: F.size(F.array_distinct(k)) < F.size(k)),
+        back, F.exists("groups", lambda g: g["sentence_key"].isNull()), once(texts, lambda t: F.size(F.array_distinct(t)) < F.size(t)),
+    )
+    reason = F.coalesce(*(F.when(h, r) for h, r in zip(holds, GROUP_REASONS, strict=True)))
+    wanted = F.size(F.array_compact(_distinct(F.col("sentences"), lambda s: s["sentence_key"])))
+    return rows.select("paragraph_id", "sentences", "text", "pieces", "groups", F.when(F.col("sentences").isNotNull(), wanted).alias("wanted"), reason.alias("reason"))
 
 
 def paragraph_verdicts(fragments: DataFrame, sentences: DataFrame) -> DataFrame:
     """paragraph_id, reason (``grouped`` if its groups can be used), whether every sentence has its group, and how many groups there are."""
-    made = groups(fragments, sentences)
-    wanted = sentences.groupBy("paragraph_id").agg(F.count_distinct("sentence_key").alias("_wanted"))
-    facts = made.groupBy("paragraph_id").agg(_first_reason(F.col("reason")).alias("reason"), F.count_distinct(F.when(F.col("ordinal").isNotNull(), F.col("sentence_key"))).alias("_found"), F.count(F.lit(1)).alias("groups"))
-    return facts.join(wanted, "paragraph_id", "left").select("paragraph_id", F.coalesce("reason", F.lit("grouped")).alias("reason"), (F.col("_found") == F.coalesce("_wanted", F.lit(0))).alias("complete"), "groups")
+    rows = _paragraphs(fragments, sentences).where(F.size("pieces") > 0)
+    found = F.size(_distinct(F.filter("groups", lambda g: g["of"]["ordinal"].isNotNull()), lambda g: g["sentence_key"]))
+    return rows.select("paragraph_id", F.coalesce("reason", F.lit("grouped")).alias("reason"), (found == F.coalesce("wanted", F.lit(0))).alias("complete"), F.size("groups").cast("bigint").alias("groups"))
 
 
-def interleaved(fragments: DataFrame, sentences: DataFrame) -> DataFrame:
-    """paragraph_id, unit, at, end and sentence_key of translated sentences whose fragments vote for one source sentence (JN-20).
+def _units(rows: DataFrame, where: Column) -> DataFrame:
+    """``rows`` of paragraphs with units: at, end and sentence_key of their translated sentences where votes decide all of them, else null (JN-20).
 
     A unit's key needs ``SHARE`` of its characters and a lead of ``LEAD``. A paragraph counts only
     if every unit is decided, the keys run in source order, and every source sentence has a unit.
     """
-    pieces = placed(fragments)
-    joined = pieces.groupBy("paragraph_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("frag_idx", text_of("text").alias("t")))), lambda p: p["t"]), "").alias("_text"))
-    cut = joined.select("paragraph_id", cjk_sentences(F.col("_text")).alias("_u"))
-    units = cut.select("paragraph_id", F.posexplode(F.arrays_zip(F.col("_u").alias("t"), sums_of(F.transform("_u", lambda u: F.length(u).cast("bigint"))).alias("at"))).alias("unit", "_p"))
-    units = units.select("paragraph_id", "unit", F.col("_p.at").cast("int").alias("u0"), (F.col("_p.at") + F.length("_p.t")).cast("int").alias("u1"))
-    kept = _usable(pieces).where("sentence_key is not null")
-    over = F.least("end", "u1") - F.greatest("at", "u0")
-    met = kept.join(units, "paragraph_id").where(over > 0).select(F.struct("paragraph_id", "unit", "u0", "u1").alias("_unit"), "sentence_key", over.alias("_over"))
-    won = vote(met, "_unit", "sentence_key", F.col("_over"), SHARE, LEAD).where("accepted").select("_unit.*", "sentence_key")
-    won = won.join(sentences.select("paragraph_id", "sentence_key", "ordinal"), ["paragraph_id", "sentence_key"])
-    forward = F.coalesce(F.col("ordinal") >= F.lag("ordinal").over(W.partitionBy("paragraph_id").orderBy("unit")), F.lit(True))
-    won = won.withColumn("_forward", forward)
-    n_units = units.groupBy("paragraph_id").agg(F.count(F.lit(1)).alias("_units"))
-    n_sentences = sentences.groupBy("paragraph_id").agg(F.count_distinct("sentence_key").alias("_wanted"))
-    whole = won.groupBy("paragraph_id").agg(F.bool_and("_forward").alias("_ok"), F.count(F.lit(1)).alias("_n"), F.count_distinct("sentence_key").alias("_k"))
-    whole = whole.join(n_units, "paragraph_id").join(n_sentences, "paragraph_id").where("_ok and _n = _units and _k = _wanted").select("paragraph_id")
-    return won.join(whole, "paragraph_id", "left_semi").select("paragraph_id", "unit", F.col("u0").alias("at"), F.col("u1").alias("end"), "sentence_key")
+    length = lambda t: F.length(t).cast("bigint")
+    spot = lambda t, a: F.struct(a.cast("int").alias("at"), (a + F.length(t)).cast("int").alias("end"))
+    cut = rows.withColumn("_t", F.when(where, cjk_sentences(F.col("text"))))
+    cut = cut.withColumn("_u", F.zip_with("_t", sums_of(F.transform("_t", length)), spot))
+    cut = cut.withColumn("_u", F.transform("_u", lambda u: F.struct(u["at"].alias("at"), u["end"].alias("end"), _voted(u, F.col("pieces")).alias("sentence_key"))))
+    cut = cut.withColumn("_o", F.transform("_u", lambda u: _of_key(F.col("sentences"), u["sentence_key"])))
+    whole = (F.size("_u") > 0) & F.forall("_o", lambda o: F.size(o) == 1) & (F.size(_distinct(F.col("_u"), lambda u: u["sentence_key"])) == F.col("wanted"))
+    forward = ~_steps(F.transform("_o", lambda o: F.get(o, F.lit(0))["ordinal"]), lambda now, before: now < before)
+    return cut.withColumn("units", F.when(whole & forward, F.col("_u"))).drop("_t", "_u", "_o")
+
+
+def interleaved(fragments: DataFrame, sentences: DataFrame) -> DataFrame:
+    """paragraph_id, unit, at, end and sentence_key of translated sentences whose fragments vote for one source sentence (JN-20)."""
+    rows = _units(_paragraphs(fragments, sentences), F.lit(True)).where("units is not null")
+    return rows.select("paragraph_id", F.posexplode("units").alias("unit", "_u")).select("paragraph_id", "unit", "_u.*")
 
 
 def captured(selections: DataFrame, fragments: DataFrame, sentences: DataFrame) -> DataFrame:
@@ -114,36 +140,30 @@ def captured(selections: DataFrame, fragments: DataFrame, sentences: DataFrame)
     invalid-sentence-fragment-groups, partial-sentence-boundary, uncovered-selection-text,
     noncontiguous-source; else captured. Of broken groups those that votes repair are used.
     """
-    pieces = placed(fragments)
-    usable = _usable(pieces)
-    anchors = usable.where("sentence_key is not null").groupBy("paragraph_id").agg(F.lit(True).alias("_anchored"))
-    verdicts = paragraph_verdicts(fragments, sentences).select("paragraph_id", "reason")
-    repaired = interleaved(fragments, sentences)
-    broken = verdicts.where(F.col("reason").isin("noncontiguous-key", "source-order")).select("paragraph_id")
-    repaired = repaired.join(broken, "paragraph_id", "left_semi")
-    fixed = repaired.select("paragraph_id").distinct().withColumn("_fixed", F.lit(True))
+    rows = _units(_paragraphs(fragments, sentences), F.col("reason").isin("noncontiguous-key", "source-order"))
     # The stretches of the translation and the sentence each stands for: fragments, or the units that votes gave.
-    stretches = usable.join(fixed, "paragraph_id", "left_anti").select("paragraph_id", "at", "end", "sentence_key").unionByName(repaired.select("paragraph_id", "at", "end", "sentence_key"))
-    over = F.least("end", "stop") - F.greatest("at", "start")
-    met = selections.select("selection_id", "paragraph_id", "start", "stop").join(stretches, "paragraph_id")
-    met = met.groupBy("selection_id", "paragraph_id", "sentence_key").agg(F.sum(F.greatest(over, F.lit(0))).alias("_over"), F.sum(F.col("end") - F.col("at")).alias("_all"))
-    met = met.where("_over > 0").join(sentences.select("paragraph_id", "sentence_key", "ordinal", "text"), ["paragraph_id", "sentence_key"], "left")
-    gap = F.col("ordinal") - F.lag("ordinal").over(W.partitionBy("selection_id").orderBy("ordinal")) > 1
-    met = met.withColumn("_gap", F.coalesce(gap, F.lit(False)) & F.col("ordinal").isNotNull())
-    facts = met.groupBy("selection_id").agg(
-        F.max((F.col("_over") < F.col("_all")) & F.col("sentence_key").isNotNull()).alias("_partial"), F.max(F.col("sentence_key").isNull()).alias("_unmarked"), F.max("_gap").alias("_gap"),
-        F.count("ordinal").alias("_n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("ordinal").isNotNull(), F.struct("ordinal", "text")))), lambda s: F.trim(s["text"])), " ").alias("_source"),
+    stretch = lambda p: F.struct(p["at"].alias("at"), p["end"].alias("end"), p["sentence_key"].alias("sentence_key"))
+    rows = rows.select(
+        "paragraph_id", "sentences", "wanted", F.coalesce("units", F.transform("pieces", stretch)).alias("stretches"), F.col("units").isNotNull().alias("_fixed"),
+        F.exists("pieces", lambda p: p["sentence_key"].isNotNull()).alias("_anchored"), F.coalesce(F.coalesce("reason", F.lit("grouped")).isin("grouped", "unmarked-content"), F.lit(False)).alias("_sound"),
     )
-    wanted = sentences.groupBy("paragraph_id").agg(F.count_distinct("sentence_key").alias("_wanted"))
-    all_ = selections.select("selection_id", "paragraph_id")
-    for more, on in ((anchors, "paragraph_id"), (verdicts, "paragraph_id"), (fixed, "paragraph_id"), (wanted, "paragraph_id"), (facts, "selection_id")):
-        all_ = all_.join(more, on, "left")
-    usable_groups = F.col("reason").isin("grouped", "unmarked-content") | F.coalesce("_fixed", F.lit(False))
+    met = selections.select("selection_id", "paragraph_id", "start", "stop").join(rows, "paragraph_id", "left")
+    over = lambda s: F.greatest(F.least(s["end"], F.col("stop")) - F.greatest(s["at"], F.col("start")), F.lit(0))
+    total = lambda items, value: F.aggregate(items, F.lit(0).cast("bigint"), lambda n, s: n + value(s))
+    held = lambda k: F.filter("stretches", lambda s: s["sentence_key"].eqNullSafe(k))
+    fact = lambda k, own: F.struct(k.alias("key"), (total(own, over) < total(own, lambda s: s["end"] - s["at"])).alias("partial"))
+    keys = _distinct(F.filter("stretches", lambda s: over(s) > 0), lambda s: s["sentence_key"])
+    met = met.withColumn("_m", F.transform(keys, lambda k: once(held(k), lambda own: fact(k, own))))
+    own = F.filter(F.flatten(F.transform("_m", lambda m: _of_key(F.col("sentences"), m["key"]))), lambda s: s["ordinal"].isNotNull())
+    met = met.withColumn("_s", F.array_sort(F.transform(own, lambda s: F.struct(s["ordinal"].alias("ordinal"), s["text"].alias("text")))))
+    met = met.withColumn("_n", F.coalesce(F.size("_s"), F.lit(0)))
+    partial, unmarked = F.exists("_m", lambda m: m["partial"] & m["key"].isNotNull()), F.exists("_m", lambda m: m["key"].isNull())
     reason = (
-        F.when(F.col("_anchored").isNull(), "no-sentence-anchors").when(F.coalesce("_n", F.lit(0)) == 0, "no-selected-sentence").when(~usable_groups, "invalid-sentence-fragment-groups")
-        .when(F.col("_partial"), "partial-sentence-boundary").when(F.col("_unmarked"), "uncovered-selection-text").when(F.col("_gap"), "noncontiguous-source").otherwise("captured")
+        F.when(~F.coalesce("_anchored", F.lit(False)), "no-sentence-anchors").when(F.col("_n") <= 0, "no-selected-sentence").when(~(F.col("_sound") | F.col("_fixed")), "invalid-sentence-fragment-groups")
+        .when(partial, "partial-sentence-boundary").when(unmarked, "uncovered-selection-text").when(_steps(F.col("_s"), lambda now, before: now["ordinal"] - before["ordinal"] > 1), "noncontiguous-source").otherwise("captured")
     )
-    evidence = F.when(F.col("_n") == F.col("_wanted"), "complete-validated-paragraph").when(F.col("_fixed"), "sentence-text-marker-consensus").otherwise("complete-captured-sentence-sequence")
-    got = all_.withColumn("_reason", reason)
+    evidence = F.when(F.col("_n") == F.col("wanted"), "complete-validated-paragraph").when(F.col("_fixed"), "sentence-text-marker-consensus").otherwise("complete-captured-sentence-sequence")
+    got = met.withColumn("_reason", reason)
     only = lambda c: F.when(F.col("_reason") == "captured", c)
-    return got.select("selection_id", F.col("_reason").alias("reason"), only(F.col("_source")).alias("source"), only(evidence).alias("evidence"))
+    source = F.array_join(F.transform("_s", lambda s: F.trim(s["text"])), " ")
+    return got.select("selection_id", F.col("_reason").alias("reason"), only(source).alias("source"), only(evidence).alias("evidence"))
