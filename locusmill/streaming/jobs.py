@@ -24,7 +24,6 @@ class ImportJob:
     limit: int
     back_off: int
     keep: int
-    state = StructType([StructField("status", StringType()), StructField("since", LongType())])
 
     def take(self, held, at, event, kind):
         status = held[0] if held else "idle"
@@ -61,8 +60,6 @@ def import_jobs(events: DataFrame, key: str, limit: int, back_off: int, keep: in
 class Tombstone:
     """A record that was deleted here stays hidden while the source lists it, until the source confirms."""
 
-    state = StructType([StructField("deleted", LongType())])
-
     def take(self, held, at, event, kind):
         if kind == "listed":
             return held, [(event, at, "hidden" if held else "shown")]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from locusmill.streaming.in_order import in_order
 
@@ -18,7 +18,6 @@ class Tickets:
     redeems: str
     ttl: int
     capacity: int
-    state = StructType([StructField("issued", ArrayType(LongType())), StructField("tickets", ArrayType(LongType()))])
 
     def take(self, held, at, event, kind):
         pairs = list(zip(*held, strict=True)) if held else []
