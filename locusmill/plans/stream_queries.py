@@ -2,34 +2,46 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from locusmill.plans.registry import query, table
-from locusmill.sources.tables import saved
+from locusmill.sources.tables import Scratch, saved
 from locusmill.streaming import answers, jobs, tickets
 from locusmill.streaming.in_order import closing, rocks_state
-from locusmill.streaming.snapshots import feed, run_to_end
+from locusmill.streaming.snapshots import copied, feed, run_to_end
 
-#: Files that the events come in, a sixth of the time each; one event in seven comes a file late.
+#: Parts that the events come in, a sixth of the time each; one event in seven comes a part late. A part is a micro-batch, in files of some so many rows.
 FILES = 6
+FILE_ROWS = 250_000
 DAYS = 30 / FILES
 DELAY = f"{2 * int(DAYS) + 1} days"
 
 
 def _fed(spark: SparkSession, sf_dir: str, kinds: dict[str, str], plan: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The output of a stream over events whose types are named anew, file by file, out of order."""
+    """The output of a stream over events whose types are named anew, part by part, out of order."""
     name = F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair))
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.element_at(name, F.col("event_type")).alias("kind")).where("kind is not null")
     late = F.when(F.col("event_id") % 7 == 3, 1).otherwise(0)
     number = F.least(F.floor((F.dayofmonth("ts") - 1) / DAYS) + late, F.lit(FILES - 1))
-    parts = [events.where(number == i).orderBy(F.desc("event_id")) for i in range(FILES)]
-    # Closing rows, later and later, let all that waits pass.
-    parts += [closing(events, "user_id", days) for days in (400, 800)]
+    with Scratch(spark) as scratch:
+        # Parts are told apart once, and no file is the work of one task alone.
+        rows = scratch.saved(events.withColumn("part", number), "stream-rows", by="part")
+        files = _files(rows.count())
+        parts = [rows.where(F.col("part") == i).drop("part").repartition(files).sortWithinPartitions(F.desc("event_id")) for i in range(FILES)]
+        # Closing rows, later and later, let all that waits pass; as many files of them as of a part, so that they don't share a micro-batch.
+        parts += [copied(closing(rows.drop("part"), "user_id", days), files) for days in (400, 800)]
+        source = feed(spark, parts, dealt=True)
     with rocks_state(spark):
-        return run_to_end(spark, feed(spark, parts), plan, mode="append", files=1)
+        return run_to_end(spark, source, plan, mode="append", files=files)
+
+
+def _files(rows: int) -> int:
+    """Files of each part of a feed of so many rows. A part of few rows may have fewer, and the next one's then join its micro-batch, which only holds the watermark back."""
+    return max(1, math.ceil(rows / (FILES * FILE_ROWS)))
 
 
 @query("""

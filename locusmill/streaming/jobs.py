@@ -11,6 +11,8 @@ from locusmill.streaming.in_order import in_order
 
 ANSWER = StructType([StructField("event_id", LongType()), StructField("at", LongType()), StructField("answer", StringType())])
 SECOND = 1_000_000
+#: What a start hears while a job is held.
+HEARD = {"fetching": "joined", "saved": "done", "failed": "refused"}
 
 
 @dataclass
@@ -25,22 +27,23 @@ class ImportJob:
     back_off: int
     keep: int
 
+    def __post_init__(self):
+        self._lasts = {"fetching": SECOND * self.limit, "failed": SECOND * self.back_off, "saved": SECOND * self.keep}
+
     def take(self, held, at, event, kind):
         status = held[0] if held else "idle"
-        say = lambda answer: [(event, at, answer)]
         if kind == "poll":
-            return held, say(status)
+            return held, [(event, at, status)]
         if kind == "start":
-            known = {"fetching": "joined", "saved": "done", "failed": "refused"}
-            return (held, say(known[status])) if status in known else (("fetching", at), say("started"))
+            return (held, [(event, at, HEARD[status])]) if held else (("fetching", at), [(event, at, "started")])
         if kind in ("saved", "missing"):
             if status != "fetching":
-                return held, say("ignored")
-            return (("saved", at), say("saved")) if kind == "saved" else (("failed", at), say("no-pdf"))
+                return held, [(event, at, "ignored")]
+            return (("saved", at), [(event, at, "saved")]) if kind == "saved" else (("failed", at), [(event, at, "no-pdf")])
         return held, []
 
     def due(self, held):
-        return held[1] + SECOND * {"fetching": self.limit, "failed": self.back_off, "saved": self.keep}[held[0]]
+        return held[1] + self._lasts[held[0]]
 
     def lapse(self, held):
         at = self.due(held)
