@@ -4,8 +4,8 @@
 Selectors and pages meet through an equi-join on a key that every page with the quote must hold:
 up to ``GRAM`` inner words of the quote, the last character before and the first character behind
 them; of all such runs of a quote the one that fewest pages hold. A quote of two words has no inner word and is keyed by the characters around its space, one
-of a single word by runs of its characters. No quote is held against every page, and each text is
-cut into words once.
+of a single word by runs of its characters; of a page only every ``STEP``-th long run is a key, so a long quote has a rarest one for each way
+it may lie between them. No quote is held against every page, and each text is cut into words once.
 
 Defined cases: a null or empty quote is found nowhere; null contexts count as empty; a null text
 holds nothing; repeated selectors and pages are found as often as they are repeated; empty tables
@@ -26,6 +26,10 @@ from locusmill.sources.tables import saved
 GRAM = 3
 #: Characters of the keys of a long text of one word; three in a row are on nearly every page.
 LONG = 8
+#: From one key of a page to the next where quotes are long enough to hold a whole one wherever they begin.
+STEP = 5
+#: Runs of ``LONG`` characters at every ``STEP``-th place.
+BLOCK = rf"(?s)(?=(.{{{LONG}}})).{{{STEP}}}"
 #: Keys that may be broadcast; beyond them the join is left to shuffle.
 MOST_BROADCAST = 200_000
 
@@ -38,10 +42,12 @@ def _word_keys(words: Column, inner: int) -> Column:
 
 
 def _keys(words: Column, text: Column, kind: str) -> Column:
-    """The keys of one kind: ``w0`` to ``w3`` by inner words, ``c1`` to ``c3`` and ``c8`` by characters."""
+    """The keys of one kind: ``w0`` to ``w3`` by inner words, ``c1`` to ``c3`` and ``c8`` by characters, ``b8`` by blocks of them."""
     size = int(kind[1])
     if kind[0] == "w":
         return _word_keys(words, size)
+    if kind[0] == "b":
+        return F.transform(F.regexp_extract_all(text, F.lit(BLOCK), F.lit(1)), lambda b: F.xxhash64(b))
     return char_run_hashes(text, 3) if size == 8 else F.transform(char_grams(text, size), lambda g: F.xxhash64(g))
 
 
@@ -53,26 +59,35 @@ def candidates(selectors: DataFrame, pages: DataFrame, most_broadcast: int = MOS
     words = F.split("text", " ", -1)
     n = F.size(words)
     # Spaces at an end of a quote have no word beside them; such a quote is keyed by its characters, too.
-    kind = F.when((n > 1) & ~F.regexp_like("text", F.lit(r"^ | \z")), F.concat(F.lit("w"), F.least(n - 2, F.lit(GRAM)))).otherwise(F.concat(F.lit("c"), F.when(F.length("text") >= LONG, LONG).otherwise(F.least(F.length("text"), F.lit(3)))))
+    long = F.length("text")
+    chars = F.when(long >= LONG + STEP - 1, F.lit(f"b{LONG}")).otherwise(F.concat(F.lit("c"), F.when(long >= LONG, LONG).otherwise(F.least(long, F.lit(3)))))
+    kind = F.when((n > 1) & ~F.regexp_like("text", F.lit(r"^ | \z")), F.concat(F.lit("w"), F.least(n - 2, F.lit(GRAM)))).otherwise(chars)
     asked = selectors.where(F.length("text") > 0).select("selector_id", "text", words.alias("_words"), kind.alias("kind"))
-    used = sorted(name for (name,) in asked.select("kind").distinct().collect())  # eight kinds at most
+    used = sorted(name for (name,) in asked.select("kind").distinct().collect())  # nine kinds at most
     if not used:
         return selectors.select("selector_id", F.lit(None).cast(pages.schema["doc_id"].dataType).alias("doc_id")).where("false")
 
-    def keyed(name: str) -> Column:
-        return F.transform(_keys(F.col("_words"), F.col("text"), name), lambda k: F.xxhash64(F.lit(name), k))
+    def keyed(name: str, skip: int = 0) -> Column:
+        text = F.substring("text", skip + 1, 1 << 30) if skip else F.col("text")
+        return F.transform(_keys(F.col("_words"), text, name), lambda k: F.xxhash64(F.lit(name), k))
 
-    own = F.coalesce(*(F.when(F.col("kind") == name, keyed(name)) for name in used))
-    keys = saved(asked.select("selector_id", F.explode(F.array_distinct(own)).alias("key")), "locate-keys")
+    # A page with the quote holds all keys of one of its parts: blocks lie in it as they do from one of ``STEP`` places on.
+    own = F.coalesce(*(F.when(F.col("kind") == name, F.array(*(keyed(name, i) for i in range(STEP if name[0] == "b" else 1)))) for name in used))
+    parts = asked.select("selector_id", F.posexplode(own).alias("part", "keys"))
+    keys = saved(parts.select("selector_id", "part", F.explode(F.array_distinct("keys")).alias("key")), "locate-keys")
     wanted = keys.select("key").distinct()
     few = wanted.limit(most_broadcast + 1).count() <= most_broadcast
     # An outer explode: from a plain one a filter on the array's size is inferred and the array made twice.
     made = pages.select("doc_id", "text", words.alias("_words")).select("doc_id", F.explode_outer(F.array_distinct(F.concat(*map(keyed, used)))).alias("key"))
     met = saved(made.join(F.broadcast(wanted) if few else wanted, "key", "left_semi"), "locate-met")
-    # A page with the quote holds all of its keys, so one that no page has says that none holds the quote.
-    counted = keys.join(met.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key", "left")
-    rarest = counted.groupBy("selector_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("_k"))
-    return rarest.select("selector_id", F.col("_k.key").alias("key")).join(met, "key").select("selector_id", "doc_id").distinct()
+    # A key that no page has says that none holds the quote so.
+    counts = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    counted = keys.join(counts if few else counts.hint("merge"), "key", "left")
+    rarest = counted.groupBy("selector_id", "part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("_k"))
+    rarest = saved(rarest.where("_k.n > 0").select("selector_id", F.col("_k.key").alias("key")), "locate-rarest")
+    # Files of keys are small and their rows many: what is met is never sent to the driver, whatever its files' size.
+    some = rarest.limit(most_broadcast + 1).count() <= most_broadcast
+    return (F.broadcast(rarest) if some else rarest).join(met if some else met.hint("merge"), "key").select("selector_id", "doc_id").distinct()
 
 
 def _holding(selectors: DataFrame, pages: DataFrame, most_broadcast: int) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from locusmill.operators.locate import places
 from locusmill.operators.spans import count_up_to, once, sums_of
+from locusmill.sources.tables import saved
 
 LEAST = 12
 #: Lengths of anchors: a quote joins on the longest that it fills, so that long quotes meet few places.
@@ -69,7 +70,9 @@ def found_again(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     long = quotes.where(F.length("key") >= LEAST)
     stands = places(long.select(F.col("quote_id").alias("selector_id"), F.col("key").alias("text")), keys)
     stands = stands.select(F.col("selector_id").alias("quote_id"), "doc_id", F.col("at").cast("int").alias("start"), (F.col("at") + F.col("length")).cast("int").alias("stop"))
-    runs = sentence_runs(quotes, docs).select("quote_id", "doc_id", "start", "stop")
+    # Runs are among what stands there, but for those that overlap a place; only documents with a quote are searched for them.
+    stands = saved(stands, "quotes-standing")
+    runs = sentence_runs(quotes, docs.join(stands.select("doc_id").distinct(), "doc_id", "left_semi")).select("quote_id", "doc_id", "start", "stop")
     all_ = stands.unionByName(runs).distinct().groupBy("quote_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start", "stop")).alias("one"))
     n = F.coalesce("n", F.lit(0)).cast("bigint")
     only = [F.when(n == 1, F.col(f"one.{c}")).alias(c) for c in ("doc_id", "start", "stop")]
